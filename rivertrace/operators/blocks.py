@@ -22,8 +22,16 @@ def micros(ts: str | Column = "ts") -> Column:
     return F.unix_micros(F.col(ts) if isinstance(ts, str) else ts)
 
 
+def not_null(*columns: str) -> Column:
+    condition: Column = F.lit(True)
+    for column in columns:
+        condition = condition & F.col(column).isNotNull()
+    return condition
+
+
 def time_block(ts: str | Column = "ts", seconds: int = DAY) -> Column:
-    return F.floor(micros(ts) / F.lit(seconds * 1_000_000)).cast("bigint")
+    """Number of the block a timestamp falls in; never null, so equal plans stay equal after joins."""
+    return F.coalesce(F.floor(micros(ts) / F.lit(seconds * 1_000_000)).cast("bigint"), F.lit(0))
 
 
 def suggest_block_seconds(
@@ -51,10 +59,17 @@ def with_positions(
     series through a join on (series, block) and not on the series.
     """
     keys = list(keys)
-    blocked = readings.withColumn("block", time_block(order) if block is None else block)
+    blocked = with_blocks(readings, keys, order, block)
     return attach_positions(blocked, keys, order, facts)
 
 
+def with_blocks(
+    readings: DataFrame, keys: Sequence[str] = SERIES, order: str = "ts", block: Column | None = None
+) -> DataFrame:
+    present = readings.where(not_null(*keys, order))
+    return present.withColumn("block", time_block(order) if block is None else block)
+
+
 def attach_positions(
     blocked: DataFrame, keys: Sequence[str] = SERIES, order: str = "ts", facts: DataFrame | None = None
 ) -> DataFrame:
@@ -134,6 +149,7 @@ def asof_facts(
     rows = (
         readings.select(*keys, "ts", "value", F.lit(1).alias("_tag"))
         .unionByName(marks)
+        .where(not_null(*keys, "ts"))
         .withColumn("block", time_block("ts", block_seconds))
     )
     is_reading = F.col("_tag") == 1

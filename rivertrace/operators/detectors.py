@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from rivertrace.functions.detection import severity
 from rivertrace.operators.blocks import (
-    DAY, SERIES, attach_positions, block_offsets, running, tile_window, time_block, with_positions, with_tiles,
+    DAY, SERIES, attach_positions, running, tile_window, time_block, with_blocks,
+    with_positions, with_tiles,
 )
 from rivertrace.operators.quantiles import robust_scale
 
@@ -116,7 +117,7 @@ def cusum_path(
     Target and scale are the median and robust sigma of the first max(int(n * warmup), 10) points, or
     of the first ``warmup_rows`` points where given.
     """
-    blocked = readings.withColumn("block", time_block("ts", block_seconds))
+    blocked = with_blocks(readings, block=time_block("ts", block_seconds))
     indexed = attach_positions(blocked)
     head = (
         F.greatest(F.floor(F.col("n") * F.lit(warmup)), F.lit(10))

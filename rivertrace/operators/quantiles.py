@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rivertrace.operators.blocks import not_null
+
 _STEPS = 1 << 14
 
 
@@ -21,13 +23,18 @@ def value_bin(value: Column) -> Column:
     exponent = F.floor(F.log2(size))
     step = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * _STEPS)
     level = (exponent + 1100) * _STEPS + F.greatest(F.lit(0), F.least(F.lit(_STEPS - 1), step))
-    return F.when(size == 0, F.lit(0)).otherwise(F.signum(value) * level).cast("bigint")
+    signed = F.when(size == 0, F.lit(0)).otherwise(F.signum(value) * level).cast("bigint")
+    return F.coalesce(signed, F.lit(0))
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """(keys, v, c): distinct values with their counts."""
+    """(keys, v, c): distinct values with their counts.
+
+    Null keys are dropped here, as later joins would do, so that every use of the table plans the same
+    exchange and Spark reuses it.
+    """
     return (
-        df.where(F.col(value).isNotNull())
+        df.where(not_null(*keys, value))
         .groupBy(*keys, F.col(value).alias("v"))
         .agg(F.count(F.lit(1)).alias("c"))
     )
