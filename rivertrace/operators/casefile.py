@@ -69,8 +69,7 @@ def keyword_hits(clauses: DataFrame, keywords: list[str]) -> DataFrame:
 
     hits = clauses.withColumn("keyword", F.explode(F.filter(wanted, matches)))
     known = hits.agg(F.collect_set("keyword").alias("k")).scalar()
-    missing = F.filter(wanted, lambda k: ~F.array_contains(known, k))
-    return hits.unionByName(clauses.withColumn("keyword", F.explode(missing)))
+    return hits.unionByName(clauses.withColumn("keyword", F.explode(F.array_except(wanted, known))))
 
 
 def clauses_for(clauses: DataFrame, keywords: list[str], count: int = HITS_PER_INDICATOR) -> DataFrame:

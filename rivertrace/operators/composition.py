@@ -68,10 +68,13 @@ def composition_score(observed: Column, reference: Column, names: Column) -> Col
 
 def score_compositions(pairs: DataFrame, observed: DataFrame, library: DataFrame) -> DataFrame:
     """Composition match of given (sample_id, enterprise_id) pairs; samples without data drop out."""
-    names = component_names(library).scalar()
+    # The names ride on the library rows: a subquery may not stand inside an array function.
+    known = library.select(
+        "enterprise_id", F.col("pollutants").alias("known"), component_names(library).scalar().alias("names")
+    )
     return (
         pairs.join(observed.select("sample_id", F.col("pollutants").alias("seen")), "sample_id")
-        .join(library.select("enterprise_id", F.col("pollutants").alias("known")), "enterprise_id")
-        .withColumn("score", composition_score(F.col("seen"), F.col("known"), names))
-        .drop("seen", "known")
+        .join(known, "enterprise_id")
+        .withColumn("score", composition_score(F.col("seen"), F.col("known"), F.col("names")))
+        .drop("seen", "known", "names")
     )

@@ -109,12 +109,11 @@ def event_contrast(
     onsets = events.select("station_id", F.col("onset_ts").alias("at")).distinct()
     facts = asof_facts(readings, onsets.join(watched, "station_id"), inclusive=False, block_seconds=block_seconds)
     contrasts = (
-        facts.where("n_before > 0")
-        .withColumn("before", F.col("sum_before") / F.col("n_before"))
+        facts.withColumn("before", F.try_divide("sum_before", "n_before"))
         .where((F.col("before") != 0) & (F.col("max_from") != 0))
         .where(F.col("max_from") > F.col("before") * min_ratio)
         .select(*SERIES, F.col("at").alias("onset_ts"), "before", F.col("max_from").alias("after"))
-        .withColumn("ratio", F.col("after") / F.col("before"))
+        .withColumn("ratio", F.try_divide("after", "before"))
     )
     return events.join(contrasts, ["station_id", "onset_ts"])
 

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from rivertrace.plans import network_queries
+from rivertrace.plans import attribution_queries, detection_queries, network_queries
 
-QUERIES = {**network_queries.QUERIES}
+QUERIES = {**network_queries.QUERIES, **detection_queries.QUERIES, **attribution_queries.QUERIES}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +18,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 @dataclass
 class River:
-    """Entities of one data folder; the closure is made once per query and only if asked for."""
+    """Entities of one data folder; the path closure is made when first asked for and then kept.
+
+    ``open_river`` hands out one River per session and folder, so queries on the same network share
+    the checkpointed closure. Call ``open_river.cache_clear()`` after changing the network's tables.
+    """
 
     spark: SparkSession
     folder: str
@@ -50,6 +54,19 @@ class River:
         return N.upstream_sources(self.impact)
 
 
+@lru_cache(maxsize=32)
+def _river(application: str, spark: SparkSession, folder: str) -> River:
+    return River(spark, folder)
+
+
+def open_river(spark: SparkSession, folder: str) -> River:
+    configure(spark)
+    return _river(spark.sparkContext.applicationId, spark, folder)
+
+
+open_river.cache_clear = _river.cache_clear
+
+
 def r(value: Column | str, digits: int) -> Column:
     """Rounds for output. The tiny shift settles exact ties, where summation order decides otherwise."""
     column = F.col(value) if isinstance(value, str) else value

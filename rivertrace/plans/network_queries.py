@@ -8,64 +8,64 @@ from rivertrace.operators import network as N
 from rivertrace.operators import plume as P
 from rivertrace.operators import readmodels as M
 from rivertrace.operators import spectra as X
-from rivertrace.plans.common import River, r
+from rivertrace.plans.common import open_river, r
 from rivertrace.plans.oracle_entities import with_entities
 
 
 def path_closure(spark, folder):
-    return River(spark, folder).closure.select(
+    return open_river(spark, folder).closure.select(
         "src", "dst", "hops", "distance_m", r("travel_h", 6).alias("travel_h"), r("k_mean", 6).alias("k_mean")
     )
 
 
 def upstream_window(spark, folder):
-    return N.upstream_nodes(River(spark, folder).closure, 5.0)
+    return N.upstream_nodes(open_river(spark, folder).closure, 5.0)
 
 
 def downstream_hops(spark, folder):
-    return N.downstream_nodes(River(spark, folder).closure)
+    return N.downstream_nodes(open_river(spark, folder).closure)
 
 
 def travel_hours(spark, folder):
-    river = River(spark, folder)
+    river = open_river(spark, folder)
     pairs = river.table("customer").selectExpr("cast(c_nationkey AS bigint) AS src", "c_custkey % 25 AS dst")
     return N.travel_hours(river.closure, pairs.distinct())
 
 
 def downstream_paths(spark, folder):
-    return N.downstream_paths(River(spark, folder).source_closure).select(
+    return N.downstream_paths(open_river(spark, folder).source_closure).select(
         "src", "dst", "distance_m", r("travel_h", 6).alias("travel_h")
     )
 
 
 def impact_matrix(spark, folder):
-    return River(spark, folder).impact.select("enterprise_id", "station_id", "factor")
+    return open_river(spark, folder).impact.select("enterprise_id", "station_id", "factor")
 
 
 def upstream_sources(spark, folder):
-    return River(spark, folder).sources.select("station_id", "enterprise_id", "name", "industry", "node_id", "atten")
+    return open_river(spark, folder).sources.select("station_id", "enterprise_id", "name", "industry", "node_id", "atten")
 
 
 def first_hit_station(spark, folder):
-    return N.first_hit_station(River(spark, folder).impact)
+    return N.first_hit_station(open_river(spark, folder).impact)
 
 
 def map_extent(spark, folder):
-    return N.map_extent(River(spark, folder).nodes)
+    return N.map_extent(open_river(spark, folder).nodes)
 
 
 def map_edges(spark, folder):
-    river = River(spark, folder)
+    river = open_river(spark, folder)
     return M.map_edges(river.edges, river.nodes)
 
 
 def map_stations(spark, folder):
-    river = River(spark, folder)
+    river = open_river(spark, folder)
     return M.station_layer(river.stations, river.nodes, river.alerts).select("id", "node_id", "x", "y", "alert")
 
 
 def map_free_nodes(spark, folder):
-    river = River(spark, folder)
+    river = open_river(spark, folder)
     return M.nodes_without_station(river.nodes, river.stations).select("id", "name", "kind", "x", "y")
 
 
@@ -77,25 +77,25 @@ def _weights(river):
 
 
 def map_enterprises(spark, folder):
-    river = River(spark, folder)
+    river = open_river(spark, folder)
     locked = X.dominant_source(_weights(river)).select(F.col("dominant").alias("source_id"))
     return M.enterprise_layer(river.enterprises, river.nodes, locked).select("id", "name", "x", "y", "locked")
 
 
 def station_mix(spark, folder):
-    return X.dominant_source(_weights(River(spark, folder))).select(
+    return X.dominant_source(_weights(open_river(spark, folder))).select(
         "station_id", "dominant", r("share", 4).alias("share"), "sources"
     )
 
 
 def expanded_spectra(spark, folder):
-    return X.expand_spectra(River(spark, folder).spectra).select(
+    return X.expand_spectra(open_river(spark, folder).spectra).select(
         "enterprise_id", "lex", "lem", r("intensity", 4).alias("intensity")
     )
 
 
 def expected_spectrum(spark, folder):
-    river = River(spark, folder)
+    river = open_river(spark, folder)
     return X.expected_spectrum(_weights(river), river.spectra).select(
         "station_id", "lex", "lem", r("intensity", 4).alias("intensity")
     )
@@ -108,20 +108,20 @@ def _spills(river):
 
 
 def plume_grid(spark, folder):
-    river = River(spark, folder)
+    river = open_river(spark, folder)
     return P.simulate_puff(_spills(river), river.source_closure, river.nodes).select(
         "spill_id", "node_id", F.bround("t_h", 2).alias("t_h"), r("c_mgl", 4).alias("c_mgl")
     )
 
 
 def plume_peak(spark, folder):
-    river = River(spark, folder)
+    river = open_river(spark, folder)
     curves = P.simulate_puff(_spills(river), river.source_closure, river.nodes)
     return P.plume_peaks(curves).select("spill_id", "node_id", r("peak_mgl", 4).alias("peak_mgl"), F.bround("peak_h", 2).alias("peak_h"))
 
 
 def plume_at_station(spark, folder):
-    river = River(spark, folder)
+    river = open_river(spark, folder)
     requests = river.table("lineitem").selectExpr(
         "l_suppkey AS spill_id", "l_partkey % 25 AS node_id", "cast(l_linenumber AS double) AS t_h"
     ).distinct()
