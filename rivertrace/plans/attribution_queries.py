@@ -182,7 +182,7 @@ _HYPOTHESES = (
      " QUALIFY pos<6"),
     ("kinds", "SELECT DISTINCT etype, " + _BONUS + " AS bonus FROM alerts"),
     ("ranked", "SELECT *, row_number() OVER (PARTITION BY station_id, etype ORDER BY prior DESC, pos) AS rank FROM (SELECT s.*, etype,"
-     " round(least(0.6, factor*50+bonus+0.25-pos*0.02),3) AS prior FROM six s, kinds) QUALIFY rank<=4"),
+     " round_even(least(0.6, factor*50+bonus+0.25-pos*0.02),3) AS prior FROM six s, kinds) QUALIFY rank<=4"),
     ("hyp", "SELECT a.id AS event_id, concat('h', rank) AS hypothesis, rank, a.station_id, a.etype, a.onset_ts, a.indicators,"
      " r.enterprise_id, r.name, r.industry, r.node_id, r.factor AS atten, r.prior, a.id%(SELECT count(*) FROM embeddings) AS sample_id"
      " FROM alerts a JOIN ranked r ON r.station_id=a.station_id AND r.etype=a.etype"),
@@ -206,7 +206,7 @@ _EVIDENCE = (
      " LEFT JOIN feats g USING (station_id, indicator, since)"),
     ("working", "SELECT id AS enterprise_id, list_filter(range(24), lambda h: CASE WHEN hour_from<=hour_to THEN h>=hour_from AND h<hour_to"
      " ELSE h>=hour_from OR h<hour_to END) AS own FROM enterprises"),
-    ("pat", "SELECT h.event_id, h.enterprise_id, round(least(1.0, len(list_intersect(a.hours, w.own))/greatest(len(list_distinct("
+    ("pat", "SELECT h.event_id, h.enterprise_id, round_even(least(1.0, len(list_intersect(a.hours, w.own))/greatest(len(list_distinct("
      "list_concat(a.hours, w.own))),1)*a.strength+0.1*a.night_share),3) AS pattern FROM hyp h JOIN active a ON a.station_id=h.station_id"
      " AND a.indicator=coalesce(h.indicators[1],'click') AND a.since=h.onset_ts - INTERVAL 7 DAY JOIN working w"
      " ON w.enterprise_id=h.enterprise_id WHERE h.etype='periodic'"),
@@ -222,7 +222,10 @@ _EVIDENCE = (
      "+CASE WHEN pattern IS NOT NULL THEN 0.20 ELSE 0 END::double+CASE WHEN strength IS NOT NULL THEN 0.15 ELSE 0 END::double AS ws,"
      " coalesce(eem*0.40::double,0)+coalesce(pollutant*0.25::double,0)+coalesce(pattern*0.20::double,0)+coalesce(strength*0.15::double,0)"
      " AS total FROM evid"),
-    ("scored", "SELECT *, coalesce(round(least(1.0, total/nullif(ws,0)),3), prior) AS score FROM weighed"),
+    # Half to even on the printed decimal, as a scaled double would move values just below a tie.
+    ("milli", "SELECT *, cast(cast(least(1.0, total/nullif(ws,0)) AS varchar) AS decimal(38,20))*1000 AS m FROM weighed"),
+    ("scored", "SELECT * EXCLUDE (m), coalesce(cast(floor(m)+CASE WHEN m-floor(m)>0.5 OR (m-floor(m)=0.5 AND floor(m)%2=1)"
+     " THEN 1 ELSE 0 END AS double)/1000, prior) AS score FROM milli"),
     ("best", "SELECT event_id, enterprise_id, name, industry, score, cnt FROM (SELECT *, row_number() OVER (PARTITION BY event_id"
      " ORDER BY score DESC, rank) AS rn FROM scored WHERE score>=0.3) WHERE rn=1"),
     ("verdicts", "SELECT a.id AS event_id, a.station_id, a.etype, b.score>=0.6 AS ok, b.enterprise_id, b.name, b.industry AS ind, b.score, b.cnt,"

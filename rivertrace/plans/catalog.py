@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
-from rivertrace.plans import attribution_queries, detection_queries, network_queries
+from rivertrace.plans import attribution_queries, detection_queries, log_queries, network_queries, scenario_queries
 
-QUERIES = {**network_queries.QUERIES, **detection_queries.QUERIES, **attribution_queries.QUERIES}
+QUERIES = {
+    **network_queries.QUERIES,
+    **detection_queries.QUERIES,
+    **attribution_queries.QUERIES,
+    **scenario_queries.QUERIES,
+    **log_queries.QUERIES,
+}
