@@ -116,15 +116,16 @@ def verdicts_of(river):
 
 def attribution_verdict(spark, folder):
     return verdicts_of(open_river(spark, folder)).select(
-        "event_id", "station_id", "etype", "source_id", "source_name", "industry", "confidence", "verdict",
-        "evidence_summary", "reason", F.array_join("suggestions", "；").alias("suggestions"),
+        "event_id", "station_id", "etype", F.col("source_id").cast("string").alias("source_id"), "source_name", "industry",
+        "confidence", "verdict", "evidence_summary", "reason", F.array_join("suggestions", "；").alias("suggestions"),
     )
 
 
 def verdict_table(spark, folder):
     river = open_river(spark, folder)
     return A.verdict_against_truth(verdicts_of(river), river.truth).select(
-        "event_id", "verdict", "source_id", "source_name", "truth_source", "hit"
+        "event_id", "verdict", F.col("source_id").cast("string").alias("source_id"), "source_name",
+        F.col("truth_source").cast("string").alias("truth_source"), F.col("hit").cast("string").alias("hit"),
     )
 
 
@@ -272,7 +273,7 @@ QUERIES = {
         " UNION ALL SELECT event_id, hypothesis, enterprise_id, 'strength', strength, 0.15 FROM scored) WHERE value IS NOT NULL",
         *_NEEDS, extra=_EVIDENCE)),
     "attribution_verdict": (attribution_verdict, with_entities(
-        "SELECT event_id, station_id, etype, CASE WHEN ok THEN enterprise_id END AS source_id, CASE WHEN ok THEN name END AS source_name,"
+        "SELECT event_id, station_id, etype, CASE WHEN ok THEN cast(enterprise_id AS varchar) END AS source_id, CASE WHEN ok THEN name END AS source_name,"
         " CASE WHEN ok THEN ind END AS industry, CASE WHEN ok THEN score ELSE 0.0 END AS confidence,"
         " CASE WHEN ok THEN 'resolved' ELSE 'failed' END AS verdict,"
         " CASE WHEN ok THEN concat('综合 EEM 指纹、污染物谱、排放规律等 ', cnt, ' 项证据，锁定 ', name, '（置信度 ',"
@@ -281,9 +282,9 @@ QUERIES = {
         f" CASE WHEN ok THEN NULL WHEN has_hyp THEN {_texts(V.LOW_SCORE_SUGGESTIONS)} ELSE {_texts(V.NO_SOURCE_SUGGESTIONS)} END"
         " AS suggestions FROM verdicts", *_NEEDS, extra=_EVIDENCE)),
     "verdict_table": (verdict_table, with_entities(
-        "SELECT v.event_id, CASE WHEN ok THEN 'resolved' ELSE 'failed' END AS verdict, CASE WHEN ok THEN enterprise_id END AS source_id,"
-        " CASE WHEN ok THEN name END AS source_name, t.truth_source, CASE WHEN ok THEN enterprise_id IS NOT DISTINCT FROM t.truth_source"
-        " END AS hit FROM verdicts v LEFT JOIN truth t ON t.event_id=v.event_id", *_NEEDS, "truth", extra=_EVIDENCE)),
+        "SELECT v.event_id, CASE WHEN ok THEN 'resolved' ELSE 'failed' END AS verdict, CASE WHEN ok THEN cast(enterprise_id AS varchar) END AS source_id,"
+        " CASE WHEN ok THEN name END AS source_name, cast(t.truth_source AS varchar) AS truth_source, CASE WHEN ok THEN cast(enterprise_id IS NOT DISTINCT FROM"
+        " t.truth_source AS varchar) END AS hit FROM verdicts v LEFT JOIN truth t ON t.event_id=v.event_id", *_NEEDS, "truth", extra=_EVIDENCE)),
     "verdict_accuracy": (verdict_accuracy, with_entities(
         "SELECT etype, count(*) AS events, count(*) FILTER (WHERE ok) AS resolved, count(*) FILTER (WHERE ok AND enterprise_id="
         "t.truth_source) AS hits, round(count(*) FILTER (WHERE ok AND enterprise_id=t.truth_source)/nullif(count(*) FILTER (WHERE ok),0)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rivertrace.plans import attribution_queries, detection_queries, log_queries, network_queries, scenario_queries
+from rivertrace.plans import attribution_queries, detection_queries, log_queries, network_queries, scenario_queries, stream_queries
 
 QUERIES = {
     **network_queries.QUERIES,
@@ -10,4 +10,5 @@ QUERIES = {
     **attribution_queries.QUERIES,
     **scenario_queries.QUERIES,
     **log_queries.QUERIES,
+    **stream_queries.QUERIES,
 }

@@ -178,14 +178,17 @@ def suppression_batch(
 
     def run(batch: DataFrame, batch_id: int) -> None:
         silenced = cut_lineage(states.before(batch_id))
-        alerts = batch.persist()
         whole = F.struct(*batch.columns)
+        # Of alerts at the same time only the first id can pass, so the rest are reduced away at once.
+        alerts = cut_lineage(
+            batch.groupBy("station_id", "ts").agg(F.min_by(whole, "id").alias("a"))
+        )
         passed = batch.limit(0)
         while True:
             due = alerts.join(silenced, "station_id", "left").where(
                 F.col("until").isNull() | (F.col("ts") > F.col("until"))
             )
-            first = cut_lineage(due.groupBy("station_id").agg(F.min_by(whole, F.struct("ts", "id")).alias("a")))
+            first = cut_lineage(due.groupBy("station_id").agg(F.min_by("a", "ts").alias("a")))
             if first.isEmpty():
                 break
             passed = passed.unionByName(first.select("a.*"))
@@ -193,7 +196,6 @@ def suppression_batch(
             silenced = cut_lineage(until.unionByName(silenced.join(until.select("station_id"), "station_id", "left_anti")))
         passed.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
         states.write(batch_id, silenced)
-        alerts.unpersist()
 
     return run
 
