@@ -49,16 +49,16 @@ def event_bonus(etype: Column) -> Column:
     return chain.otherwise(F.lit(0.0))
 
 
-def generate_hypotheses(events: DataFrame, sources: DataFrame) -> DataFrame:
+def generate_hypotheses(events: DataFrame, ranked: DataFrame) -> DataFrame:
     """(event columns, hypothesis h1..h4, enterprise_id, name, industry, node_id, prior) per alert.
 
-    ``events`` has id, station_id, etype and whatever should ride along. Alerts without an upstream
+    ``ranked`` comes from station_hypotheses; ``events`` has id, station_id, etype and what rides along. Alerts without an upstream
     enterprise have no row here; the verdict reports them as failed.
     """
     keyed = events.withColumn("bonus", event_bonus(F.col("etype")))
     return (
         keyed.withColumnRenamed("id", "event_id")
-        .join(station_hypotheses(sources), ["station_id", "bonus"])
+        .join(ranked, ["station_id", "bonus"])
         .withColumn("hypothesis", F.concat(F.lit("h"), F.col("rank").cast("string")))
         .drop("bonus")
     )

@@ -5,16 +5,21 @@ Long form is (id, lex, lem, intensity); packed form is one array of doubles per
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivertrace.functions.spectra import EMISSION, EXCITATION, peak_at, spectrum_at
 from rivertrace.functions.timeparts import even_grid
 
+# The batch functions below travel to the workers by value, so these need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 COSINE_WEIGHT, PEARSON_WEIGHT = 0.6, 0.4  # fixed values: parts of the match score
 TREATMENT_PLANT, TREATMENT_DAMPING = "wwtp", 0.3  # fixed values: weak fluorescence of treated water
 

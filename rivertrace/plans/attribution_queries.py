@@ -75,9 +75,8 @@ def alerts_with_samples(river):
 
 
 def hypotheses_of(river):
-    travel = river.impact.select("station_id", "enterprise_id", "travel_h")
     events = alerts_with_samples(river).drop("indicators", "status", "severity")
-    return A.generate_hypotheses(events, river.sources.drop("travel_h").join(travel, ["station_id", "enterprise_id"]))
+    return A.generate_hypotheses(events, river.ranked_sources)
 
 
 def verified_of(river):

@@ -9,8 +9,9 @@ from functools import cached_property, lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rivertrace.operators import attribution as A
 from rivertrace.operators import network as N
-from rivertrace.session import configure
+from rivertrace.session import configure, cut_lineage
 from rivertrace.sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +54,11 @@ class River:
     def sources(self) -> DataFrame:
         return N.upstream_sources(self.impact)
 
+    @cached_property
+    def ranked_sources(self) -> DataFrame:
+        """At most twelve rows per station; written once, as every alert query starts from it."""
+        return cut_lineage(A.station_hypotheses(self.sources))
+
 
 @lru_cache(maxsize=32)
 def _river(application: str, spark: SparkSession, folder: str) -> River:

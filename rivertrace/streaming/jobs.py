@@ -71,13 +71,16 @@ def cusum_batch(
             .drop("last_ts")
         )
         rows = fresh.unionByName(held).groupBy(*keys, "ts").agg(F.max("value").alias("value"))
-        blocked = rows.withColumn("block", time_block("ts", block_seconds))
+        # The rows of the batch are used several times below; they are written once.
+        blocked = cut_lineage(rows.withColumn("block", time_block("ts", block_seconds)))
         sizes = blocked.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
         ready = sizes.join(state.select(*keys, F.lit(True).alias("started")), keys, "left").where(
             F.col("started") | (F.col("rows") >= warmup_rows)
         )
         # Blocks are bounded, so the facts of a series travel on (series, block).
-        blocks = blocked.select(*keys, "block").distinct().join(ready.select(*keys), keys, "left_semi")
+        blocks = cut_lineage(
+            blocked.select(*keys, "block").distinct().join(ready.select(*keys), keys, "left_semi")
+        )
         unready = blocked.join(blocks, [*keys, "block"], "left_anti").select(*keys, "ts", "value")
         waiting.write(batch_id, unready)
         usable = blocked.join(blocks, [*keys, "block"], "left_semi")
@@ -85,16 +88,17 @@ def cusum_batch(
             blocks.join(state.select(*keys), keys, "left_anti"), [*keys, "block"], "left_semi"
         )
         scales = robust_scale(attach_positions(starting).where(F.col("idx") < warmup_rows), keys)
-        facts = state.select(*keys, "seen", "median", "sigma", "up_start", "down_start").unionByName(
-            scales.select(
-                *keys, F.lit(0).cast("bigint").alias("seen"), "median", "sigma",
-                F.lit(0.0).alias("up_start"), F.lit(0.0).alias("down_start"),
+        facts = cut_lineage(
+            state.select(*keys, "seen", "median", "sigma", "up_start", "down_start").unionByName(
+                scales.select(
+                    *keys, F.lit(0).cast("bigint").alias("seen"), "median", "sigma",
+                    F.lit(0.0).alias("up_start"), F.lit(0.0).alias("down_start"),
+                )
             )
         )
         starts = facts.select(*keys, "up_start", "down_start")
-        path = cusum_scan(
-            attach_positions(usable, facts=facts.drop("up_start", "down_start")), k, h, starts
-        ).withColumn("idx", F.col("idx") + F.col("seen"))
+        scanned = cusum_scan(attach_positions(usable, facts=facts.drop("up_start", "down_start")), k, h, starts)
+        path = cut_lineage(scanned.withColumn("idx", F.col("idx") + F.col("seen")))
         cusum_crossings(path, h).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
         last = path.groupBy(*keys).agg(
             F.max(F.struct("idx", "ts", "median", "sigma", "up", "down")).alias("e")
