@@ -41,10 +41,10 @@ def as_map(parts: DataFrame, key: str) -> DataFrame:
     return parts.groupBy(key).agg(F.map_from_entries(entries).alias("pollutants"))
 
 
-def component_names(compositions: DataFrame) -> DataFrame:
-    """One row with the sorted array ``names`` of all components of a library."""
+def component_names(compositions: DataFrame) -> list[str]:
+    """Sorted names of all components of a library: a handful of pollutants, as a pivot would list them."""
     names = compositions.select(F.explode(F.map_keys("pollutants")).alias("name")).distinct()
-    return names.agg(F.array_sort(F.collect_list("name")).alias("names"))
+    return sorted(row["name"] for row in names.collect())
 
 
 def ratio_similarity(x: Column, y: Column) -> Column:
@@ -53,28 +53,30 @@ def ratio_similarity(x: Column, y: Column) -> Column:
     return F.when(high < 1e-12, 1.0).otherwise(F.least(x, y) / F.nullif(high, F.lit(0.0)))
 
 
-def composition_score(observed: Column, reference: Column, names: Column) -> Column:
-    """Mean min/max ratio over the keys of the observation and of the whole library; missing = 0."""
-    keys = F.array_union(names, F.map_keys(observed))
+def composition_score(observed: Column, reference: Column, names: list[str]) -> Column:
+    """Mean min/max ratio over the keys of the observation and of the whole library; missing = 0.
 
-    def ratio(key: Column) -> Column:
-        return ratio_similarity(
-            F.coalesce(F.try_element_at(observed, key), F.lit(0.0)),
-            F.coalesce(F.try_element_at(reference, key), F.lit(0.0)),
-        )
+    One plain expression per library component, so the sum is compiled. Components only the observation
+    has (rare) score 1 where their amount is nil and 0 otherwise.
+    """
+    def amount(side: Column, name: str) -> Column:
+        return F.coalesce(F.try_element_at(side, F.lit(name)), F.lit(0.0))
 
-    return F.aggregate(keys, F.lit(0.0), lambda total, key: total + ratio(key)) / F.size(keys)
+    total: Column = F.lit(0.0)
+    for name in names:
+        total = total + ratio_similarity(amount(observed, name), amount(reference, name))
+    foreign = F.map_filter(observed, lambda k, v: ~k.isin(*names))
+    has_foreign = F.size(F.array_except(F.map_keys(observed), F.array(*[F.lit(n) for n in names]))) > 0
+    nil = F.size(F.map_filter(foreign, lambda k, v: v < 1e-12))
+    return F.when(has_foreign, (total + nil) / (F.size(foreign) + len(names))).otherwise(total / len(names))
 
 
 def score_compositions(pairs: DataFrame, observed: DataFrame, library: DataFrame) -> DataFrame:
     """Composition match of given (sample_id, enterprise_id) pairs; samples without data drop out."""
-    # The names ride on the library rows: a subquery may not stand inside an array function.
-    known = library.select(
-        "enterprise_id", F.col("pollutants").alias("known"), component_names(library).scalar().alias("names")
-    )
+    names = component_names(library)
     return (
         pairs.join(observed.select("sample_id", F.col("pollutants").alias("seen")), "sample_id")
-        .join(known, "enterprise_id")
-        .withColumn("score", composition_score(F.col("seen"), F.col("known"), F.col("names")))
-        .drop("seen", "known", "names")
+        .join(library.select("enterprise_id", F.col("pollutants").alias("known")), "enterprise_id")
+        .withColumn("score", composition_score(F.col("seen"), F.col("known"), names))
+        .drop("seen", "known")
     )

@@ -15,46 +15,65 @@ MIN_ROWS = 200  # fixed value: fewer rows than this give no periodicity evidence
 SLICE_ROWS = 2016  # fixed value: rows of a periodicity slice
 
 
-def _guarded_corr(x: str, y: str) -> Column:
-    both = F.col(y).isNotNull()
-    left = F.when(both, F.col(x))
-    steady = (F.stddev_pop(left) <= 1e-12) | (F.stddev_pop(F.col(y)) <= 1e-12)
-    return F.when(steady, F.lit(0.0)).otherwise(F.coalesce(F.corr(left, F.col(y)), F.lit(0.0)))
-
-
 def profile_features(
     pairs: DataFrame, keys: Sequence[str], interval_min: int, period_h: int
 ) -> DataFrame:
     """Periodicity per key from rows (keys, idx, n, value, past); ``past`` lies one period earlier.
 
-    Both reductions are pre-aggregated: one row per (key, phase), then at most ``period`` rows per key.
+    One pass reduces the rows to moments per (key, phase), combined ahead of the shuffle; the moments of
+    the at most ``period`` phases then give both the profile and the correlation.
     """
     keys = list(keys)
     period = period_h * 60 // interval_min
-    relation = pairs.groupBy(*keys).agg(
-        F.max("n").alias("n"), _guarded_corr("value", "past").alias("r")
-    )
-    profile = (
-        pairs.where(F.col("idx") < F.floor(F.col("n") / period) * period)
-        .groupBy(*keys, (F.col("idx") % period).alias("phase"))
-        .agg(F.avg("value").alias("level"))
+    paired = F.when(F.col("past").isNotNull(), F.col("value"))
+    whole = F.col("idx") < F.floor(F.col("n") / period) * period
+    phases = (
+        pairs.groupBy(*keys, (F.col("idx") % period).alias("phase"))
+        .agg(
+            F.max("n").alias("n"),
+            F.avg(F.when(whole, F.col("value"))).alias("level"),
+            F.count("past").cast("double").alias("c"),
+            F.coalesce(F.avg(paired), F.lit(0.0)).alias("mx"),
+            F.coalesce(F.avg("past"), F.lit(0.0)).alias("my"),
+            F.coalesce(F.var_pop(paired), F.lit(0.0)).alias("vx"),
+            F.coalesce(F.var_pop("past"), F.lit(0.0)).alias("vy"),
+            F.coalesce(F.covar_pop("value", "past"), F.lit(0.0)).alias("cxy"),
+            F.min(paired).alias("lo_x"), F.max(paired).alias("hi_x"),
+            F.min("past").alias("lo_y"), F.max("past").alias("hi_y"),
+        )
         .withColumn("hour", F.col("phase") * interval_min / 60.0)
     )
     night = (F.col("hour") >= 22) | (F.col("hour") < 3)
-    shape = profile.groupBy(*keys).agg(
+    total, sum_x, sum_y = F.sum("c"), F.sum(F.col("c") * F.col("mx")), F.sum(F.col("c") * F.col("my"))
+
+    def moment(within: str, left: str, right: str, sums: Column) -> Column:
+        spread = F.sum(F.col("c") * (F.col(within) + F.col(left) * F.col(right)))
+        return spread - F.try_divide(sums, total)
+
+    shape = phases.groupBy(*keys).agg(
+        F.max("n").alias("n"),
         F.avg("level").alias("overall"),
         F.stddev_pop("level").alias("sd"),
         F.min_by("hour", F.struct(-F.col("level"), F.col("hour"))).alias("peak_hour"),
         F.avg(F.when(night, F.col("level"))).alias("night_level"),
         F.array_sort(F.collect_list(F.struct("hour", "level"))).alias("levels"),
+        moment("vx", "mx", "mx", sum_x * sum_x).alias("sxx"),
+        moment("vy", "my", "my", sum_y * sum_y).alias("syy"),
+        moment("cxy", "mx", "my", sum_x * sum_y).alias("sxy"),
+        (F.max("hi_x") - F.min("lo_x")).alias("range_x"),
+        (F.max("hi_y") - F.min("lo_y")).alias("range_y"),
+    )
+    steady = (F.col("range_x") <= 1e-12) | (F.col("range_y") <= 1e-12)
+    r = F.when(steady, 0.0).otherwise(
+        F.coalesce(F.try_divide(F.col("sxy"), F.sqrt(F.greatest(F.col("sxx") * F.col("syy"), F.lit(0.0)))), F.lit(0.0))
     )
     threshold = F.col("overall") + F.greatest(F.col("sd") * 0.3, F.lit(1e-9))
     active = F.transform(
         F.filter("levels", lambda p: p["level"] > threshold), lambda p: F.bround(p["hour"], 1)
     )
     enough = F.col("n") >= 2 * period
-    strength = F.bround(F.greatest(F.col("r"), F.lit(0.0)), 3)
-    return relation.join(shape, keys, "left").select(
+    strength = F.bround(F.greatest(r, F.lit(0.0)), 3)
+    return shape.select(
         *keys,
         "n",
         F.lit(period_h).alias("period_h"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rivertrace.functions.plume import DISPERSION_M2_S, puff
 from rivertrace.functions.timeparts import even_grid
 from rivertrace.operators.network import downstream_paths
+from rivertrace.session import spread
 
 
 def plume_paths(spills: DataFrame, closure: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def simulate_puff(
 ) -> DataFrame:
     """(spill_id, node_id, t_h, c_mgl) at evenly spaced times on all downstream nodes."""
     return (
-        plume_paths(spills, closure, nodes)
+        spread(plume_paths(spills, closure, nodes), "spill_id", "node_id")
         .withColumn("t", F.explode(even_grid(0.0, t_hours, points)))
         .select("spill_id", "node_id", F.col("t").alias("t_h"), concentration(F.col("t"), dispersion).alias("c_mgl"))
     )

@@ -11,6 +11,7 @@ from rivertrace import fixed_values as V
 from rivertrace.functions.plume import puff
 from rivertrace.functions.timeparts import day_of_year, hour_of, in_hours, minutes_since, weekday_of
 from rivertrace.operators.network import DEFAULT_Q_WASTE, downstream_paths
+from rivertrace.session import spread
 
 TWO_PI = 2 * math.pi
 
@@ -172,8 +173,7 @@ def whatif_deltas(
         room = F.floor((F.unix_micros(last_ts) - F.unix_micros(epoch)) / (interval_min * 60_000_000)) + 1
         steps = F.least(steps, (room - begin).cast("int"))
     timed = (
-        reached.withColumn("steps", steps)
-        .where("steps > 0")
+        spread(reached.withColumn("steps", steps).where("steps > 0"), "scenario_id", "station_id", "indicator")
         .withColumn("step", F.explode(F.sequence(F.lit(0), F.col("steps") - 1)))
         .withColumn("t_min", (begin + F.col("step")) * interval_min)
         .withColumn("t_h", F.col("step") * interval_min / 60.0)

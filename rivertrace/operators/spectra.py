@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from rivertrace.functions.spectra import EMISSION, EXCITATION, peak_at, spectrum_at
 from rivertrace.functions.timeparts import even_grid
+from rivertrace.session import spread
 
 # The batch functions below travel to the workers by value, so these need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -32,9 +33,19 @@ def with_grid(df: DataFrame, excitation=EXCITATION, emission=EMISSION) -> DataFr
 
 
 def expand_spectra(fingerprints: DataFrame, excitation=EXCITATION, emission=EMISSION) -> DataFrame:
-    """Peak lists as grids: (enterprise_id, lex, lem, intensity). Needs no shuffle."""
-    return with_grid(fingerprints.select("enterprise_id", "spectrum"), excitation, emission).select(
-        "enterprise_id", "lex", "lem", spectrum_at(F.col("spectrum"), F.col("lex"), F.col("lem")).alias("intensity")
+    """Peak lists as grids: (enterprise_id, lex, lem, intensity).
+
+    Only the peak lists are shuffled, by enterprise; the sum over peaks at a grid cell then finds all its
+    rows in one task and needs no further exchange.
+    """
+    peaks = spread(fingerprints.select("enterprise_id", "spectrum"), "enterprise_id").select(
+        "enterprise_id", F.explode("spectrum").alias("p")
+    )
+    value = peak_at(*[F.col(c) for c in ("lex", "lem", "p.lex", "p.lem", "p.amp", "p.sigma")])
+    return (
+        with_grid(peaks, excitation, emission)
+        .groupBy("enterprise_id", "lex", "lem")
+        .agg(F.sum(value).alias("intensity"))
     )
 
 
@@ -113,7 +124,7 @@ def expected_spectrum(
     )
     value = peak_at(*[F.col(c) for c in ("lex", "lem", "plex", "plem", "amp", "sigma")])
     mixed = (
-        with_grid(peaks, excitation, emission)
+        with_grid(spread(peaks, "station_id", "plex", "plem", "sigma"), excitation, emission)
         .groupBy("station_id", "lex", "lem")
         .agg(F.sum(value).alias("raw"))
     )

@@ -13,6 +13,9 @@ from rivertrace.operators import spectra as X
 from rivertrace.plans.common import open_river, r
 from rivertrace.plans.detection_queries import _SLICES, _profile
 from rivertrace.plans.oracle_entities import with_entities
+from rivertrace.session import cut_lineage
+from rivertrace.sources.stores import current_status
+from rivertrace.sources.tables import compositions
 
 
 def spectrum_match(spark, folder):
@@ -80,11 +83,10 @@ def hypotheses_of(river):
 
 
 def verified_of(river):
-    found = hypotheses_of(river)
+    # Four kinds of evidence start from the hypotheses, so these are written once, spread by alert.
+    found = cut_lineage(hypotheses_of(river).repartition("event_id"))
     spectrum = A.spectrum_evidence(found, river.sample_vectors, river.library_vectors)
     library = river.compositions.withColumn("pollutants", C.normalised(F.col("pollutants")))
-    from rivertrace.sources.tables import compositions
-
     seen = compositions(river.spark, river.folder, "l_orderkey", "sample_id")
     seen = seen.withColumn("pollutants", C.normalised(F.col("pollutants")))
     composition = A.composition_evidence(found, seen, library)
@@ -159,8 +161,6 @@ def event_lookup(spark, folder):
 
 def alert_status(spark, folder):
     """Latest status per reporter out of an append-only status log."""
-    from rivertrace.sources.stores import current_status
-
     log = open_river(spark, folder).alerts.select(F.col("reporter").alias("id"), "status", F.col("created_at").alias("at"))
     return current_status(log).select("id", "status", F.unix_micros("at").alias("at_us"))
 

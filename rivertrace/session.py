@@ -48,3 +48,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint; survives the loss of executors."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash-partitions a small table over all cores before each of its rows is expanded to many.
+
+    The number is explicit, as adaptive execution would merge so little data into one task.
+    """
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, *columns)
