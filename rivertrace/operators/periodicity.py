@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rivertrace.operators.blocks import (
     DAY, SERIES, asof_facts, tile_window, time_block, with_positions, with_tiles,
 )
+from rivertrace.session import spread
 
 MIN_ROWS = 200  # fixed value: fewer rows than this give no periodicity evidence
 SLICE_ROWS = 2016  # fixed value: rows of a periodicity slice
@@ -126,8 +127,9 @@ def periodicity_from(
         "tile", F.floor(F.col("idx") / limit)
     )
     inside = (F.col("idx") >= F.col("first")) & (F.col("idx") < F.col("first") + limit)
+    # Every slice row meets up to ``limit`` readings, so the few slices are spread over all cores first.
     members = (
-        slices.join(tiles.select(*SERIES, "tile", "idx", "n", "value"), [*SERIES, "tile"])
+        spread(slices, *SERIES, "tile").join(tiles.select(*SERIES, "tile", "idx", "n", "value"), [*SERIES, "tile"])
         .where(inside)
         .withColumn("n", F.least(F.col("n") - F.col("first"), F.lit(limit)))
         .withColumn("idx", F.col("idx") - F.col("first"))
