@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivertrace.operators.blocks import SERIES, with_blocks
+from rivertrace.operators.blocks import SERIES, asof_facts, with_blocks
 from rivertrace.operators.detectors import detect
 
 MIN_SAMPLES = 48  # fixed value: fewer recent readings than this are not judged
@@ -53,21 +53,24 @@ def open_since(events: DataFrame, cutoff: Column) -> DataFrame:
 def suppress_duplicates(candidates: DataFrame, events: DataFrame, hours: int = SUPPRESS_H) -> DataFrame:
     """Candidates (station_id, ts) without an open alert of the station in the ``hours`` up to ``ts``.
 
-    Onsets meet candidates by equality on (station, period of ``hours``), this period and the one
-    before, so a busy station is spread over time.
+    The latest open onset as of each candidate decides, so the work is one ordered pass over blocks of
+    time and never pairs a station's candidates with its alerts.
     """
-    def period(ts: Column) -> Column:
-        return F.floor(F.unix_micros(ts) / (hours * 3_600_000_000))
-
-    active = (
+    onsets = (
         events.where(F.col("status") == "open")
-        .select(F.col("station_id").alias("_station"), F.col("onset_ts").alias("_onset"))
+        .select("station_id", F.col("onset_ts").alias("ts"), F.lit(0.0).alias("value"))
         .distinct()
-        .withColumn("_period", F.explode(F.array(period(F.col("_onset")), period(F.col("_onset")) + 1)))
     )
-    recent = (F.col("_onset") > F.col("ts") - F.make_dt_interval(hours=F.lit(hours))) & (F.col("_onset") <= F.col("ts"))
-    same = (F.col("station_id") == F.col("_station")) & (period(F.col("ts")) == F.col("_period"))
-    return candidates.join(active, same & recent, "left_anti")
+    moments = candidates.select("station_id", F.col("ts").alias("at"))
+    seen = asof_facts(onsets, moments, keys=["station_id"], inclusive=True).select(
+        "station_id", F.col("at").alias("ts"), F.col("last_ts").alias("_last")
+    )
+    recent = F.col("_last") > F.col("ts") - F.make_dt_interval(hours=F.lit(hours))
+    return (
+        candidates.join(seen, ["station_id", "ts"], "left")
+        .where(~F.coalesce(recent, F.lit(False)))
+        .select(*candidates.columns)
+    )
 
 
 def scan_for_events(

@@ -141,7 +141,7 @@ def verify_hypotheses(evidence: DataFrame) -> DataFrame:
         lambda a, b: a + b, [F.when(F.col(n).isNotNull(), F.lit(w)).otherwise(0.0) for n, w in kinds]
     )
     total = reduce(lambda a, b: a + b, [F.coalesce(F.col(n) * w, F.lit(0.0)) for n, w in kinds])
-    fused = F.bround(F.least(F.lit(1.0), total / F.nullif(weight, F.lit(0.0))), 3)
+    fused = F.when(weight > 0, F.bround(F.least(F.lit(1.0), F.try_divide(total, weight)), 3))
     return (
         evidence.withColumn("evidence_count", reduce(lambda a, b: a + b, present))
         .withColumn("score", F.coalesce(fused, F.col("prior")))

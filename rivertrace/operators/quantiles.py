@@ -80,8 +80,12 @@ def robust_scale(df: DataFrame, keys: Sequence[str], value: str = "value") -> Da
     keys = list(keys)
     counts = value_counts(df, keys, value)
     centre = median_of_counts(counts, keys)
+    # The median reaches the values through (key, bin): a join on the key alone would put all values of
+    # a busy series in one task.
+    binned = counts.withColumn("bin", value_bin(F.col("v")))
+    per_bin = binned.select(*keys, "bin").distinct().join(centre, keys)
     spread = (
-        counts.join(centre, keys)
+        binned.join(per_bin, [*keys, "bin"])
         .groupBy(*keys, F.abs(F.col("v") - F.col("median")).alias("v"))
         .agg(F.sum("c").alias("c"))
     )

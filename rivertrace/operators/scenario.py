@@ -192,7 +192,7 @@ def whatif_deltas(
     series = ["scenario_id", "station_id", "indicator"]
     valued = timed.withColumn("raw", raw).select(
         *series, "etype", "conc", "mass_kg", "raw",
-        F.timestamp_micros(F.unix_micros(epoch) + (F.col("t_min") * 60_000_000).cast("bigint")).alias("ts"),
+        F.timestamp_micros(F.unix_micros(epoch) + (F.col("t_min") * F.lit(60_000_000).cast("bigint")).cast("bigint")).alias("ts"),
     )
     peaks = valued.groupBy(*series).agg(F.max(F.abs("raw")).alias("top"))
     size = F.sqrt(F.col("mass_kg") / V.SUDDEN_REFERENCE_KG)

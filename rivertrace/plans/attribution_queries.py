@@ -223,7 +223,7 @@ _EVIDENCE = (
      " coalesce(eem*0.40::double,0)+coalesce(pollutant*0.25::double,0)+coalesce(pattern*0.20::double,0)+coalesce(strength*0.15::double,0)"
      " AS total FROM evid"),
     # Half to even on the printed decimal, as a scaled double would move values just below a tie.
-    ("milli", "SELECT *, cast(cast(least(1.0, total/nullif(ws,0)) AS varchar) AS decimal(38,20))*1000 AS m FROM weighed"),
+    ("milli", "SELECT *, cast(cast(CASE WHEN ws>0 THEN least(1.0, total/ws) END AS varchar) AS decimal(38,20))*1000 AS m FROM weighed"),
     ("scored", "SELECT * EXCLUDE (m), coalesce(cast(floor(m)+CASE WHEN m-floor(m)>0.5 OR (m-floor(m)=0.5 AND floor(m)%2=1)"
      " THEN 1 ELSE 0 END AS double)/1000, prior) AS score FROM milli"),
     ("best", "SELECT event_id, enterprise_id, name, industry, score, cnt FROM (SELECT *, row_number() OVER (PARTITION BY event_id"
