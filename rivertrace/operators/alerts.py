@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rivertrace.operators.blocks import SERIES, asof_facts, with_blocks
 from rivertrace.operators.detectors import detect
+from rivertrace.session import cut_lineage
 
 MIN_SAMPLES = 48  # fixed value: fewer recent readings than this are not judged
 SUPPRESS_H = 48  # fixed value: an open alert this recent suppresses another
@@ -88,7 +89,8 @@ def scan_for_events(
     suppression time silences the later indicators of its station, as one already open does.
     """
     now = latest_time(readings)
-    recent = enough_samples(recent_readings(readings, window_h, now), min_samples)
+    # The look-back is a small share of the readings and the detector reads it more than once.
+    recent = cut_lineage(enough_samples(recent_readings(readings, window_h, now), min_samples))
     found = first_severe(detect(recent, method, **settings))
     order = stations.select(F.col("id").alias("station_id"), F.posexplode("indicators").alias("pos", "indicator"))
     cutoff = now - F.make_dt_interval(hours=F.lit(SUPPRESS_H))

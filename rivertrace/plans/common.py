@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from rivertrace.operators import attribution as A
 from rivertrace.operators import network as N
-from rivertrace.session import configure, cut_lineage
+from rivertrace.session import configure, cut_lineage, shared_root
 from rivertrace.sources import tables as T
+from rivertrace.sources.stores import path_exists
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +68,9 @@ def _river(application: str, spark: SparkSession, folder: str) -> River:
 
 def open_river(spark: SparkSession, folder: str) -> River:
     configure(spark)
+    shared_root(spark)
+    if not path_exists(spark, spark.sparkContext.getCheckpointDir()):
+        _river.cache_clear()  # somebody emptied the shared folder: what was kept there is gone
     return _river(spark.sparkContext.applicationId, spark, folder)
 
 

@@ -8,26 +8,23 @@ from pyspark.sql import functions as F
 from rivertrace import schemas
 
 
-def write_readings(readings: DataFrame, path: str, mode: str = "append") -> None:
-    """Parquet by date. Within a date rows are sorted by series, so row-group statistics prune.
+def _by_date(readings: DataFrame) -> DataFrame:
+    """Rows in ranges of (date, series, time): few files per date, and neither a busy date nor a busy
+    series ends up in one task. Sorted rows let row-group statistics prune."""
+    order = ("date", "station_id", "indicator", "ts")
+    dated = readings.withColumn("date", F.to_date("ts"))
+    return dated.repartitionByRange(*order).sortWithinPartitions(*order)
 
-    A date is spread over tasks by series and hour: neither a busy day nor a busy series is one task.
-    """
-    (
-        readings.withColumn("date", F.to_date("ts"))
-        .repartition("date", "station_id", "indicator", F.date_trunc("hour", "ts"))
-        .sortWithinPartitions("date", "station_id", "indicator", "ts")
-        .write.mode(mode).partitionBy("date").parquet(path)
-    )
+
+def write_readings(readings: DataFrame, path: str, mode: str = "append") -> None:
+    """Parquet by date."""
+    _by_date(readings).write.mode(mode).partitionBy("date").parquet(path)
 
 
 def replace_dates(readings: DataFrame, path: str) -> None:
     """Overwrites only the dates present in ``readings``."""
-    (
-        readings.withColumn("date", F.to_date("ts"))
-        .repartition("date", "station_id", "indicator", F.date_trunc("hour", "ts"))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
-    )
+    writer = _by_date(readings).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("date").parquet(path)
 
 
 def read_readings(spark: SparkSession, path: str) -> DataFrame:
@@ -52,7 +49,7 @@ def append_messages(messages: DataFrame, path: str) -> None:
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
     """Messages as written, blank lines skipped; empty when nothing was recorded. Order by ``seq``."""
     fields = "seq BIGINT, type STRING, data STRING, at TIMESTAMP"
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], f"inv_id STRING, {fields}")
     lines = spark.read.text(path)
     return (
@@ -89,10 +86,10 @@ def save_reports(lines: DataFrame, path: str) -> None:
 def report_path(spark: SparkSession, path: str, inv_id: str) -> str | None:
     """Folder of an investigation's report, None if it has none."""
     folder = f"{path}/inv_id={inv_id}"
-    return folder if _exists(spark, folder) else None
+    return folder if path_exists(spark, folder) else None
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 

@@ -17,7 +17,7 @@ from rivertrace.operators.casefile import guard_messages
 from rivertrace.operators.detectors import cusum_crossings, cusum_scan
 from rivertrace.operators.quantiles import robust_scale
 from rivertrace.session import cut_lineage
-from rivertrace.sources.stores import _exists
+from rivertrace.sources.stores import path_exists
 
 REFRESH = "30 seconds"  # fixed value: refresh cadence of alert lists
 LATENESS = "2 hours"
@@ -31,7 +31,7 @@ class VersionedTable:
 
     def before(self, batch_id: int) -> DataFrame:
         folder = f"{self.path}/v={batch_id - 1}"
-        if batch_id > 0 and _exists(self.spark, folder):
+        if batch_id > 0 and path_exists(self.spark, folder):
             return self.spark.read.schema(self.schema).parquet(folder)
         return self.spark.createDataFrame([], self.schema)
 
