@@ -13,7 +13,7 @@ from rivertrace.operators import spectra as X
 from rivertrace.plans.common import open_river, r
 from rivertrace.plans.detection_queries import _SLICES, _profile
 from rivertrace.plans.oracle_entities import with_entities
-from rivertrace.session import cut_lineage
+from rivertrace.session import write_once
 from rivertrace.sources.stores import current_status
 from rivertrace.sources.tables import compositions
 
@@ -84,7 +84,7 @@ def hypotheses_of(river):
 
 def verified_of(river):
     # Four kinds of evidence start from the hypotheses, so these are written once, spread by alert.
-    found = cut_lineage(hypotheses_of(river).repartition("event_id"))
+    found = write_once(hypotheses_of(river).repartition("event_id"), "hypotheses")
     spectrum = A.spectrum_evidence(found, river.sample_vectors, river.library_vectors)
     library = river.compositions.withColumn("pollutants", C.normalised(F.col("pollutants")))
     seen = compositions(river.spark, river.folder, "l_orderkey", "sample_id")

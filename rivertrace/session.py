@@ -50,6 +50,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def write_once(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, for results that several readers use in part:
+    each reads only its columns."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Hash-partitions a small table over all cores before each of its rows is expanded to many.
 
