@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from rivertrace.llm import byte_bpe, simhash_dedup
+from rivertrace.llm import byte_bpe, language_id, quality, sharding, simhash_dedup, url_filter
 
-QUERIES = {**byte_bpe.QUERIES, **simhash_dedup.QUERIES}
+QUERIES = {**byte_bpe.QUERIES, **language_id.QUERIES, **quality.QUERIES, **sharding.QUERIES, **simhash_dedup.QUERIES, **url_filter.QUERIES}
