@@ -39,6 +39,15 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = P
             yield batch.slice(start)
 
 
+BROADCAST_ROWS = 1_000_000
+
+
+def sized_broadcast(keys: DataFrame) -> DataFrame:
+    """Marks a saved table of one or two numbers per row for broadcasting if its count shows that it is
+    small; a larger one is left to Spark, which then shuffles. The rows of a join are the same either way."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def content_key(text: Column | str) -> Column:
     """Stands for a text in grouping and joining: 256 bits, so equal keys mean equal texts. Null stays null."""
     return F.sha2(F.col(text) if isinstance(text, str) else text, 256)
