@@ -53,6 +53,19 @@ def content_key(text: Column | str) -> Column:
     return F.sha2(F.col(text) if isinstance(text, str) else text, 256)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(row_, doc_id, text): everything but the text in one struct, so that no column of the caller can clash
+    with one of an operator."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*others).alias("row_"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def unpacked(rows: DataFrame, columns: list[str], added: tuple[str, ...] = ()) -> DataFrame:
+    """The caller's columns in their order, then ``added``, which replace columns of the same name."""
+    own = [F.col("text") if c == "text" else F.col(f"row_.`{c}`").alias(c) for c in columns if c not in added]
+    return rows.select(*own, *added)
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

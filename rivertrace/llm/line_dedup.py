@@ -13,8 +13,9 @@ import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from rivertrace.llm.common import connected_components, pieces, sized_broadcast, table
+from rivertrace.llm.common import connected_components, packed, pieces, sized_broadcast, table, unpacked
 from rivertrace.session import write_once
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -251,35 +252,24 @@ def near_lines(docs: DataFrame) -> DataFrame:
     return write_once(both.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "near")
 
 
-def _cutter(names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            texts, totals, dropped = [], [], []
-            for t, gone in zip(batch.column("text").to_pylist(), batch.column("gone_").to_pylist()):
-                parts = [] if t is None else t.split("\n")
-                out = set(gone or ())
-                texts.append("\n".join(x for i, x in enumerate(parts) if i not in out) if out else t)
-                totals.append(len(parts))
-                dropped.append(len(out))
-            made = {"text": pa.array(texts, pa.string()), "lines_": pa.array(totals, pa.int64()), "dropped_": pa.array(dropped, pa.int64())}
-            yield pa.RecordBatch.from_arrays([made[n] if n in made else batch.column(n) for n in names], names)
-
-    return run
-
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches):
+        texts, totals, dropped = [], [], []
+        for t, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist()):
+            parts = [] if t is None else t.split("\n")
+            out = set(gone or ())
+            texts.append("\n".join(x for i, x in enumerate(parts) if i not in out) if out else t)
+            totals.append(len(parts))
+            dropped.append(len(out))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("row_"), pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(dropped, pa.int64()), batch.column("repeats_of"), batch.column("n_links")],
+            ["row_", "text", "n_lines", "n_dropped", "repeats_of", "n_links"],
+        )
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` without the lines that repeat an earlier one, and with ``lines_``, ``dropped_``,
-    ``repeats_of_`` (doc_ids that hold the first lines of the classes) and ``links_`` (near lines, other than
-    equal ones, linked to the document's lines).
 
-    Lines are compared without blanks at their ends. Lines of one class are equal, or joined by a chain of
-    lines of ``NEAR_CHARS`` or more, each at most ``EDITS`` from the next; the first by (doc_id, place) stays.
-    Lines below ``LEAST_CHARS`` always stay. Null ids come first; rows that repeat id and text are treated
-    alike. Null texts stay null; a text may end up empty.
-    """
-    keyed = docs.withColumn("tk", F.xxhash64("text"))
-    source = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "tk", "text")
-    places = write_once(source.mapInArrow(_places, "doc_id long, tk long, line int, lh long"), "places")
+def _deduped(docs: DataFrame) -> DataFrame:
+    rows = packed(docs).withColumn("tk", F.xxhash64("text"))
+    places = write_once(rows.select("doc_id", "tk", "text").mapInArrow(_places, "doc_id long, tk long, line int, lh long"), "places")
     place = F.struct("doc_id", "tk", "line")
     firsts = write_once(places.groupBy("lh").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")), "firsts")
     near = near_lines(docs.select("text"))
@@ -292,30 +282,40 @@ def dedup(docs: DataFrame) -> DataFrame:
     met = places.join(members, "lh")
     later = ~place.eqNullSafe(F.col("class_first"))
     marks = met.groupBy("doc_id", "tk").agg(
-        F.collect_set(F.when(later, F.col("line"))).alias("gone_"),
-        F.sort_array(F.collect_set(F.when(later, F.col("class_first.doc_id")))).alias("repeats_of_"),
-        F.sum("near").alias("links_"),
+        F.collect_set(F.when(later, F.col("line"))).alias("gone"),
+        F.sort_array(F.collect_set(F.when(later, F.col("class_first.doc_id")))).alias("repeats_of"),
+        F.sum("near").alias("n_links"),
+    )
+    marks = write_once(marks.withColumnsRenamed({"doc_id": "mark_id", "tk": "mark_tk"}), "marks")
+    marked = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("mark_id")) & F.col("tk").eqNullSafe(F.col("mark_tk")), "left")
+    marked = marked.select(
+        "row_", "text", "gone", F.coalesce("repeats_of", F.array().cast("array<long>")).alias("repeats_of"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
-    marks = write_once(marks.withColumnsRenamed({"doc_id": "mark_id_", "tk": "mark_tk_"}), "marks")
-    joined = keyed.join(marks, F.col("doc_id").cast("long").eqNullSafe(F.col("mark_id_")) & F.col("tk").eqNullSafe(F.col("mark_tk_")), "left")
-    names = [*docs.columns, "lines_", "dropped_", "repeats_of_", "links_"]
-    kinds = {f.name: f.dataType.simpleString() for f in joined.schema} | {"lines_": "bigint", "dropped_": "bigint"}
-    schema = ", ".join(f"`{n}` {kinds[n]}" for n in names)
-    cut = joined.select(*docs.columns, "repeats_of_", "links_", "gone_").mapInArrow(_cutter(names), schema)
-    return cut.withColumns({"repeats_of_": F.coalesce("repeats_of_", F.array().cast("array<long>")), "links_": F.coalesce("links_", F.lit(0))})
+    kept = [marked.schema["row_"], marked.schema["text"], StructField("n_lines", LongType()), StructField("n_dropped", LongType())]
+    return marked.mapInArrow(_cut, StructType([*kept, marked.schema["repeats_of"], marked.schema["n_links"]]))
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """``docs`` without the lines that repeat an earlier one, and with ``n_lines``, ``n_dropped``,
+    ``repeats_of`` (doc_ids that hold the first lines of the classes) and ``n_links`` (near lines, other than
+    equal ones, linked to the document's lines); these replace columns of the same name.
+
+    Lines are compared without blanks at their ends. Lines of one class are equal, or joined by a chain of
+    lines of ``NEAR_CHARS`` or more, each at most ``EDITS`` from the next; the first by (doc_id, place) stays.
+    Lines below ``LEAST_CHARS`` always stay. Null ids come first; rows that repeat id and text are treated
+    alike. Null texts stay null; a text may end up empty.
+    """
+    return unpacked(_deduped(docs), docs.columns, ("n_lines", "n_dropped", "repeats_of", "n_links"))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
-    return dedup(table(spark, folder, "documents").select("doc_id", "text")).withColumnsRenamed(
-        {"lines_": "n_lines", "dropped_": "n_dropped", "repeats_of_": "repeats_of", "links_": "n_links"}
-    )
+    return dedup(table(spark, folder, "documents").select("doc_id", "text"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    cut = dedup(docs)
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+    """``docs`` with shorter texts and their length in ``n_chars``."""
+    cut = unpacked(_deduped(docs), docs.columns)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
 QUERIES = {"op8_line_dedup": (query, None)}

@@ -13,8 +13,9 @@ import pyarrow.compute  # noqa: F401
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from rivertrace.llm.common import pieces, table
+from rivertrace.llm.common import packed, pieces, table, unpacked
 from rivertrace.session import write_once
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -100,7 +101,7 @@ def _scorer(ratios, names: list[str]):
             for t in batch.column("text").to_pylist():
                 g = grams(t)
                 scores.append(float(values[g].mean()) if len(g) else NOTHING)
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(scores, pa.float64())], names + ["log_ratio_"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(scores, pa.float64())], [*names, "log_ratio"])
 
     return run
 
@@ -119,47 +120,45 @@ def _kth(keys: DataFrame, k: int) -> int:
     return prefix
 
 
-def sample(docs: DataFrame, labels: DataFrame, loss: float = LOSS, columns: list[str] | None = None, seed: int = SEED) -> DataFrame:
-    """The documents of a Gumbel top-k draw, with ``log_ratio_`` and ``key_``.
+def _drawn(docs: DataFrame, labels: DataFrame, loss: float, seed: int, whole: bool) -> DataFrame:
+    fit, held = labelled_ids(labels)
+    ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, fit).astype(np.float32))
+    noise = -F.log(-F.log((F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)))
+    source = packed(docs).withColumn("noise", noise)
+    names = ["row_", "doc_id", "text", "noise"] if whole else ["row_", "doc_id", "noise"]
+    schema = StructType([*(source.schema[n] for n in names), StructField("log_ratio", DoubleType())])
+    scored = source.mapInArrow(_scorer(ratios, names), schema).withColumn("gumbel_key", F.col("log_ratio") * SHARPNESS + F.col("noise"))
+    scored = write_once(scored, "scored")
+    reference = scored.join(docs.sparkSession.createDataFrame([(int(i),) for i in held], "doc_id long"), "doc_id", "left_semi")
+    floor = reference.agg(F.percentile("log_ratio", F.lit(loss))).first()[0] if len(fit) else None
+    if floor is None:
+        return scored
+    k = scored.filter(F.col("log_ratio") >= floor).count()
+    order = F.round(F.col("gumbel_key") * 1e9).cast("long")
+    return scored.filter(order >= _kth(scored.select(order.alias("key")), k))
+
+
+def sample(docs: DataFrame, labels: DataFrame, loss: float = LOSS, seed: int = SEED) -> DataFrame:
+    """The documents of a Gumbel top-k draw, with ``log_ratio`` and ``gumbel_key``, which replace columns of
+    the same name.
 
     A document's weight is the mean log ratio of its grams (the ratio of the two models, per gram, so that
     long texts are not favoured) times ``SHARPNESS``; noise comes from a hash of its id and text, so a
     recomputed task draws the same. k is the number of documents not below the floor that all but ``loss`` of
     held-out good documents reach. Documents with equal keys go together. A null or empty text, or one
-    without words or signs, weighs ``NOTHING`` and goes, unless there are no labelled documents: then
-    there is no target and everything stays.
+    without words or signs, weighs ``NOTHING`` and goes, unless there are no labelled good documents to
+    learn from and to set the floor: then there is no target and everything stays.
     """
-    columns = columns or docs.columns
-    fit, held = labelled_ids(labels)
-    ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, fit).astype(np.float32))
-    noise = -F.log(-F.log((F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)))
-    source = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_noise": noise}).select("_id", "_noise", *columns, *([] if "text" in columns else ["text"]))
-    names = ["_id", "_noise", *columns]
-    schema = ", ".join(f"`{n}` {source.schema[n].dataType.simpleString()}" for n in names) + ", log_ratio_ double"
-    scored = source.mapInArrow(_scorer(ratios, names), schema)
-    scored = scored.withColumn("key_", F.col("log_ratio_") * SHARPNESS + F.col("_noise"))
-    scored = write_once(scored, "scored")
-    if not len(fit):
-        return scored.select(*columns, "log_ratio_", "key_")
-    reference = scored.select("_id", "log_ratio_").join(docs.sparkSession.createDataFrame([(int(i),) for i in held], "_id long"), "_id")
-    floor = reference.agg(F.percentile("log_ratio_", F.lit(loss))).first()[0]
-    if floor is None:
-        return scored.select(*columns, "log_ratio_", "key_")
-    order = F.round(F.col("key_") * 1e9).cast("long")
-    keys = scored.select(order.alias("key"))
-    k = scored.filter(F.col("log_ratio_") >= floor).count()
-    least = _kth(keys, k) if k else None
-    chosen = scored.filter(order >= least) if k else scored.limit(0)
-    return chosen.select(*columns, "log_ratio_", "key_")
+    return unpacked(_drawn(docs, labels, loss, seed, True), docs.columns, ("log_ratio", "gumbel_key"))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
-    kept = sample(table(spark, folder, "documents"), table(spark, folder, "labels"), columns=["doc_id"])
-    return kept.select("doc_id", F.col("log_ratio_").alias("log_ratio"), F.col("key_").alias("gumbel_key"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return _drawn(docs, table(spark, folder, "labels"), LOSS, SEED, False).select("doc_id", "log_ratio", "gumbel_key")
 
 
 def stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    return sample(docs, table(spark, folder, "labels")).select(*docs.columns)
+    return unpacked(_drawn(docs, table(spark, folder, "labels"), LOSS, SEED, True), docs.columns)
 
 
 QUERIES = {"op2_quality": (query, None)}

@@ -128,8 +128,8 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Of rows that repeat a doc_id one stays. Rows without a doc_id cannot be told apart and all stay.
     """
-    first = components(docs, radius).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id") == F.col("kept_id"), "left_semi")
+    first = components(docs, radius).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id_")).distinct()
+    kept = docs.join(first, docs["doc_id"] == first["kept_id_"], "left_semi")
     return kept.dropDuplicates(["doc_id"]).union(docs.filter("doc_id is null"))
 
 

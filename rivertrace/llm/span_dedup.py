@@ -13,8 +13,9 @@ import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from rivertrace.llm.common import pieces, sized_broadcast, table
+from rivertrace.llm.common import packed, pieces, sized_broadcast, table, unpacked
 from rivertrace.session import write_once
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -92,25 +93,25 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _cutter(names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            texts, totals, removed = [], [], []
-            for t, marks in zip(batch.column("text").to_pylist(), batch.column("marks_").to_pylist()):
-                parts = sentences(t or "")
-                gone = {i for m in marks or () for i in range(m["at"], m["at"] + m["n"])}
-                texts.append(t if not gone else "".join(t[s:e] for i, (s, e, _) in enumerate(parts) if i not in gone))
-                totals.append(len(parts))
-                removed.append(len(gone))
-            made = {"text": pa.array(texts, pa.string()), "sentences_": pa.array(totals, pa.int64()), "removed_": pa.array(removed, pa.int64())}
-            yield pa.RecordBatch.from_arrays([made.get(n, batch.column(n) if n in batch.schema.names else None) for n in names], names)
-
-    return run
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches):
+        texts, totals, removed = [], [], []
+        for t, marks in zip(batch.column("text").to_pylist(), batch.column("marks").to_pylist()):
+            parts = sentences(t or "")
+            gone = {i for m in marks or () for i in range(m["at"], m["at"] + m["n"])}
+            texts.append(t if not gone else "".join(t[s:e] for i, (s, e, _) in enumerate(parts) if i not in gone))
+            totals.append(len(parts))
+            removed.append(len(gone))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("row_"), pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), batch.column("repeats_of")],
+            ["row_", "text", "n_sentences", "n_removed", "repeats_of"],
+        )
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with the removed sentences cut from ``text``, and with ``sentences_``, ``removed_`` and
-    ``repeats_of_`` (the doc_ids that hold the first copies of what was removed).
+    """``docs`` with the removed sentences cut from ``text``, and with ``n_sentences``, ``n_removed`` and
+    ``repeats_of`` (the doc_ids that hold the first copies of what was removed); these replace columns of
+    the same name.
 
     The first copy of a run is the one with the smallest (doc_id, place); null ids come first. Rows that
     repeat both id and text are one document and are treated alike. Null texts stay null, empty ones empty,
@@ -119,30 +120,25 @@ def dedup(docs: DataFrame) -> DataFrame:
     Only hashes that occur twice go further than their count. Runs are counted before the shuffle, so a
     passage in a third of all documents is one row per task there; joins on it are split by Spark.
     """
-    keyed = docs.withColumn("tk", F.xxhash64("text"))
-    source = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "tk", "text")
-    spans = write_once(source.mapInArrow(_spans, "doc_id long, tk long, at int, n int, h long"), "spans")
+    rows = packed(docs).withColumn("tk", F.xxhash64("text"))
+    spans = write_once(rows.select("doc_id", "tk", "text").mapInArrow(_spans, "doc_id long, tk long, at int, n int, h long"), "spans")
     again = write_once(spans.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("h"), "repeated")
     copies = write_once(spans.join(sized_broadcast(again), "h"), "copies")
     place = F.struct("doc_id", "tk", "at")
     first = copies.groupBy("h").agg(F.min(place).alias("first"))
     later = copies.join(first, "h").filter(~place.eqNullSafe(F.col("first")))
     marks = later.groupBy("doc_id", "tk").agg(
-        F.collect_set(F.struct("at", "n")).alias("marks_"), F.sort_array(F.collect_set("first.doc_id")).alias("repeats_of_")
+        F.collect_set(F.struct("at", "n")).alias("marks"), F.sort_array(F.collect_set("first.doc_id")).alias("repeats_of")
     )
-    marks = write_once(marks.withColumnsRenamed({"doc_id": "mark_id_", "tk": "mark_tk_"}), "marks")
-    joined = keyed.join(marks, F.col("doc_id").cast("long").eqNullSafe(F.col("mark_id_")) & F.col("tk").eqNullSafe(F.col("mark_tk_")), "left")
-    names = [*docs.columns, "sentences_", "removed_", "repeats_of_"]
-    kinds = {f.name: f.dataType.simpleString() for f in joined.schema} | {"sentences_": "bigint", "removed_": "bigint"}
-    schema = ", ".join(f"`{n}` {kinds[n]}" for n in names)
-    cut = joined.select(*docs.columns, "repeats_of_", "marks_").mapInArrow(_cutter(names), schema)
-    return cut.withColumn("repeats_of_", F.coalesce("repeats_of_", F.array().cast("array<long>")))
+    marks = write_once(marks.withColumnsRenamed({"doc_id": "mark_id", "tk": "mark_tk"}), "marks")
+    marked = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("mark_id")) & F.col("tk").eqNullSafe(F.col("mark_tk")), "left")
+    marked = marked.select("row_", "text", "marks", F.coalesce("repeats_of", F.array().cast("array<long>")).alias("repeats_of"))
+    schema = StructType([marked.schema["row_"], marked.schema["text"], StructField("n_sentences", LongType()), StructField("n_removed", LongType()), marked.schema["repeats_of"]])
+    return unpacked(marked.mapInArrow(_cut, schema), docs.columns, ("n_sentences", "n_removed", "repeats_of"))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
-    return dedup(table(spark, folder, "documents").select("doc_id", "text")).withColumnsRenamed(
-        {"sentences_": "n_sentences", "removed_": "n_removed", "repeats_of_": "repeats_of"}
-    )
+    return dedup(table(spark, folder, "documents").select("doc_id", "text"))
 
 
 QUERIES = {"op10_span_dedup": (query, None)}
