@@ -77,7 +77,8 @@ def attach_positions(
     sizes = block_offsets(blocked, keys)
     if facts is not None:
         sizes = sizes.join(facts, keys)
-    in_block = Window.partitionBy(*keys, "block").orderBy(order)
+    ties = ["value"] if order == "ts" and "value" in blocked.columns else []
+    in_block = Window.partitionBy(*keys, "block").orderBy(order, *ties)
     return (
         blocked.withColumn("_rank", F.row_number().over(in_block))
         .join(sizes, [*keys, "block"])

@@ -141,7 +141,7 @@ def response_texts(events: DataFrame) -> DataFrame:
 def report_lines(
     events: DataFrame, steps: DataFrame, hypotheses: DataFrame, verdicts: DataFrame, talks: DataFrame
 ) -> DataFrame:
-    """(inv_id, section, item, part, line): the report of every investigation as ordered lines.
+    """(inv_id, section, lead, item, part, line): the report of every investigation as ordered lines.
 
     Inputs keyed by ``inv_id``: events (event_id, etype, severity, station_id, indicators, onset_ts),
     steps (seq, phase, clue, reasoning, evidence array of kind/value), hypotheses (rank, target_name,
@@ -150,9 +150,11 @@ def report_lines(
     """
     L = V.REPORT
 
-    def lines(rows: DataFrame, section: int, item: Column, *parts: Column) -> DataFrame:
+    def lines(rows: DataFrame, section: int, item: Column, *parts: Column, lead: Column | None = None) -> DataFrame:
+        """``lead`` orders the items of a section before their number; a title has none and comes first."""
         return rows.select(
-            "inv_id", F.lit(section).alias("section"), item.cast("bigint").alias("item"),
+            "inv_id", F.lit(section).alias("section"), (F.lit(0.0) if lead is None else lead).cast("double").alias("lead"),
+            item.cast("bigint").alias("item"),
             F.posexplode(F.flatten(F.array(*parts))).alias("part", "line"),
         )
 
@@ -175,10 +177,10 @@ def report_lines(
         F.transform("evidence", lambda e: F.concat(F.lit(L["evidence"]), e["kind"], F.lit(" = "), e["value"])),
         one(""),
     )
-    title2 = lines(events, 2, F.lit(-1_000_000), one(L["suspects"]), one(""))
+    title2 = lines(events, 2, F.lit(-1), one(L["suspects"]), one(""), lead=F.lit(None))
     suspects = lines(
-        hypotheses, 2, c("rank") - F.round(c("score") * 1000) * 100,
-        one("- ", c("target_name"), "（", c("industry"), "）：得分 ", c("score").cast("string"), "，状态 ", c("status")),
+        hypotheses, 2, c("rank"),
+        one("- ", c("target_name"), "（", c("industry"), "）：得分 ", c("score").cast("string"), "，状态 ", c("status")), lead=-c("score"),
     )
     title3 = lines(events, 3, F.lit(-1), one(""), one(L["conclusion"]), one(""))
     ending = lines(
@@ -200,21 +202,9 @@ def report_lines(
     return result
 
 
-def report_texts(lines: DataFrame, lines_per_part: int = 10_000) -> DataFrame:
-    """Reports as text: (inv_id, part, text).
-
-    Lines are numbered over the whole report and joined in parts of at most ``lines_per_part`` lines, so
-    a report of any length is whole and no group is unbounded. A usual report has the one part 0.
-    """
-    keyed = lines.withColumn("_order", F.struct("section", "item", "part", "line"))
-    block = F.concat_ws(":", F.format_string("%05d", "section"), F.format_string("%020d", F.floor(F.col("item") / 256) + 10**15))
-    placed = with_positions(keyed, keys=["inv_id"], order="_order", block=block)
-    return (
-        placed.withColumn("number", F.floor(F.col("idx") / lines_per_part))
-        .groupBy("inv_id", F.col("number").alias("part"))
-        .agg(
-            F.array_join(
-                F.transform(F.array_sort(F.collect_list(F.struct("idx", "line"))), lambda x: x["line"]), "\n"
-            ).alias("text")
-        )
-    )
+def report_texts(lines: DataFrame) -> DataFrame:
+    """Reports as text: (inv_id, text). The stored form is ``report_lines``; this gathers the lines of each
+    report and is meant for reports that are read as a whole."""
+    line = F.struct("section", "lead", "item", "part", "line")
+    ordered = F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"])
+    return lines.groupBy("inv_id").agg(F.array_join(ordered, "\n").alias("text"))

@@ -43,39 +43,15 @@ def rolling_stats(
 ) -> DataFrame:
     """Centred rolling mean and population deviation over ``window`` positions.
 
-    Near the ends a point takes the first or last full window. Sums come from differences of running
-    totals inside a tile, so the cost per row does not grow with the window; totals are taken around
-    the tile's first value, and a window of equal values gets deviation zero exactly.
+    Near the ends a point takes the first or last full window. Each window is summed afresh from central
+    moments, so a single wild reading weighs only on the windows that hold it, and a window of equal
+    values gets deviation zero exactly.
     """
     left, right = window // 2, window - 1 - window // 2
     indexed = with_positions(readings, block=time_block("ts", block_seconds)).where(F.col("n") >= window)
     tiles = with_tiles(indexed, max(tile, window), before=window, after=window)
-    order = tile_window()
-    upto = running(order)
-    shift = F.col("value") - F.first("value").over(upto)
-    changed = (F.col("value") != F.lag("value").over(order)).cast("int")
-    sums = (
-        tiles.withColumn("_d", shift)
-        .withColumn("_flip", F.coalesce(changed, F.lit(0)))
-        .withColumn("_c1", F.sum("_d").over(upto))
-        .withColumn("_c2", F.sum(F.col("_d") * F.col("_d")).over(upto))
-        .withColumn("_cf", F.sum("_flip").over(upto))
-    )
-
-    def frame(total: str) -> Column:
-        return F.lead(total, right).over(order) - F.coalesce(F.lag(total, left + 1).over(order), F.lit(0))
-
-    mean = frame("_c1") / window
-    flat = F.lead("_cf", right).over(order) == F.lag("_cf", left).over(order)
-    moments = (
-        sums.withColumn("_m", mean)
-        .withColumn("_v", frame("_c2") / window)
-        .withColumn("_flat", flat)
-        .withColumn("_mean", F.when(F.col("_flat"), F.col("value")).otherwise(
-            F.col("value") - F.col("_d") + F.col("_m")))
-        .withColumn("_std", F.when(F.col("_flat"), F.lit(0.0)).otherwise(
-            F.sqrt(F.greatest(F.col("_v") - F.col("_m") * F.col("_m"), F.lit(0.0)))))
-    )
+    around = tile_window().rowsBetween(-left, right)
+    moments = tiles.withColumn("_mean", F.avg("value").over(around)).withColumn("_std", F.stddev_pop("value").over(around))
     whole = Window.partitionBy(*SERIES, "tile")
     first_full, last_full = F.lit(left), F.col("n") - 1 - right
 

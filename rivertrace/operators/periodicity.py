@@ -13,7 +13,8 @@ from rivertrace.operators.blocks import (
 from rivertrace.session import spread
 
 MIN_ROWS = 200  # fixed value: fewer rows than this give no periodicity evidence
-SLICE_ROWS = 2016  # fixed value: rows of a periodicity slice
+SLICE_DAYS = 21  # fixed value: days of a periodicity slice
+TILE_ROWS = 2016
 
 
 def profile_features(
@@ -104,34 +105,36 @@ def periodicity_from(
     starts: DataFrame,
     interval_min: int = 15,
     period_h: int = 24,
-    limit: int = SLICE_ROWS,
+    days: int = SLICE_DAYS,
     min_rows: int = MIN_ROWS,
     block_seconds: int = DAY,
 ) -> DataFrame:
-    """Periodicity of the first ``limit`` readings of a series from each ``since``.
+    """Periodicity of the readings of a series in the ``days`` from each ``since``.
 
-    ``starts`` has station_id, indicator, since. A slice is found by position: an as-of count gives its
-    first row, and it lies in at most two tiles of ``limit`` rows, so slices meet readings by equality
-    on (series, tile). Slices shorter than ``min_rows`` come back with strength 0 and night share 1.
+    ``starts`` has station_id, indicator, since. A slice is cut by time, so denser readings give more rows
+    and not fewer days. As-of counts give the positions of its ends; slices meet readings by equality on
+    (series, tile). Slices shorter than ``min_rows`` come back with strength 0, night share 1 and
+    ``judged`` false.
     """
     period = period_h * 60 // interval_min
     wanted = starts.select(*SERIES, "since").distinct()
-    first = asof_facts(
-        readings, wanted.withColumnRenamed("since", "at"), inclusive=False, block_seconds=block_seconds
-    ).select(*SERIES, F.col("at").alias("since"), F.col("n_before").alias("first"))
-    slices = first.withColumn(
-        "tile",
-        F.explode(F.sequence(F.floor(F.col("first") / limit), F.floor((F.col("first") + limit - 1) / limit))),
+    length = F.make_dt_interval(F.lit(days))
+    ends = wanted.select(*SERIES, F.explode(F.array("since", F.col("since") + length)).alias("at")).distinct()
+    counts = asof_facts(readings, ends, inclusive=False, block_seconds=block_seconds).select(*SERIES, "at", "n_before")
+    first = counts.select(*SERIES, F.col("at").alias("since"), F.col("n_before").alias("first"))
+    stop = counts.select(*SERIES, (F.col("at") - length).alias("since"), F.col("n_before").alias("stop"))
+    found = wanted.join(first, [*SERIES, "since"]).join(stop, [*SERIES, "since"]).where("stop > first")
+    slices = found.withColumn(
+        "tile", F.explode(F.sequence(F.floor(F.col("first") / TILE_ROWS), F.floor((F.col("stop") - 1) / TILE_ROWS)))
     )
     tiles = with_positions(readings, block=time_block("ts", block_seconds)).withColumn(
-        "tile", F.floor(F.col("idx") / limit)
+        "tile", F.floor(F.col("idx") / TILE_ROWS)
     )
-    inside = (F.col("idx") >= F.col("first")) & (F.col("idx") < F.col("first") + limit)
-    # Every slice row meets up to ``limit`` readings, so the few slices are spread over all cores first.
+    # Every slice row meets up to ``TILE_ROWS`` readings, so the few slices are spread over all cores first.
     members = (
-        spread(slices, *SERIES, "tile").join(tiles.select(*SERIES, "tile", "idx", "n", "value"), [*SERIES, "tile"])
-        .where(inside)
-        .withColumn("n", F.least(F.col("n") - F.col("first"), F.lit(limit)))
+        spread(slices, *SERIES, "tile").join(tiles.select(*SERIES, "tile", "idx", "value"), [*SERIES, "tile"])
+        .where((F.col("idx") >= F.col("first")) & (F.col("idx") < F.col("stop")))
+        .withColumn("n", F.col("stop") - F.col("first"))
         .withColumn("idx", F.col("idx") - F.col("first"))
         .where(F.col("n") >= min_rows)
     )
@@ -149,4 +152,5 @@ def periodicity_from(
         F.coalesce("strength", F.lit(0.0)).alias("strength"),
         "peak_hour",
         F.coalesce("n", F.lit(0)).alias("used_rows"),
+        F.col("n").isNotNull().alias("judged"),
     )

@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivertrace.operators.blocks import DAY, SERIES, asof_facts, with_positions
+from rivertrace.operators.blocks import DAY, SERIES, asof_facts, not_null, with_positions
 
 PLAYBACK_BEFORE_H, PLAYBACK_AFTER_H = 6, 48  # fixed values: playback window around an onset
 
 
 def station_series(
-    readings: DataFrame, station: str, indicator: str, since: Column, limit: int = 3000
+    readings: DataFrame, station: str, indicator: str, since: Column, limit: int | None = None
 ) -> DataFrame:
-    """(ts, value) of one series from ``since``, oldest first; all three conditions reach the scan."""
+    """(ts, value) of one series from ``since``, oldest first, all of it unless a ``limit`` is asked for; the
+    three conditions reach the scan."""
     wanted = (F.col("station_id") == station) & (F.col("indicator") == indicator) & (F.col("ts") >= since)
-    return readings.where(wanted).select("ts", "value").orderBy("ts").limit(limit)
+    rows = readings.where(wanted).select("ts", "value").orderBy("ts", "value")
+    return rows if limit is None else rows.limit(limit)
 
 
-def series_from(readings: DataFrame, since: Column, limit: int = 3000) -> DataFrame:
-    """The same for every series at once: the first ``limit`` readings of each from ``since``."""
+def series_from(readings: DataFrame, since: Column, limit: int | None = None) -> DataFrame:
+    """The same for every series at once: the readings of each from ``since`` with their positions."""
     recent = with_positions(readings.where(F.col("ts") >= since))
-    return recent.where(F.col("idx") < limit).select(*SERIES, "ts", "value", "idx")
+    kept = recent if limit is None else recent.where(F.col("idx") < limit)
+    return kept.select(*SERIES, "ts", "value", "idx")
 
 
 def series_slice(readings: DataFrame, start: Column | None = None, end: Column | None = None, step: int = 1) -> DataFrame:
@@ -31,9 +34,10 @@ def series_slice(readings: DataFrame, start: Column | None = None, end: Column |
         rows = rows.where(F.col("ts") >= start)
     if end is not None:
         rows = rows.where(F.col("ts") <= end)
-    placed = with_positions(rows)
-    if step > 1:
-        placed = placed.where(F.col("idx") % step == 0)
+    if step == 1:  # only the count is needed, not the order
+        sizes = rows.where(not_null(*SERIES, "ts")).groupBy(*SERIES).agg(F.count(F.lit(1)).alias("count"))
+        return rows.join(sizes, list(SERIES)).where("ts IS NOT NULL").select(*SERIES, "ts", "value", "count")
+    placed = with_positions(rows).where(F.col("idx") % step == 0)
     return placed.select(*SERIES, "ts", "value", F.ceil(F.col("n") / step).alias("count"))
 
 

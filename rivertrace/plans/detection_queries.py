@@ -19,10 +19,11 @@ SCAN_HOURS = 240
 
 
 def _published(anomalies):
-    """Records for output; a score against a zero deviation is shown as +-1e6."""
+    """Records for output. A score against a deviation of zero is of the order 1e13, where a double has no
+    second decimal: from a million on it is given in ten thousands."""
     record = D.anomaly_record(anomalies)
-    bounded = F.greatest(F.lit(-1e6), F.least(F.lit(1e6), F.col("zscore")))
-    return record.select("station_id", "indicator", "idx", us().alias("ts_us"), "value", "baseline", bounded.alias("zscore"), "severity")
+    score = F.when(F.abs("zscore") >= 1e6, F.round("zscore", -4)).otherwise(F.col("zscore"))
+    return record.select("station_id", "indicator", "idx", us().alias("ts_us"), "value", "baseline", score.alias("zscore"), "severity")
 
 
 def three_sigma(spark, folder):
@@ -74,8 +75,7 @@ def event_periodicity(spark, folder):
 
 def monitor_scan(spark, folder):
     river = open_river(spark, folder)
-    existing = M.latest_per_key(river.alerts, "station_id", "onset_ts", "created_at", "id")
-    found = A.scan_for_events(river.readings, river.stations, existing, window_h=SCAN_HOURS)
+    found = A.scan_for_events(river.readings, river.stations, river.alerts, window_h=SCAN_HOURS)
     return found.select(
         "id", "station_id", F.array_join("indicators", ",").alias("indicators"), us("onset_ts").alias("onset_us"),
         "severity", "etype", "status", F.bround("zscore", 2).alias("zscore"),
@@ -113,12 +113,12 @@ def series_slice(spark, folder):
 
 
 def series_stride(spark, folder):
-    found = M.series_slice(open_river(spark, folder).readings, end=at("2024-01-20 12:00:00"), step=4)
+    found = M.series_slice(open_river(spark, folder).readings, step=4)
     return found.select("station_id", "indicator", us().alias("ts_us"), "value", "count")
 
 
 def series_since(spark, folder):
-    found = M.series_from(open_river(spark, folder).readings, at("2024-01-03 00:00:00"), limit=3000)
+    found = M.series_from(open_river(spark, folder).readings, at("2024-01-03 00:00:00"))
     return found.select("station_id", "indicator", us().alias("ts_us"), "value", "idx")
 
 
@@ -155,13 +155,13 @@ def readings_upsert(spark, folder):
 
 
 _SERIES = "PARTITION BY station_id, indicator"
-_BOUND = "greatest(-1e6, least(1e6, round(z,2)))"
+_SCORE = "CASE WHEN abs(z)>=1e6 THEN round(z,-4) ELSE round(z,2) END"
 
 
 def _record(source: str, where: str) -> str:
     return (
         "SELECT station_id, indicator, idx, epoch_us(ts) AS ts_us, round(value,4) AS value, round(base,4) AS baseline,"
-        f" {_BOUND} AS zscore, CASE WHEN abs(z)>=5 OR value/greatest(base,1e-9)>=2 THEN 'high'"
+        f" {_SCORE} AS zscore, CASE WHEN abs(z)>=5 OR value/greatest(base,1e-9)>=2 THEN 'high'"
         f" WHEN abs(z)>=3 THEN 'medium' ELSE 'low' END AS severity FROM {source} WHERE {where}"
     )
 
@@ -209,10 +209,10 @@ def _profile(keys: str, source: str, period: int, interval_min: int) -> tuple[tu
 _SLICES = (
     ("wanted", "SELECT DISTINCT station_id, coalesce(indicators[1],'click') AS indicator, onset_ts - INTERVAL 7 DAY AS since"
      " FROM alerts WHERE etype='periodic'"),
-    ("members", "SELECT station_id, indicator, since, idx, value, least(n, 2016) AS n FROM (SELECT w.station_id, w.indicator,"
+    ("members", "SELECT station_id, indicator, since, idx, value, n FROM (SELECT w.station_id, w.indicator,"
      " w.since, p.value, row_number() OVER s - 1 AS idx, count(*) OVER (PARTITION BY w.station_id, w.indicator, w.since) AS n"
-     " FROM wanted w JOIN readings p ON p.station_id=w.station_id AND p.indicator=w.indicator AND p.ts>=w.since"
-     " WINDOW s AS (PARTITION BY w.station_id, w.indicator, w.since ORDER BY p.ts)) WHERE idx<2016 AND n>=200"),
+     " FROM wanted w JOIN readings p ON p.station_id=w.station_id AND p.indicator=w.indicator AND p.ts>=w.since AND p.ts<w.since + INTERVAL 21 DAY"
+     " WINDOW s AS (PARTITION BY w.station_id, w.indicator, w.since ORDER BY p.ts, p.value)) WHERE n>=200"),
 )
 
 _WATCHED = "(VALUES (0,'click'),(1,'error'),(2,'purchase'),(3,'signup'),(4,'view')) o(pos,indicator)"
@@ -262,7 +262,7 @@ QUERIES = {
     "monitor_scan": (monitor_scan, with_entities(
         "SELECT sha256(concat_ws('|', station_id, indicator, cast(epoch_us(ts) AS varchar))) AS id, station_id,"
         " indicator AS indicators, epoch_us(ts) AS onset_us, severity, 'detected' AS etype, 'open' AS status, zscore FROM queue q"
-        " WHERE coalesce(silenced,0)=0 AND NOT EXISTS (SELECT 1 FROM latest l, now WHERE l.station_id=q.station_id"
+        " WHERE coalesce(silenced,0)=0 AND NOT EXISTS (SELECT 1 FROM alerts l, now WHERE l.station_id=q.station_id"
         " AND l.status='open' AND l.onset_ts > now.t - INTERVAL 48 HOUR)",
         "readings", "alerts", extra=(
             ("now", "SELECT max(ts) AS t FROM readings"),
@@ -278,8 +278,6 @@ QUERIES = {
              " max(CASE WHEN make_timestamp(f.ts_us) > now.t - INTERVAL 48 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY f.station_id"
              f" ORDER BY o.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS silenced FROM first_severe f JOIN {_WATCHED}"
              " ON o.indicator=f.indicator, now"),
-            ("latest", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY onset_ts DESC,"
-             " created_at DESC, id DESC) AS rn FROM alerts) WHERE rn=1"),
         ))),
     "open_alert_suppression": (open_alert_suppression, with_entities(
         "SELECT a.id, a.station_id, epoch_us(a.created_at) AS ts_us FROM alerts a WHERE a.status<>'open' AND NOT EXISTS"
@@ -306,11 +304,11 @@ QUERIES = {
         " WHERE ts BETWEEN timestamp '2024-01-05' AND timestamp '2024-01-20 12:00:00'", "readings")),
     "series_stride": (series_stride, with_entities(
         f"SELECT station_id, indicator, epoch_us(ts) AS ts_us, value, count(*) OVER ({_SERIES}) AS count FROM (SELECT *,"
-        f" row_number() OVER ({_SERIES} ORDER BY ts)-1 AS k FROM readings WHERE ts <= timestamp '2024-01-20 12:00:00') WHERE k%4=0",
+        f" row_number() OVER ({_SERIES} ORDER BY ts, value)-1 AS k FROM readings) WHERE k%4=0",
         "readings")),
     "series_since": (series_since, with_entities(
-        f"SELECT station_id, indicator, epoch_us(ts) AS ts_us, value, k AS idx FROM (SELECT *, row_number() OVER ({_SERIES} ORDER BY ts)-1 AS k"
-        " FROM readings WHERE ts >= timestamp '2024-01-03') WHERE k<3000", "readings")),
+        f"SELECT station_id, indicator, epoch_us(ts) AS ts_us, value, k AS idx FROM (SELECT *, row_number() OVER ({_SERIES} ORDER BY ts, value)-1 AS k"
+        " FROM readings WHERE ts >= timestamp '2024-01-03')", "readings")),
     "playback_heat": (playback_heat, with_entities(
         "SELECT f.indicator, epoch_us(f.onset_ts) AS onset_us, f.station_id, epoch_us(f.at) AS at_us, f.now AS value,"
         " round(CASE WHEN p.peak>0 THEN least(f.now/p.peak,1.0) ELSE 0.0 END+1e-9,4) AS heat"

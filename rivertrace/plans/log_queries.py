@@ -93,7 +93,7 @@ def _report_lines(river):
 
 
 def report_text(spark, folder):
-    return K.report_texts(_report_lines(open_river(spark, folder))).select("inv_id", "part", "text")
+    return K.report_texts(_report_lines(open_river(spark, folder))).select("inv_id", "text")
 
 
 def _sql_text(value: str) -> str:
@@ -118,7 +118,7 @@ _REPORT = (
      " WHERE type='agent_talk' GROUP BY 1"),
 )
 _REPORT_SQL = (
-    "SELECT e.inv_id, cast(0 AS bigint) AS part, " + _sql_text(_L["title"]) + "||chr(10)||chr(10)||" + _sql_text(_L["investigation"])
+    "SELECT e.inv_id, " + _sql_text(_L["title"]) + "||chr(10)||chr(10)||" + _sql_text(_L["investigation"])
     + "||e.inv_id||chr(10)||" + _sql_text(_L["event"]) + "||'evt_'||e.inv_id||'（periodic / high）'||chr(10)||" + _sql_text(_L["station"])
     + "||'st_03'||chr(10)||" + _sql_text(_L["indicators"]) + "||'cod, tp'||chr(10)||" + _sql_text(_L["onset"])
     + "||strftime(timestamp '2024-01-01'+to_minutes(cast(n AS int)), '%Y-%m-%d %H:%M')||' UTC'||chr(10)||chr(10)||" + _sql_text(_L["steps"])

@@ -12,10 +12,13 @@ ENTITIES: dict[str, tuple[str, tuple[str, ...]]] = {
         "SELECT station_id, indicator, date_trunc('hour', ts) AS ts, avg(value) AS value"
         " FROM readings GROUP BY ALL", ("readings",)),
     "river_hourly": (
-        "SELECT 'river' AS station_id, indicator, date_trunc('hour', ts) AS ts, avg(value) AS value"
-        " FROM readings GROUP BY ALL", ("readings",)),
+        "SELECT 'river' AS station_id, indicator, ts, value FROM (SELECT g.indicator, g.ts, last_value(m.value IGNORE NULLS)"
+        " OVER (PARTITION BY g.indicator ORDER BY g.ts) AS value FROM (SELECT indicator, ts FROM (SELECT DISTINCT indicator FROM"
+        " readings), (SELECT unnest(generate_series(date_trunc('hour', min(ts)), date_trunc('hour', max(ts)), INTERVAL 1 HOUR)) AS ts"
+        " FROM readings)) g LEFT JOIN (SELECT indicator, date_trunc('hour', ts) AS ts, avg(value) AS value FROM readings GROUP BY ALL) m"
+        " ON m.indicator=g.indicator AND m.ts=g.ts) WHERE value IS NOT NULL", ("readings",)),
     "positioned": (
-        "SELECT *, row_number() OVER (PARTITION BY station_id, indicator ORDER BY ts) - 1 AS idx,"
+        "SELECT *, row_number() OVER (PARTITION BY station_id, indicator ORDER BY ts, value) - 1 AS idx,"
         " count(*) OVER (PARTITION BY station_id, indicator) AS n FROM readings", ("readings",)),
     "nodes": (
         "SELECT cast(n_nationkey AS bigint) AS id, n_name AS name,"
@@ -61,7 +64,7 @@ ENTITIES: dict[str, tuple[str, tuple[str, ...]]] = {
         " (VALUES (0,'click'),(1,'error'),(2,'purchase'),(3,'signup'),(4,'view')) t(i,indicator)"
         " WHERE (j+i)%5<>0", ()),
     "alerts": (
-        "SELECT o_orderkey AS id, concat('st_', lpad(cast(3*(o_custkey%9) AS varchar), 2, '0')) AS station_id,"
+        "SELECT o_orderkey AS id, concat('st_', lpad(cast(3*(o_custkey%7) AS varchar), 2, '0')) AS station_id,"
         f" CASE WHEN o_orderkey%11=0 THEN [] WHEN o_orderkey%7=0 THEN [{_NAMES}[1+o_orderkey%5]]"
         f" WHEN o_orderkey%4=0 THEN [{_NAMES}[1+o_orderkey%5], {_NAMES}[1+(o_orderkey+2)%5]]"
         f" ELSE [{_NAMES}[1+o_orderkey%5]] END AS indicators,"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rivertrace.operators.detectors import anomaly_record
 from rivertrace.plans.common import us
-from rivertrace.plans.detection_queries import _BOUND, _SERIES, _record, _scales
+from rivertrace.plans.detection_queries import _SERIES, _record, _scales
 from rivertrace.plans.oracle_entities import with_entities
 from rivertrace.session import configure, scratch_path
 from rivertrace.sources import tables as T
@@ -95,7 +95,7 @@ def stream_guard(spark, folder):
 
 QUERIES = {
     "stream_cusum": (stream_cusum, with_entities(
-        _record("cusum", "s>7 AND last<=7").replace(_BOUND, "round(z,2)"), "positioned", extra=(
+        _record("cusum", "s>7 AND last<=7"), "positioned", extra=(
             *_scales("positioned", f"idx < {WARMUP}"),
             ("walk", "SELECT p.*, mu AS base, sum((value-mu)/sd-0.5) OVER w AS cu, sum(-(value-mu)/sd-0.5) OVER w AS cd"
              " FROM positioned p JOIN scales s ON s.station_id=p.station_id AND s.indicator=p.indicator"

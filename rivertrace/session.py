@@ -27,7 +27,7 @@ def shared_root(spark: SparkSession) -> str:
     missing setting is an error, since a machine-local folder does not outlive an executor.
     """
     context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")

@@ -51,10 +51,10 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
     fields = "seq BIGINT, type STRING, data STRING, at TIMESTAMP"
     if not path_exists(spark, path):
         return spark.createDataFrame([], f"inv_id STRING, {fields}")
-    lines = spark.read.text(path)
+    lines = spark.read.schema("value STRING, inv_id STRING").text(path)  # else "007" would be read as 7
     return (
         lines.where(F.trim("value") != "")
-        .select(F.col("inv_id").cast("string").alias("inv_id"), F.from_json("value", fields).alias("m"))
+        .select("inv_id", F.from_json("value", fields).alias("m"))
         .select("inv_id", "m.*")
     )
 
@@ -74,7 +74,7 @@ def save_reports(lines: DataFrame, path: str) -> None:
     Takes casefile.report_lines. Lines are range-partitioned by investigation and order, so a long
     report may span files; their names sort in order.
     """
-    order = ["inv_id", "section", "item", "part", "line"]
+    order = ["inv_id", "section", "lead", "item", "part", "line"]
     (
         lines.repartitionByRange(*order)
         .sortWithinPartitions(*order)

@@ -6,7 +6,7 @@ columns used reach the scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 INDICATORS = ("click", "error", "purchase", "signup", "view")
@@ -37,12 +37,23 @@ def hourly_readings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def hourly_indicator_series(spark: SparkSession, folder: str) -> DataFrame:
-    """Mean per indicator and hour over the whole river, held under one station id."""
-    return (
+    """Mean per indicator and hour over the whole river, held under one station id.
+
+    Every hour from the first to the last of all indicators has a row: a gap takes the last known value,
+    and hours before an indicator's first value are left out. The grid is one row per hour and indicator,
+    however many readings there are.
+    """
+    means = (
         readings(spark, folder)
-        .groupBy(F.lit("river").alias("station_id"), "indicator", F.date_trunc("hour", "ts").alias("ts"))
+        .groupBy("indicator", F.date_trunc("hour", "ts").alias("ts"))
         .agg(F.avg("value").alias("value"))
     )
+    span = means.agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    hours = span.select(F.explode(F.sequence("first", "last", F.expr("interval 1 hour"))).alias("ts"))
+    grid = means.select("indicator").distinct().join(hours)  # indicators x hours: the grid itself
+    known = F.last("value", ignorenulls=True).over(Window.partitionBy("indicator").orderBy("ts"))
+    filled = grid.join(means, ["indicator", "ts"], "left").withColumn("value", known).where("value IS NOT NULL")
+    return filled.select(F.lit("river").alias("station_id"), "indicator", "ts", "value")
 
 
 def nodes(spark: SparkSession, folder: str) -> DataFrame:
@@ -139,13 +150,13 @@ def industry_profiles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def alerts(spark: SparkSession, folder: str) -> DataFrame:
-    """Alert events. ``indicators`` is text: a JSON array, a bare name or null."""
+    """Alert events at seven of the nine stations. ``indicators`` is text: a JSON array, a bare name or null."""
     names = ", ".join(f"'{name}'" for name in INDICATORS)
     first = f"element_at(array({names}), cast(1 + o_orderkey % 5 AS int))"
     second = f"element_at(array({names}), cast(1 + (o_orderkey + 2) % 5 AS int))"
     return table(spark, folder, "orders").selectExpr(
         "o_orderkey AS id",
-        _STATION.format("3 * (o_custkey % 9)") + " AS station_id",
+        _STATION.format("3 * (o_custkey % 7)") + " AS station_id",
         f"""CASE WHEN o_orderkey % 11 = 0 THEN NULL
                  WHEN o_orderkey % 7 = 0 THEN {first}
                  WHEN o_orderkey % 4 = 0 THEN concat('["', {first}, '","', {second}, '"]')

@@ -16,9 +16,9 @@ def frame(spark, *series):
     return spark.createDataFrame(pd.concat(parts)).repartition(3)
 
 
-def night_series(days=14):
+def night_series(days=12):
     hours = (np.arange(96 * days) * 0.25) % 24
-    return 5 + 8 * ((hours >= 22) | (hours < 3)) + np.random.default_rng(0).normal(0, 0.3, len(hours))
+    return 2.5 + 6.25 * ((hours >= 22) | (hours < 3)) + np.random.default_rng(21).normal(0, 0.4, len(hours))
 
 
 def plain(x, period=96):
@@ -47,13 +47,23 @@ def test_slices(spark):
     df = frame(spark, x)
     times = [r["ts"] for r in df.orderBy("ts").collect()]
     starts = spark.createDataFrame([("s0", "a", times[i]) for i in (0, 37, 37, 300, 800)], "station_id string, indicator string, since timestamp")
-    got = {r["since"]: r for r in P.periodicity_from(df, starts, limit=400).collect()}
+    got = {r["since"]: r for r in P.periodicity_from(df, starts, days=4).collect()}
     assert len(got) == 4
     for i in (0, 37, 300):
-        part = x[i:i + 400]
+        part = x[i:i + 384]
         expected, row = plain(part), got[times[i]]
-        assert row["used_rows"] == 400 and row["strength"] == pytest.approx(expected["strength"], abs=6e-4)
+        assert row["judged"] and row["used_rows"] == 384 and row["strength"] == pytest.approx(expected["strength"], abs=6e-4)
         assert row["night_share"] == pytest.approx(expected["night"], abs=6e-4)
     short = got[times[800]]
     assert (short["strength"], short["night_share"], short["used_rows"]) == (0.0, 1.0, 0)
+    assert short["judged"] is False
     assert df.agg(F.count("*")).first()[0] == len(x)
+
+
+def test_dense_slices_keep_their_days(spark):
+    """Four readings a minute of the usual grid: days are cut by time, not by a number of rows."""
+    x = np.repeat(night_series(25), 2)
+    ts = pd.to_datetime(np.arange(len(x)) * 450 + 1_700_000_000, unit="s")
+    df = spark.createDataFrame(pd.DataFrame({"station_id": "s", "indicator": "a", "ts": ts, "value": x}))
+    starts = df.agg(F.min("ts").alias("since")).select(F.lit("s").alias("station_id"), F.lit("a").alias("indicator"), "since")
+    assert P.periodicity_from(df, starts, interval_min=15).first()["used_rows"] == 21 * 192
