@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivertrace.operators.blocks import DAY, SERIES, asof_facts, not_null, with_positions
+from rivertrace.operators.blocks import DAY, SERIES, asof_facts, not_null, time_block, with_positions
 
 PLAYBACK_BEFORE_H, PLAYBACK_AFTER_H = 6, 48  # fixed values: playback window around an onset
 
@@ -20,14 +20,16 @@ def station_series(
     return rows if limit is None else rows.limit(limit)
 
 
-def series_from(readings: DataFrame, since: Column, limit: int | None = None) -> DataFrame:
+def series_from(readings: DataFrame, since: Column, limit: int | None = None, block_seconds: int = DAY) -> DataFrame:
     """The same for every series at once: the readings of each from ``since`` with their positions."""
-    recent = with_positions(readings.where(F.col("ts") >= since))
+    recent = with_positions(readings.where(F.col("ts") >= since), block=time_block("ts", block_seconds))
     kept = recent if limit is None else recent.where(F.col("idx") < limit)
     return kept.select(*SERIES, "ts", "value", "idx")
 
 
-def series_slice(readings: DataFrame, start: Column | None = None, end: Column | None = None, step: int = 1) -> DataFrame:
+def series_slice(
+    readings: DataFrame, start: Column | None = None, end: Column | None = None, step: int = 1, block_seconds: int = DAY
+) -> DataFrame:
     """Every series cut to [start, end] and thinned to rows 0, step, 2*step ...; ``count`` is the rows kept."""
     rows = readings
     if start is not None:
@@ -37,7 +39,7 @@ def series_slice(readings: DataFrame, start: Column | None = None, end: Column |
     if step == 1:  # only the count is needed, not the order
         sizes = rows.where(not_null(*SERIES, "ts")).groupBy(*SERIES).agg(F.count(F.lit(1)).alias("count"))
         return rows.join(sizes, list(SERIES)).where("ts IS NOT NULL").select(*SERIES, "ts", "value", "count")
-    placed = with_positions(rows).where(F.col("idx") % step == 0)
+    placed = with_positions(rows, block=time_block("ts", block_seconds)).where(F.col("idx") % step == 0)
     return placed.select(*SERIES, "ts", "value", F.ceil(F.col("n") / step).alias("count"))
 
 

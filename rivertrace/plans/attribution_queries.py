@@ -90,7 +90,7 @@ def verified_of(river):
     seen = compositions(river.spark, river.folder, "l_orderkey", "sample_id")
     seen = seen.withColumn("pollutants", C.normalised(F.col("pollutants")))
     composition = A.composition_evidence(found, seen, library)
-    pattern = A.pattern_evidence(found, river.readings, river.enterprises)
+    pattern = A.pattern_evidence(found, river.readings, river.enterprises, block_seconds=river.block_seconds)
     return A.verify_hypotheses(A.with_evidence(found, spectrum, composition, pattern))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rivertrace.operators import attribution as A
 from rivertrace.operators import network as N
+from rivertrace.operators.blocks import suggest_block_seconds
 from rivertrace.session import configure, cut_lineage, shared_root
 from rivertrace.sources import tables as T
 from rivertrace.sources.stores import path_exists
@@ -38,6 +39,12 @@ class River:
     def table(self, name: str) -> DataFrame:
         return T.table(self.spark, self.folder, name)
 
+    @cached_property
+    def block_seconds(self) -> int:
+        """Length of the time blocks of all series queries, from the densest hour of the readings; one
+        pre-aggregated pass per folder."""
+        return suggest_block_seconds(self.readings)
+
     @cached_property
     def closure(self) -> DataFrame:
         return N.path_closure(self.nodes, self.edges)

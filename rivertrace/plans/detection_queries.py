@@ -27,19 +27,23 @@ def _published(anomalies):
 
 
 def three_sigma(spark, folder):
-    return _published(D.detect(open_river(spark, folder).readings, "threesigma", window=25))
+    river = open_river(spark, folder)
+    return _published(D.detect(river.readings, "threesigma", window=25, block_seconds=river.block_seconds))
 
 
 def cusum_alarms(spark, folder):
-    return _published(D.detect(open_river(spark, folder).readings, "cusum"))
+    river = open_river(spark, folder)
+    return _published(D.detect(river.readings, "cusum", block_seconds=river.block_seconds))
 
 
 def ewma_alarms(spark, folder):
-    return _published(D.detect(open_river(spark, folder).readings, "ewma"))
+    river = open_river(spark, folder)
+    return _published(D.detect(river.readings, "ewma", block_seconds=river.block_seconds))
 
 
 def seasonal_anomalies(spark, folder):
-    return _published(D.detect(open_river(spark, folder).readings, "seasonal", period=24))
+    river = open_river(spark, folder)
+    return _published(D.detect(river.readings, "seasonal", period=24, block_seconds=river.block_seconds))
 
 
 def robust_scale(spark, folder):
@@ -67,7 +71,7 @@ def _periodic_starts(river):
 
 def event_periodicity(spark, folder):
     river = open_river(spark, folder)
-    found = P.periodicity_from(river.readings, _periodic_starts(river))
+    found = P.periodicity_from(river.readings, _periodic_starts(river), block_seconds=river.block_seconds)
     return _features(
         found, "station_id", "indicator", us("since").alias("since_us"), F.col("used_rows").cast("bigint").alias("used_rows")
     )
@@ -75,7 +79,7 @@ def event_periodicity(spark, folder):
 
 def monitor_scan(spark, folder):
     river = open_river(spark, folder)
-    found = A.scan_for_events(river.readings, river.stations, river.alerts, window_h=SCAN_HOURS)
+    found = A.scan_for_events(river.readings, river.stations, river.alerts, window_h=SCAN_HOURS, block_seconds=river.block_seconds)
     return found.select(
         "id", "station_id", F.array_join("indicators", ",").alias("indicators"), us("onset_ts").alias("onset_us"),
         "severity", "etype", "status", F.bround("zscore", 2).alias("zscore"),
@@ -91,7 +95,7 @@ def open_alert_suppression(spark, folder):
 
 def event_contrast(spark, folder):
     river = open_river(spark, folder)
-    found = M.event_contrast(river.readings, river.alerts.select("id", "etype", "station_id", "onset_ts"), river.stations)
+    found = M.event_contrast(river.readings, river.alerts.select("id", "etype", "station_id", "onset_ts"), river.stations, block_seconds=river.block_seconds)
     return found.select(
         "id", "etype", "station_id", "indicator", r("before", 4).alias("before"), "after", r("ratio", 4).alias("ratio")
     )
@@ -113,12 +117,14 @@ def series_slice(spark, folder):
 
 
 def series_stride(spark, folder):
-    found = M.series_slice(open_river(spark, folder).readings, step=4)
+    river = open_river(spark, folder)
+    found = M.series_slice(river.readings, step=4, block_seconds=river.block_seconds)
     return found.select("station_id", "indicator", us().alias("ts_us"), "value", "count")
 
 
 def series_since(spark, folder):
-    found = M.series_from(open_river(spark, folder).readings, at("2024-01-03 00:00:00"))
+    river = open_river(spark, folder)
+    found = M.series_from(river.readings, at("2024-01-03 00:00:00"), block_seconds=river.block_seconds)
     return found.select("station_id", "indicator", us().alias("ts_us"), "value", "idx")
 
 
@@ -126,7 +132,7 @@ def playback_heat(spark, folder):
     river = open_river(spark, folder)
     first = F.try_element_at(parse_indicators(F.col("indicators")), F.lit(1))
     events = river.alerts.select(first.alias("indicator"), "onset_ts").where("indicator IS NOT NULL")
-    found = M.playback_heat(river.readings, events, river.stations)
+    found = M.playback_heat(river.readings, events, river.stations, block_seconds=river.block_seconds)
     return found.select(
         "indicator", us("onset_ts").alias("onset_us"), "station_id", us("at").alias("at_us"), "value", r("heat", 4).alias("heat")
     )
