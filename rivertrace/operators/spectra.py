@@ -21,6 +21,7 @@ from rivertrace.session import spread
 # The batch functions below travel to the workers by value, so these need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+ROUNDING = 1e-4  # scores are ranked at four decimals
 COSINE_WEIGHT, PEARSON_WEIGHT = 0.6, 0.4  # fixed values: parts of the match score
 TREATMENT_PLANT, TREATMENT_DAMPING = "wwtp", 0.3  # fixed values: weak fluorescence of treated water
 
@@ -202,7 +203,7 @@ def _panels(df: DataFrame, key: str, panel_rows: int, name: str) -> tuple[DataFr
     return panels, count
 
 
-def _panel_scorer(top: int):
+def _panel_scorer(top: int | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             for seen, known in zip(part["block_members"], part["panel_members"]):
@@ -210,15 +211,16 @@ def _panel_scorer(top: int):
                 x, y = np.vstack([m["vector"] for m in seen]), np.vstack([m["vector"] for m in known])
                 cosine, pearson = _unit(x) @ _unit(y).T, _centred_unit(x) @ _centred_unit(y).T
                 score = np.maximum(0.0, COSINE_WEIGHT * cosine + PEARSON_WEIGHT * pearson)
-                # Members are sorted by id and the sort is stable, so the smallest id wins ties.
-                best = np.argsort(-score.round(4), axis=1, kind="stable")[:, :top]
-                rows = np.arange(len(x))[:, None]
+                # Whatever may round to the k-th score stays; the rank is settled afterwards, by one rounding.
+                k = len(ids) if top is None else min(top, len(ids))
+                least = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
+                row, column = np.nonzero(score >= least[:, None] - ROUNDING)
                 yield pd.DataFrame(
                     {
-                        "sample_id": np.repeat([m["id"] for m in seen], best.shape[1]),
-                        "enterprise_id": ids[best].ravel(),
-                        "cosine": cosine[rows, best].ravel(),
-                        "pearson": pearson[rows, best].ravel(),
+                        "sample_id": np.array([m["id"] for m in seen])[row],
+                        "enterprise_id": ids[column],
+                        "cosine": cosine[row, column],
+                        "pearson": pearson[row, column],
                     }
                 )
 
@@ -226,15 +228,18 @@ def _panel_scorer(top: int):
 
 
 def rank_library(
-    samples: DataFrame, library: DataFrame, top: int, panel_rows: int = 512, salts: int = 16
+    samples: DataFrame, library: DataFrame, top: int | None, panel_rows: int = 512, salts: int | None = None
 ) -> DataFrame:
-    """The ``top`` best matches in the library for every sample, with their rank from 1.
+    """The ``top`` best matches in the library for every sample (None: all), with their rank from 1.
 
     Samples and library are cut into panels; a task multiplies one panel of samples with one panel of
-    the library and keeps ``top`` candidates per sample, so at most top x panels rows per sample are
-    shuffled. Library panels are spread over ``salts`` so that a few panels still fill a cluster.
+    the library and keeps ``top`` candidates per sample and ties, so about top x panels rows per sample
+    are shuffled. Library panels are spread over ``salts``, by default as many as there are panels of samples
+    but no more than keep all cores busy, so that a few panels still fill a cluster.
     """
-    blocks, _ = _panels(samples, "sample_id", panel_rows, "block")
+    blocks, block_count = _panels(samples, "sample_id", panel_rows, "block")
+    if salts is None:
+        salts = max(1, min(block_count, 4 * samples.sparkSession.sparkContext.defaultParallelism))
     panels, count = _panels(library, "enterprise_id", panel_rows, "panel")
     left = blocks.withColumn("panel", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).withColumn(
         "salt", F.pmod(F.col("block"), F.lit(salts))
@@ -250,4 +255,5 @@ def rank_library(
         .mapInPandas(_panel_scorer(top), schema)
     )
     order = Window.partitionBy("sample_id").orderBy(F.desc(F.bround("score", 4)), "enterprise_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    ranked = scored.withColumn("rank", F.row_number().over(order))
+    return ranked if top is None else ranked.where(F.col("rank") <= top)
