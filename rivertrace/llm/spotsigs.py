@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rivertrace.llm.common import connected_components, table
+from rivertrace.llm.common import connected_components, sized_broadcast, table
 from rivertrace.session import write_once
 
 #: Common words of English, French, German and Spanish that serve as anchors.
@@ -23,31 +23,48 @@ STRETCH = 120
 BIN_ROWS = 1 << 16
 
 
+def _branch(words: list[str]) -> str:
+    """A pattern of the given words by their first letters, so that a word is tried letter by letter and not
+    against each of them."""
+    if not words:
+        return ""
+    heads = sorted({w[0] for w in words if w})
+    tails = [h + _branch(sorted(w[1:] for w in words if w[:1] == h)) for h in heads]
+    one = tails[0] if len(tails) == 1 and "" not in words else f"(?:{'|'.join(tails)})" if tails else ""
+    return f"{one}?" if "" in words and one else one
+
+
 def _anchored(text: Column) -> Column:
-    """Lower-case words between single spaces; a run of anchors is cut to its last and hung on the word before
-    it behind a mark, so that content words stay one space apart."""
+    """Lower-case words between single spaces; an anchor hangs on the word before it behind a mark, so that
+    content words stay one space apart. Of a run of anchors the last is left."""
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    anchors = "|".join(sorted(set(ANCHORS)))
-    return F.regexp_replace(words, rf"(?: ({anchors}))+(?= )", MARK + "$1")
+    marked = F.regexp_replace(words, rf" ({_branch(sorted(set(ANCHORS)))})(?= )", MARK + "$1")
+    return F.regexp_replace(marked, rf"{MARK}[^ {MARK}]+(?={MARK})", "")
 
 
 def _pairs(words: Column) -> Column:
     return F.transform(F.regexp_extract_all(words, F.lit(r"(?= ([^ ]+(?: [^ ]+)?) )"), 1), lambda s: F.hash(s))
 
 
-def signatures(text: Column) -> Column:
-    """Sorted set of 32-bit hashes of (anchor, content word, next content word).
+def with_signatures(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds the sorted set of 32-bit hashes of (anchor, content word, next content word) as ``name``.
 
     Stretches of more than ``STRETCH`` characters without an anchor (tables, lists, other languages) add
     each pair of neighbouring words, and so does a text that has no signature otherwise; a single word
-    stands by itself. Null and empty texts have the empty set.
+    stands by itself. Null and empty texts have the empty set. Steps are columns of their own, so that Spark
+    takes each once.
     """
-    anchored = _anchored(F.coalesce(text, F.lit("")))
-    chains = F.regexp_extract_all(anchored, F.lit(rf"(?={MARK}([^ {MARK}]+ [^ {MARK}]+(?:(?:{MARK}[^ ]+)? [^ {MARK}]+)?))"), 1)
-    spots = F.transform(chains, lambda s: F.hash(F.regexp_replace(s, rf"{MARK}[^ ]+", "")))
-    bare = F.filter(F.split(anchored, MARK), lambda s: F.length(s) > STRETCH)
-    found = F.concat(spots, F.flatten(F.transform(bare, lambda s: _pairs(F.concat(F.lit(" "), s, F.lit(" "))))))
-    return F.sort_array(F.array_distinct(F.when(F.size(found) > 0, found).otherwise(_pairs(F.translate(anchored, MARK, " ")))))
+    chains = F.regexp_extract_all("anchored_", F.lit(rf"(?={MARK}([^ {MARK}]+ [^ {MARK}]+(?:(?:{MARK}[^ ]+)? [^ {MARK}]+)?))"), 1)
+    spots = F.transform(chains, lambda s: F.hash(F.when(F.contains(s, F.lit(MARK)), F.regexp_replace(s, rf"{MARK}[^ ]+", "")).otherwise(s)))
+    bare = F.filter(F.split("anchored_", MARK), lambda s: F.length(s) > STRETCH)
+    stretches = F.flatten(F.transform(bare, lambda s: _pairs(F.concat(F.lit(" "), s, F.lit(" ")))))
+    plain = F.when(F.size("found_") > 0, F.col("found_")).otherwise(_pairs(F.translate("anchored_", MARK, " ")))
+    return (
+        rows.withColumn("anchored_", _anchored(F.coalesce(text, F.lit(""))))
+        .withColumn("found_", F.concat(spots, stretches))
+        .withColumn(name, F.sort_array(F.array_distinct(plain)))
+        .drop("anchored_", "found_")
+    )
 
 
 def fingerprint(signature: Column) -> Column:
@@ -90,12 +107,12 @@ def with_next(docs: DataFrame) -> DataFrame:
     heads = rows.groupBy("bin").agg(F.max("key").alias("head"))
     order = Window.orderBy("bin")
     before = F.coalesce(F.lead("bin").over(order), F.first("bin").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    copies = heads.withColumn("to", before).select("head", "to")
-    both = rows.join(copies, F.col("key") == F.col("head"), "left").select(
+    copies = write_once(heads.withColumn("to", before).select("head", "to"), "heads")
+    both = rows.join(sized_broadcast(copies), F.col("key") == F.col("head"), "left").select(
         "doc_id", "text", "key",
         F.explode(F.filter(F.array(F.struct(F.col("bin"), F.lit(0).alias("copy")), F.struct(F.col("to").alias("bin"), F.lit(1).alias("copy"))), lambda x: x.bin.isNotNull())).alias("at"),
     ).select("doc_id", "text", "key", "at.bin", "at.copy")
-    signed = both.repartition("bin").withColumn("sigs", signatures(F.col("text")))
+    signed = with_signatures(both.repartition("bin"), "text", "sigs")
     inside = Window.partitionBy("bin").orderBy("copy", F.desc("key"), "text")
     return (
         signed.withColumn("next", F.lead(F.struct("text", "sigs")).over(inside)).filter("copy = 0")
@@ -106,9 +123,9 @@ def with_next(docs: DataFrame) -> DataFrame:
 def with_edit(docs: DataFrame) -> DataFrame:
     """Adds to ``with_next`` the edited text: its last third replaced by the opening of the next text."""
     third = F.floor(F.length("text") / 3).cast("int")
-    return with_next(docs).withColumn(
-        "edited", F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - third), F.substring(F.col("next_text"), F.lit(1), third))
-    ).withColumn("edited_sigs", signatures(F.col("edited")))
+    kept = F.substring(F.col("text"), F.lit(1), F.length("text") - third)
+    edited = with_next(docs).withColumn("edited", F.concat(kept, F.substring(F.col("next_text"), F.lit(1), third)))
+    return with_signatures(edited, "edited", "edited_sigs")
 
 
 def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -119,7 +136,8 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     so that a link joins equal or neighbouring partitions only, and indexed there by as many of their rarest
     signatures as a link must share one of; sizes are compared before sets are. Null doc_ids have no class.
     """
-    signed = write_once(docs.select(F.col("doc_id").cast("long").alias("doc_id"), signatures(F.col("text")).alias("sigs")), "signed")
+    rows = with_signatures(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", "sigs")
+    signed = write_once(rows.drop("text"), "signed")
     nodes = signed.groupBy("sigs").agg(F.min("doc_id").alias("first")).withColumn("node", F.xxhash64("sigs"))
     nodes = write_once(nodes.withColumn("n", F.size("sigs")), "sets")
     each = nodes.filter("n > 0").select("node", "n", F.explode("sigs").alias("sig"))
