@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rivertrace.llm.common import table
+from rivertrace.llm.common import sized_broadcast, table
 from rivertrace.session import write_once
 
 WORDS = 5
@@ -76,6 +76,18 @@ def nibbles(fp: Column) -> Column:
     return F.explode(F.array(*[F.struct(F.lit(i).alias("block"), F.shiftright(fp, 4 * i).bitwiseAND(F.lit(15)).alias("bits")) for i in range(NIBBLES)]))
 
 
+def _prints(rows: DataFrame, by: list[str], hash_: Column, weight: Column) -> DataFrame:
+    sums, total = simhash(hash_, weight)
+    return rows.groupBy(*by).agg(*sums, total).select(*by, "total", simhash_bits().alias("fp"))
+
+
+def _numbered(hs: str) -> Column:
+    """Each shingle with its number among equal ones, from 1."""
+    plain = F.transform(hs, lambda h: F.struct(h.alias("h"), F.lit(1).alias("nth")))
+    counted = F.transform(hs, lambda h, i: F.struct(h.alias("h"), F.size(F.filter(F.slice(hs, F.lit(1), i + 1), lambda x: x == h)).alias("nth")))
+    return F.when(F.size(F.array_distinct(hs)) == F.size(hs), plain).otherwise(counted)
+
+
 def text_key(text: Column | str = "text") -> Column:
     return F.xxhash64(text)
 
@@ -86,14 +98,14 @@ def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     Equal texts stand as one (``key``). Every word of every text is looked at; only where an anchor is met
     are windows laid, at each start that takes it in. A text shorter than the item is one window.
     """
-    sized = anchors(items)
+    sized = sized_broadcast(write_once(anchors(items), "anchors"))
     each = with_shingles(docs.select(text_key().alias("key"), "text"), F.col("text"))
     # Outer: for the inner form Spark would cut every text a second time to filter those without shingles.
     met = each.select("key", "hs", F.size("hs").alias("n")).select("key", "n", F.posexplode_outer("hs").alias("at", "h")).join(sized, "h")
     met = met.select("key", "n", "m", "at").distinct()
     starts = F.sequence(F.greatest(F.lit(0), F.least(F.col("at") - F.col("m") + 1, F.col("n") - F.col("m"))), F.greatest(F.lit(0), F.least("at", F.col("n") - F.col("m"))))
     places = write_once(met.select("key", "m", F.explode(starts).alias("start")).distinct(), "places")
-    keys = places.select("key").distinct()
+    keys = sized_broadcast(write_once(places.select("key").distinct(), "keys"))
     texts = docs.select("text", text_key().alias("key")).join(keys, "key", "left_semi").dropDuplicates(["key"])
     whole = with_shingles(texts, F.col("text")).select("key", "hs")
     cut = F.slice("hs", F.col("start") + 1, F.col("m"))
@@ -110,21 +122,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     """
     items = write_once(item_shingles(benchmark), "items")
     laid = write_once(windows(docs, items), "windows")
-    weights = items.select("h", "w").distinct()
-    each = laid.select("key", "start", "m", F.explode("hs").alias("h")).groupBy("key", "start", "m", "h").agg(F.count(F.lit(1)).alias("c"))
-    each = write_once(each.join(weights, "h", "left").withColumn("w", F.coalesce("w", F.lit(RAREST))), "shingles")
-    sums, total = simhash(F.col("h"), F.col("c") * F.col("w"))
-    window_fp = write_once(each.groupBy("key", "start", "m").agg(*sums, total).select("key", "start", "m", "total", simhash_bits().alias("fp")), "prints")
-    item_fp = items.groupBy("item_id", "m").agg(*sums, total).select("item_id", "m", "total", simhash_bits().alias("fp"))
+    weights = sized_broadcast(write_once(items.select("h", "w").distinct(), "weights"))
+    weight = F.coalesce("w", F.lit(RAREST))
+    # A window's rows come from one row, so its sums are complete before the shuffle.
+    each = laid.select("key", "start", "m", F.explode_outer("hs").alias("h")).join(weights, "h", "left")
+    window_fp = write_once(_prints(each, ["key", "start", "m"], F.col("h"), weight), "prints")
+    item_fp = _prints(items, ["item_id", "m"], F.col("h"), F.col("c") * F.col("w"))
     a = window_fp.select("*", nibbles(F.col("fp")).alias("x")).select("key", "start", "m", "fp", F.col("total").alias("ta"), "x.*")
     b = item_fp.select("*", nibbles(F.col("fp")).alias("x")).select("item_id", "m", F.col("fp").alias("item_fp"), F.col("total").alias("tb"), "x.*")
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     near = a.join(b, ["m", "block", "bits"]).withColumn("hamming", apart).filter(F.col("hamming") <= RADIUS)
     near = near.select("key", "start", "m", "item_id", "hamming", "ta", "tb").distinct()
+    held = near.join(laid.select("key", "start", "m", _numbered("hs").alias("hs")), ["key", "start", "m"])
+    met = held.select("key", "item_id", "start", "hamming", "ta", "tb", F.explode_outer("hs").alias("x")).select("*", "x.h", "x.nth").drop("x")
     shared = (
-        near.join(each.drop("w"), ["key", "start", "m"])
-        .join(items.select("item_id", "h", F.col("c").alias("ci"), "w"), ["item_id", "h"])
-        .groupBy("key", "item_id", "start", "hamming", "ta", "tb").agg(F.sum(F.least("c", "ci") * F.col("w")).alias("both"))
+        met.join(sized_broadcast(items.select("item_id", "h", "c", "w")), ["item_id", "h"]).filter("nth <= c")
+        .groupBy("key", "item_id", "start", "hamming", "ta", "tb").agg(F.sum("w").alias("both"))
     )
     scored = shared.withColumn("similarity", F.col("both") / (F.col("ta") + F.col("tb") - F.col("both"))).filter(F.col("similarity") >= threshold)
     best = scored.groupBy("key", "item_id").agg(F.max(F.struct("similarity", -F.col("start"), "hamming")).alias("x"))
@@ -136,13 +149,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     words. Null and empty texts leak nothing; rows without an id are reported with a null id."""
     found = leaks(docs, benchmark, threshold)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"))
-    return rows.join(found, "key").select("doc_id", "item_id", "start", "hamming", "similarity")
+    return rows.join(sized_broadcast(found), "key").select("doc_id", "item_id", "start", "hamming", "similarity")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` into which no item leaks."""
-    bad = leaks(docs, benchmark, threshold).select("key").distinct().withColumnRenamed("key", "leak_key_")
-    return docs.join(bad, text_key(docs["text"]) == F.col("leak_key_"), "left_anti")
+    keys = leaks(docs, benchmark, threshold).select(F.col("key").alias("leak_key_")).distinct()
+    bad = sized_broadcast(write_once(keys, "leaking"))
+    return docs.join(bad, text_key(docs["text"]) == bad["leak_key_"], "left_anti")
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
