@@ -12,6 +12,7 @@ SHARDS = 8
 ROUNDS = 6
 RANK_BUCKETS = 4096
 PIECE_ROWS = 1000
+SIZE_CLASSES = 32
 LAW = "rows"
 
 
@@ -35,40 +36,48 @@ def _wishes(members: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
     """(row, shard, to, bucket) for rows with more linked rows elsewhere than in their own shard.
 
     Links run over hubs: each hub counts its rows per shard, at most one row per shard however many rows
-    it has, and each row sums the counts of its hubs. Ties are settled by a hash of the row's first hub
-    and the shard, alike for all rows of a hub, so that two linked rows do not change places forever.
+    it has, and each row sums the counts of its hubs; it counts itself once. Ties are settled by a hash of the
+    row's first hub and the shard, alike for all rows of a hub, so that two linked rows do not change
+    places forever.
     """
-    votes = members.join(labels, "row").groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
-    sums = members.join(votes.withColumnRenamed("shard", "to"), "hub").groupBy("row", "to").agg(
-        F.sum("n").alias("n"), F.min("anchor").alias("anchor"), F.max("size").alias("size")
+    placed = members.join(labels, "row")
+    votes = placed.groupBy("hub", F.col("shard").alias("to")).agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
+    pieces = F.ceil(F.col("size") / PIECE_ROWS).cast("long")  # a large hub meets its votes in so many places
+    votes = votes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1))).drop("size")
+    salted = placed.withColumn("salt", F.pmod(F.xxhash64("row"), pieces))
+    sums = salted.join(votes, ["hub", "salt"]).groupBy("row", "shard", "to").agg(
+        F.sum("n").alias("all"), F.count(F.lit(1)).alias("hubs"), F.min("anchor").alias("anchor"), F.max("size").alias("size")
     )
-    best = sums.groupBy("row").agg(
+    sums = sums.withColumn("n", F.when(F.col("to") == F.col("shard"), F.col("all") - F.col("hubs") + 1).otherwise(F.col("all")))
+    best = sums.groupBy("row", "shard").agg(
         F.max_by("to", F.struct("n", F.xxhash64("anchor", "to"), "to")).alias("to"), F.max("anchor").alias("anchor"), F.max("size").alias("size")
     )
     piece = F.pmod(F.xxhash64("row"), F.ceil(F.col("size") / PIECE_ROWS).cast("long"))
-    return best.join(labels, "row").filter(F.col("to") != F.col("shard")).select("row", "shard", "to", _hash("anchor", piece, below=buckets).alias("bucket"))
+    per_size = max(1, buckets // SIZE_CLASSES)
+    size_class = F.least(F.floor(F.log2("size")), F.lit(SIZE_CLASSES - 1)).cast("long")
+    bucket = size_class * per_size + _hash("anchor", piece, below=per_size)
+    return best.filter(F.col("to") != F.col("shard")).select("row", "shard", "to", bucket.alias("bucket"))
 
 
-def _limits(wishes: dict[tuple[int, int], dict[int, int]], held: list[int], capacity: list[int]) -> list[tuple[int, int, int]]:
-    """For each pair of shards the number of buckets whose rows may move.
+def _accepted(wishes: dict[tuple[int, int], dict[int, int]], held: list[int], capacity: list[int]) -> list[tuple[int, int, int]]:
+    """(from, to, bucket): the buckets whose rows may move.
 
-    As many may go from s to t as go from t to s; what is beyond shares the room left in t.
+    As many rows may go from s to t as go from t to s; what is beyond shares the room left in t. Buckets of
+    small hubs come first, and one that does not fit is passed over, so that a hub too large for a shard does
+    not keep small ones apart.
     """
     flow = {pair: sum(counts.values()) for pair, counts in wishes.items()}
     over = {(s, t): n - min(n, flow.get((t, s), 0)) for (s, t), n in flow.items()}
-    limits = []
+    accepted = []
     for (s, t), counts in wishes.items():
         wanted = sum(n for (_, to), n in over.items() if to == t)
         room = max(0, capacity[t] - held[t])
-        quota = flow[s, t] - over[s, t] + (min(over[s, t], room * over[s, t] // wanted) if wanted else 0)
-        total, limit = 0, 0
+        left = flow[s, t] - over[s, t] + (min(over[s, t], room * over[s, t] // wanted) if wanted else 0)
         for bucket in sorted(counts):
-            total += counts[bucket]
-            if total > quota:
-                break
-            limit = bucket + 1
-        limits.append((s, t, limit))
-    return limits
+            if counts[bucket] <= left:
+                left -= counts[bucket]
+                accepted.append((s, t, bucket))
+    return accepted
 
 
 def propagate(members: DataFrame, labels: DataFrame, capacity: list[int], rounds: int = ROUNDS) -> DataFrame:
@@ -78,7 +87,7 @@ def propagate(members: DataFrame, labels: DataFrame, capacity: list[int], rounds
     reach the driver in a round, whatever the data.
     """
     spark, shards = members.sparkSession, len(capacity)
-    buckets = max(16, min(1024, (1 << 16) // max(1, shards * shards)))
+    buckets = max(SIZE_CLASSES, min(1024, (1 << 16) // max(1, shards * shards)))
     for _ in range(rounds):
         wishes = write_once(_wishes(members, labels, buckets), "wishes")
         counts: dict[tuple[int, int], dict[int, int]] = {}
@@ -87,11 +96,11 @@ def propagate(members: DataFrame, labels: DataFrame, capacity: list[int], rounds
         held = [0] * shards
         for r in labels.groupBy("shard").count().collect():
             held[r["shard"]] = r["count"]
-        limits = [x for x in _limits(counts, held, capacity) if x[2]]
-        if not limits:
+        accepted = _accepted(counts, held, capacity)
+        if not accepted:
             break
-        allowed = spark.createDataFrame(limits, "shard int, to int, below int")
-        moves = wishes.join(F.broadcast(allowed), ["shard", "to"]).filter("bucket < below").select("row", "to")
+        allowed = spark.createDataFrame(accepted, "shard int, to int, bucket long")
+        moves = wishes.join(F.broadcast(allowed), ["shard", "to", "bucket"]).select("row", "to")
         labels = write_once(labels.join(moves, "row", "left").select("row", F.coalesce("to", "shard").alias("shard")), "labels")
     return labels
 
