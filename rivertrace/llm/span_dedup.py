@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from rivertrace.llm.common import packed, pieces, sized_broadcast, table, unpacked
+from rivertrace.llm.common import packed, pieces, table, unpacked
 from rivertrace.session import write_once
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -95,23 +95,20 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
-        texts, totals, removed = [], [], []
+        texts, removed = [], []
         for t, marks in zip(batch.column("text").to_pylist(), batch.column("marks").to_pylist()):
-            parts = sentences(t or "")
             gone = {i for m in marks or () for i in range(m["at"], m["at"] + m["n"])}
-            texts.append(t if not gone else "".join(t[s:e] for i, (s, e, _) in enumerate(parts) if i not in gone))
-            totals.append(len(parts))
+            texts.append(t if not gone else "".join(t[s:e] for i, (s, e, _) in enumerate(sentences(t)) if i not in gone))
             removed.append(len(gone))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("row_"), pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), batch.column("repeats_of")],
-            ["row_", "text", "n_sentences", "n_removed", "repeats_of"],
+            [batch.column("row_"), pa.array(texts, pa.string()), pa.array(removed, pa.int64()), batch.column("repeats_of")],
+            ["row_", "text", "n_removed", "repeats_of"],
         )
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with the removed sentences cut from ``text``, and with ``n_sentences``, ``n_removed`` and
-    ``repeats_of`` (the doc_ids that hold the first copies of what was removed); these replace columns of
-    the same name.
+    """``docs`` with the removed sentences cut from ``text``, and with ``n_removed`` and ``repeats_of`` (the
+    doc_ids that hold the first copies of what was removed); these replace columns of the same name.
 
     The first copy of a run is the one with the smallest (doc_id, place); null ids come first. Rows that
     repeat both id and text are one document and are treated alike. Null texts stay null, empty ones empty,
@@ -123,9 +120,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     rows = packed(docs).withColumn("tk", F.xxhash64("text"))
     spans = write_once(rows.select("doc_id", "tk", "text").mapInArrow(_spans, "doc_id long, tk long, at int, n int, h long"), "spans")
     again = write_once(spans.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("h"), "repeated")
-    copies = write_once(spans.join(sized_broadcast(again), "h"), "copies")
+    copies = write_once(spans.join(again, "h"), "copies")
     place = F.struct("doc_id", "tk", "at")
-    first = copies.groupBy("h").agg(F.min(place).alias("first"))
+    # A table of its own, so that the join deals both sides out and Spark can split a hot passage.
+    first = write_once(copies.groupBy("h").agg(F.min(place).alias("first")), "firsts")
     later = copies.join(first, "h").filter(~place.eqNullSafe(F.col("first")))
     marks = later.groupBy("doc_id", "tk").agg(
         F.collect_set(F.struct("at", "n")).alias("marks"), F.sort_array(F.collect_set("first.doc_id")).alias("repeats_of")
@@ -133,8 +131,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     marks = write_once(marks.withColumnsRenamed({"doc_id": "mark_id", "tk": "mark_tk"}), "marks")
     marked = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("mark_id")) & F.col("tk").eqNullSafe(F.col("mark_tk")), "left")
     marked = marked.select("row_", "text", "marks", F.coalesce("repeats_of", F.array().cast("array<long>")).alias("repeats_of"))
-    schema = StructType([marked.schema["row_"], marked.schema["text"], StructField("n_sentences", LongType()), StructField("n_removed", LongType()), marked.schema["repeats_of"]])
-    return unpacked(marked.mapInArrow(_cut, schema), docs.columns, ("n_sentences", "n_removed", "repeats_of"))
+    schema = StructType([marked.schema["row_"], marked.schema["text"], StructField("n_removed", LongType()), marked.schema["repeats_of"]])
+    return unpacked(marked.mapInArrow(_cut, schema), docs.columns, ("n_removed", "repeats_of"))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
