@@ -140,30 +140,51 @@ def _met(keys: DataFrame, name: str) -> DataFrame:
     return write_once(met.distinct(), name)
 
 
-def _pairs(met: DataFrame) -> DataFrame:
-    a = met.filter("not probe").select("key", F.col("lh").alias("x"))
-    b = met.filter("probe").select("key", F.col("lh").alias("y"))
-    return a.join(b, "key").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def letter_parity(line: str) -> int:
+    """Bit i tells whether the line has an odd number of code points that are i modulo 64. An edit changes at
+    most two bits."""
+    codes = np.frombuffer(line.encode("utf-32-le"), "<u4") & 63
+    return int(np.packbits(np.bincount(codes, minlength=64) & 1, bitorder="little").view("<i8")[0])
+
+
+def _pairs(met: DataFrame, parities: DataFrame) -> DataFrame:
+    """Pairs of lines that meet under a key. The join itself compares letter parities, so that lines which only
+    share a segment, as those of a template do, do not leave it as pairs."""
+    rows = write_once(met.join(parities, "lh"), "compared")
+    a = rows.filter("not probe").select("key", F.col("lh").alias("x"), F.col("parity").alias("p"))
+    b = rows.filter("probe").select("key", F.col("lh").alias("y"), F.col("parity").alias("q"))
+    near = (a["key"] == b["key"]) & (a["x"] != b["y"]) & (F.bit_count(a["p"].bitwiseXOR(b["q"])) <= 2 * EDITS)
+    return a.join(b, near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _with_parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, "line"):
+        values = pa.array([letter_parity(x) for x in batch.column("line").to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("lh"), batch.column("line"), values], ["lh", "line", "parity"])
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(lh, line) for the lines of ``wanted(lh)``."""
+    """(lh, line, parity) for the lines of ``wanted(lh)``."""
     each = docs.select(F.explode_outer(F.split("text", "\n")).alias("line")).select(F.btrim("line", F.lit(" \t\r")).alias("line"))
     found = each.filter(F.length("line") >= NEAR_CHARS).withColumn("lh", F.xxhash64("line"))
-    return found.join(sized_broadcast(wanted), "lh", "left_semi").dropDuplicates(["lh"])
+    once = found.join(sized_broadcast(wanted), "lh", "left_semi").dropDuplicates(["lh"]).select("lh", "line")
+    return once.mapInArrow(_with_parity, "lh long, line string, parity long")
 
 
-def candidate_pairs(docs: DataFrame) -> DataFrame:
-    """(a, b): pairs of line hashes that share a segment where a pair within ``EDITS`` must share one.
+def candidate_pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b): pairs of line hashes that share a segment where a pair within ``EDITS`` must share one; and
+    ``line_texts`` of the lines that share one with any other.
 
     Under a key that very many different lines share (a template) a pair must share two segments of a finer
-    partition instead; such lines alone are keyed a second time, so no key multiplies all its lines.
+    partition instead; such lines alone are keyed a second time.
     """
     met = _met(docs.select("text").mapInArrow(_keyed(False, False), "key long, lh long, probe boolean"), "met")
-    usual = _pairs(met.filter(F.col("pairs") <= HOT_PAIRS))
-    hot = write_once(met.filter(F.col("pairs") > HOT_PAIRS).select("lh").distinct(), "hot")
-    finer = line_texts(docs, hot).select("line").mapInArrow(_keyed(True, True), "key long, lh long, probe boolean")
-    return write_once(usual.union(_pairs(_met(finer, "finer"))).distinct(), "candidates")
+    texts = write_once(line_texts(docs, write_once(met.select("lh").distinct(), "wanted")), "line_texts")
+    parities = texts.select("lh", "parity")
+    usual = _pairs(met.filter(F.col("pairs") <= HOT_PAIRS), parities)
+    hot = met.filter(F.col("pairs") > HOT_PAIRS).select("lh").distinct()
+    finer = texts.join(hot, "lh", "left_semi").select("line").mapInArrow(_keyed(True, True), "key long, lh long, probe boolean")
+    return write_once(usual.union(_pairs(_met(finer, "finer"), parities)).distinct(), "candidates"), texts
 
 
 def within(left: list[str], right: list[str], edits: int = EDITS) -> np.ndarray:
@@ -243,9 +264,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_lines(docs: DataFrame) -> DataFrame:
     """(a, b): hashes of all pairs of different lines of ``NEAR_CHARS`` or more at most ``EDITS`` apart."""
-    pairs = candidate_pairs(docs)
-    wanted = write_once(pairs.select(F.explode(F.array("a", "b")).alias("lh")).distinct(), "wanted")
-    texts = write_once(line_texts(docs, wanted), "line_texts")
+    pairs, texts = candidate_pairs(docs)
     both = pairs.join(texts.select(F.col("lh").alias("a"), F.col("line").alias("x")), "a").join(
         texts.select(F.col("lh").alias("b"), F.col("line").alias("y")), "b"
     )

@@ -98,6 +98,8 @@ def test_banded_distance_and_keys_lose_no_pair():
     assert line_dedup.within([], []).tolist() == []
     for a, b, close in zip(left, right, near):
         longer, shorter = (a, b) if len(a) >= len(b) else (b, a)
+        if close:
+            assert ((line_dedup.letter_parity(a) ^ line_dedup.letter_parity(b)) & ((1 << 64) - 1)).bit_count() <= 4
         if close and len(shorter) >= 12:
             assert set(line_dedup.probe_keys(longer)) & set(line_dedup.index_keys(shorter))
             assert set(line_dedup.probe_pairs(longer)) & set(line_dedup.index_pairs(shorter))

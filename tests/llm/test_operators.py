@@ -320,10 +320,13 @@ def distance_at_most(a, b, k):
     return row[-1] <= k
 
 
-def dedup_lines_by_hand(texts):
+def dedup_lines_by_hand(texts, near=None):
     seen = sorted({x.strip(" \t\r") for t in texts for x in t.split("\n") if len(x.strip(" \t\r")) >= line_dedup.LEAST_CHARS})
-    long_ = lambda x: len(x) >= line_dedup.NEAR_CHARS
-    root = components_by_hand(seen, lambda a, b: long_(a) and long_(b) and distance_at_most(a, b, line_dedup.EDITS))
+    long_ = [x for x in seen if len(x) >= line_dedup.NEAR_CHARS]
+    pairs = [(a, b) for i, a in enumerate(long_) for b in long_[i + 1 :] if abs(len(a) - len(b)) <= line_dedup.EDITS]
+    near = near or (lambda pairs: [distance_at_most(a, b, line_dedup.EDITS) for a, b in pairs])
+    linked = {p for p, close in zip(pairs, near(pairs)) if close}
+    root = components_by_hand(seen, lambda a, b: (a, b) in linked)
     out, taken = [], set()
     for t in texts:
         kept = []

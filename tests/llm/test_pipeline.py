@@ -4,7 +4,7 @@ from collections import Counter
 
 from test_operators import components_by_hand, dedup_lines_by_hand
 
-from rivertrace.llm import decontamination, simhash_dedup
+from rivertrace.llm import decontamination, line_dedup, simhash_dedup
 
 
 def test_stages(spark, small, tmp_path):
@@ -28,7 +28,9 @@ def test_stages(spark, small, tmp_path):
     assert all(rows[r.doc_id] == r for r in seen["quality"]) and len(seen["quality"]) < len(before)
 
     ordered = sorted(seen["quality"], key=lambda r: r.doc_id)
-    expected = dict(zip([r.doc_id for r in ordered], dedup_lines_by_hand([r.text for r in ordered]), strict=True))
+    # The distance itself is held against the plain recurrence in test_kernels; there are too many lines for it here.
+    close = lambda pairs: line_dedup.within([a for a, _ in pairs], [b for _, b in pairs])
+    expected = dict(zip([r.doc_id for r in ordered], dedup_lines_by_hand([r.text for r in ordered], close), strict=True))
     assert {r.doc_id: r.text for r in seen["line_dedup"]} == expected
     assert all(r.n_chars == len(r.text) for r in seen["line_dedup"])
 
