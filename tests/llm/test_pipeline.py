@@ -44,4 +44,4 @@ def test_stages(spark, small, tmp_path):
 
     texts = {r.doc_id: r.text for r in seen["decontamination"]}
     assert {r.doc_id: r.text for r in seen["byte_bpe"]} == texts
-    assert Counter(r.doc_id for r in corpus_pipeline.run(spark, small).collect()) == Counter(texts)
+    assert Counter(r.doc_id for r in corpus_pipeline.run(spark, small).collect()) == Counter(list(texts))
