@@ -61,22 +61,34 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     return found
 
 
-def runs(parts: list[tuple[int, int, list[str]]]) -> Iterator[tuple[int, int, int]]:
-    """(first sentence, sentences, hash) of the shortest run from each sentence on that has ``RUN``
-    sentences and ``RUN_WORDS`` words; none where the text ends before."""
-    joined = [" ".join(p[2]) for p in parts]
-    counts = [len(p[2]) for p in parts]
+def _shortest(counts: list[int]) -> Iterator[tuple[int, int]]:
+    """(first sentence, end) of the shortest run from each sentence on that has ``RUN`` sentences and
+    ``RUN_WORDS`` words; none where the text ends before."""
     end, words = 0, 0
-    for i in range(len(parts)):
-        while end < len(parts) and (words < RUN_WORDS or end - i < RUN):
+    for i in range(len(counts)):
+        while end < len(counts) and (words < RUN_WORDS or end - i < RUN):
             words += counts[end]
             end += 1
         if words < RUN_WORDS or end - i < RUN:
             return
-        yield i, end - i, xxhash.xxh64_intdigest(" ".join(joined[i:end])) - (1 << 63)
+        yield i, end
         words -= counts[i]
 
 
+def runs(parts: list[tuple[int, int, list[str]]]) -> Iterator[tuple[int, int, int]]:
+    """(first sentence, sentences, hash) of the shortest runs of ``RUN`` sentences and ``RUN_WORDS`` words that
+    start at each sentence, and of those that end at each, in order of place; each run once.
+
+    Of a longer run every sentence lies in one of these that the run holds: in the one that starts there, or,
+    where too little of the run is left, in the one that ends with it. So all runs are found by them.
+    """
+    joined = [" ".join(p[2]) for p in parts]
+    counts = [len(p[2]) for p in parts]
+    ending = ((len(counts) - end, len(counts) - i) for i, end in _shortest(counts[::-1]))
+    for i, end in sorted({*_shortest(counts), *ending}):
+        yield i, end - i, xxhash.xxh64_intdigest(" ".join(joined[i:end])) - (1 << 63)
+
+
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         index, at, length, value = [], [], [], []

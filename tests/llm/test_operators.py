@@ -432,6 +432,26 @@ def test_spans_equal_brute_force(spark):
         assert got[i].n_removed == len(gone) and set(got[i].repeats_of) == sources
 
 
+def test_every_repeated_run_of_sentences_goes(spark):
+    """Spans enumerated here: every run of two sentences and twelve words or more."""
+    rng = random.Random(15)
+    vocabulary = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    sentence = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n)) + ". "
+    passages = ["".join(sentence(n) for n in lengths) for lengths in ((15, 14, 3, 3), (12, 2), (3, 3, 15), (5, 1, 1, 9, 1), (3, 3, 3, 3))]
+    texts = ["".join(rng.choice(passages) if rng.random() < 0.5 else sentence(rng.randrange(1, 15)) for _ in range(rng.randrange(1, 6))) for _ in range(40)]
+    got = {r.doc_id: r for r in span_dedup.dedup(texts_of(spark, texts)).collect()}
+    parts, seen, gone = [re.findall(r"[^.]*\. ", t) for t in texts], set(), [set() for _ in texts]
+    for d, p in enumerate(parts):
+        for i in range(len(p)):
+            for j in range(i + 2, len(p) + 1):
+                if len(" ".join(p[i:j]).split()) >= 12:
+                    key = " ".join(p[i:j])
+                    if key in seen:
+                        gone[d] |= set(range(i, j))
+                    seen.add(key)
+    assert [got[d].text for d in range(len(texts))] == ["".join(x for i, x in enumerate(p) if i not in gone[d]) for d, p in enumerate(parts)]
+
+
 def test_spans_of_odd_tables(odd, no_documents):
     got = span_dedup.dedup(odd)
     rows = {r.doc_id: r for r in got.collect()}
