@@ -24,6 +24,12 @@ WORDS = 3
 RADIUS = 2
 BYTES = 8
 BLOCK = 1 << 16
+#: The pipeline stage also links texts of this Jaccard similarity over shingles of so many words.
+NEAR_WORDS = 5
+SIMILARITY = 0.8
+ORDER_DOCS = 10_000
+ORDER_COPIES = 10
+ORDER_ROWS = 200_000
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -54,13 +60,14 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         values = np.fromiter((fingerprint(t) for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+        names = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(values.view(np.int64))], [*names, "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for every row; a null text has the fingerprint zero."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, node, fp) for every row; node stands for the text, and a null text has the fingerprint zero."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("node"), "text")
+    return source.mapInArrow(_fingerprints, "doc_id long, node long, fp long")
 
 
 def shared_bytes(a: Column, b: Column) -> Column:
@@ -102,17 +109,124 @@ def linked_fingerprints(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return a.join(b, near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
 
 
-def components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id, links): component_id is the smallest doc_id reachable over links of at
-    most ``radius`` bits, links the number of other fingerprints linked to this one.
+def shingle_set(text: str | None, words: int = NEAR_WORDS) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles of a text; a text of fewer words is one shingle."""
+    tokens = (text or "").encode().lower().split()
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    each = np.fromiter((xxhash.xxh64_intdigest(t, SEED) for t in tokens), np.uint64, len(tokens))
+    n = max(1, len(tokens) - words + 1)
+    mixed = np.zeros(n, np.uint64)
+    for i in range(min(words, len(tokens))):
+        mixed = (mixed ^ each[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed)
 
-    Texts with one fingerprint stand as one node, so a group of copies costs one row in the join. Null
-    and empty texts share the fingerprint zero and are linked like others. Rows without a doc_id keep
-    their fingerprint and take the component of others with it (null if there are none).
+
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches):
+        found = [shingle_set(t) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(found)], ["node", "sigs"])
+
+
+def _prefixes(common, least: float):
+    """Of each set the ``n - ceil(least * n) + 1`` members that come first in one order of all shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ranks = common.value
+        for batch in pieces(batches):
+            sizes, heads = [], []
+            for t in batch.column("text").to_pylist():
+                found = shingle_set(t)
+                n = len(found)
+                at = np.minimum(np.searchsorted(known, found), max(0, len(known) - 1))
+                late = np.where(known[at] == found, ranks[at], -1) if len(known) else np.full(n, -1)
+                sizes.append(n)
+                heads.append(found[np.lexsort((found, late))][: n - int(np.ceil(least * n - 1e-9)) + 1 if n else 0])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int32()), _lists(heads)], ["node", "n", "head"])
+
+    return run
+
+
+def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that many texts share, sorted, and their ranks from rare to frequent.
+
+    They only settle the order in which shingles are indexed, so a bounded sample of texts is enough: under
+    any one order no link is lost.
     """
-    rows = write_once(fingerprints(docs), "fingerprints")
-    nodes = write_once(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    links = write_once(linked_fingerprints(nodes.select("fp"), radius), "links")
+    every = max(1, texts.count() // ORDER_DOCS)
+    sample = texts.filter(F.pmod("node", F.lit(every)) == 0).dropDuplicates(["node"])
+    found = sample.mapInArrow(_sets, "node long, sigs array<long>")
+    counts = found.select(F.explode("sigs").alias("sig")).groupBy("sig").count().filter(F.col("count") >= ORDER_COPIES)
+    rows = counts.orderBy(F.desc("count"), "sig").limit(ORDER_ROWS).collect()
+    known = np.array([r.sig for r in reversed(rows)], np.int64).view(np.uint64)
+    order = np.argsort(known)
+    return known[order], order
+
+
+def _mixed_lists(index: DataFrame, roots: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``index`` with their roots, of those shingles alone that still meet under two roots; and the
+    first row of each such shingle."""
+    rooted = index.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = write_once(rooted, f"{name}_rooted")
+    least = F.min(F.struct("root", "n", "node")).alias("head")
+    heads = rooted.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), least).filter("low <> high").select("sig", "head")
+    heads = write_once(heads, f"{name}_heads")
+    return write_once(rooted.join(heads.select("sig"), "sig"), f"{name}_lists"), heads
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, least: float, name: str) -> DataFrame:
+    """(a, b): roots of those pairs of texts ``(x, y, a, b)`` whose sets have the similarity ``least``."""
+    pairs = write_once(pairs.distinct(), f"{name}_pairs")
+    wanted = write_once(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), f"{name}_wanted")
+    sets = texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", "text").mapInArrow(_sets, "node long, sigs array<long>")
+    sets = write_once(sets, f"{name}_sets")
+    both = pairs.join(sets.select(F.col("node").alias("x"), F.col("sigs").alias("s")), "x").join(
+        sets.select(F.col("node").alias("y"), F.col("sigs").alias("t")), "y"
+    )
+    shared = F.size(F.array_intersect("s", "t"))
+    return both.filter(shared >= (F.size("s") + F.size("t") - shared) * least - 1e-9).select("a", "b").distinct()
+
+
+def alike_fingerprints(docs: DataFrame, rows: DataFrame, links: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(a, b): links between fingerprints of ``rows(node, fp)``, ``links`` among them, that join all texts of five-word Jaccard similarity
+    ``least`` or more into one component.
+
+    Prefix filter: a pair shares a shingle among the first ``n - ceil(least * n) + 1`` of both sets, and of the
+    smaller set already among the first ``n - ceil(2 * least / (1 + least) * n) + 1``. Texts in one component
+    need no comparison: each text is first compared with one of every list, and only what is still apart then
+    with all others, so a large group of near copies does not become all its pairs.
+    """
+    texts = docs.select(F.xxhash64("text").alias("node"), "text").filter("text is not null")
+    common = docs.sparkSession.sparkContext.broadcast(_common(texts))
+    heads = texts.mapInArrow(_prefixes(common, least), "node long, n int, head array<long>").filter("n > 0").dropDuplicates(["node"])
+    prints = rows.select("node", "fp").distinct()
+    short = F.col("n") - F.ceil(F.col("n") * (2 * least / (1 + least)) - 1e-9) + 1
+    index = heads.select("node", "n", F.posexplode("head").alias("at", "sig")).withColumn("indexed", F.col("at") < short).drop("at")
+    index = write_once(index.join(prints, "node"), "index")
+
+    lists, first = _mixed_lists(index, connected_components(links), "first")
+    near = (F.col("n") >= F.col("m") * least - 1e-9) & (F.col("m") >= F.col("n") * least - 1e-9) & (F.col("root") != F.col("b"))
+    one = lists.join(first.select("sig", F.col("head.node").alias("y"), F.col("head.n").alias("m"), F.col("head.root").alias("b")), "sig").filter(near)
+    found = write_once(links.union(_alike(one.select(F.col("node").alias("x"), "y", F.col("root").alias("a"), "b"), texts, least, "first")), "linked")
+
+    lists, _ = _mixed_lists(index, connected_components(found), "rest")
+    p, q = lists.alias("p"), lists.alias("q")
+    meet = (
+        (F.col("p.sig") == F.col("q.sig")) & F.col("p.indexed") & (F.col("p.root") != F.col("q.root"))
+        & ((F.col("p.n") < F.col("q.n")) | ((F.col("p.n") == F.col("q.n")) & (F.col("p.node") < F.col("q.node"))))
+        & (F.col("p.n") >= F.col("q.n") * least - 1e-9)
+    )
+    rest = p.join(q, meet).select(F.col("p.node").alias("x"), F.col("q.node").alias("y"), F.col("p.root").alias("a"), F.col("q.root").alias("b"))
+    return write_once(found.union(_alike(rest, texts, least, "rest")).distinct(), "alike")
+
+
+def _classes(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     degree = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("links"))
     roots = connected_components(links).withColumnRenamed("node", "fp")
     member = nodes.join(roots, "fp", "left").join(degree, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -123,12 +237,29 @@ def components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id", "links")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def components(docs: DataFrame, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
+    """(doc_id, fp, component_id, links): component_id is the smallest doc_id reachable over links of at
+    most ``radius`` bits, links the number of other fingerprints linked to this one.
+
+    Texts with one fingerprint stand as one node, so a group of copies costs one row in the join. Null
+    and empty texts share the fingerprint zero and are linked like others. Rows without a doc_id keep
+    their fingerprint and take the component of others with it (null if there are none).
+
+    With ``similarity`` texts of that Jaccard similarity of ``NEAR_WORDS``-word shingles are linked, too; links
+    then counts only those that were needed to join the components.
+    """
+    rows = write_once(fingerprints(docs), "fingerprints")
+    nodes = write_once(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    links = write_once(linked_fingerprints(nodes.select("fp"), radius), "links")
+    return _classes(rows, nodes, links if similarity is None else alike_fingerprints(docs, rows, links, similarity))
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row with the smallest doc_id stays.
 
     Of rows that repeat a doc_id one stays. Rows without a doc_id cannot be told apart and all stay.
     """
-    first = components(docs, radius).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id_")).distinct()
+    first = components(docs, radius, similarity).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id_")).distinct()
     kept = docs.join(first, docs["doc_id"] == first["kept_id_"], "left_semi")
     return kept.dropDuplicates(["doc_id"]).union(docs.filter("doc_id is null"))
 
@@ -140,7 +271,8 @@ def query(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    return keep_one(docs)
+    """Without near copies: texts within ``RADIUS`` bits or of five-word Jaccard similarity ``SIMILARITY``."""
+    return keep_one(docs, similarity=SIMILARITY)
 
 
 QUERIES = {"op9_simhash_dedup": (query, None)}

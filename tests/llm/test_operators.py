@@ -399,6 +399,33 @@ def test_simhash_documents(spark, small):
     assert {r.doc_id for r in simhash_dedup.keep_one(docs).collect()} == {d for d, c in expected.items() if d == c}
 
 
+def test_stage_drops_all_texts_of_jaccard_similarity(spark, odd):
+    rng = random.Random(13)
+    vocabulary = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    passage = [rng.choice(vocabulary) for _ in range(30)]
+    texts = []
+    for _ in range(30):
+        base = [rng.choice(vocabulary) for _ in range(rng.randrange(3, 140))] + passage * rng.randrange(2)
+        for _ in range(5):
+            changed = list(base)
+            for _ in range(rng.randrange(4)):
+                changed[rng.randrange(len(changed))] = rng.choice(vocabulary)
+            texts.append(" ".join(changed[: len(changed) - rng.randrange(2)]))
+
+    def shingles(text):
+        words = text.split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets, prints = [shingles(t) for t in texts], [simhash_dedup.fingerprint(t) for t in texts]
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9
+    near = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2
+    docs = texts_of(spark, texts)
+    roots = components_by_hand(range(len(texts)), lambda a, b: alike(a, b) or near(a, b))
+    assert {r.doc_id for r in simhash_dedup.stage(spark, docs, "").collect()} == {d for d, c in roots.items() if c == d}
+    assert roots != components_by_hand(range(len(texts)), near)
+    assert Counter(r.doc_id for r in simhash_dedup.stage(spark, odd, "").collect()) == Counter({1: 1, 3: 1, 6: 1, 7: 1, 8: 1, 9: 1, 10: 1, None: 1})
+
+
 def test_simhash_on_odd_tables(odd, no_documents):
     rows = simhash_dedup.components(odd).collect()
     by = {r.doc_id: r for r in rows}
