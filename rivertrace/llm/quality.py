@@ -51,6 +51,13 @@ def labelled_ids(labels: DataFrame, limit: int = TARGET_DOCS) -> tuple[np.ndarra
     return np.sort(np.array(fit, np.int64)), np.sort(np.array(held, np.int64))
 
 
+def toxic_ids(labels: DataFrame, limit: int = TARGET_DOCS) -> np.ndarray:
+    """Ids of the documents labelled toxic that the toxic model learns from; those left out are the same share
+    as in ``labelled_ids`` and serve to test it."""
+    toxic = labels.filter("doc_id is not null and toxic = 1").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id").alias("h")).distinct()
+    return np.sort(np.array([r.doc_id for r in toxic.orderBy("h", "doc_id").limit(limit).collect() if r.h % CALIBRATION_FOLDS], np.int64))
+
+
 def _member(ids: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     if not len(wanted):
         return np.zeros(len(ids), bool)
@@ -62,46 +69,62 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return pa.compute.fill_null(batch.column("doc_id"), np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
 
 
-def _counter(target: np.ndarray):
+def _counter(target: np.ndarray, toxic: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, good = np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64)
+        # The slot behind the buckets counts documents.
+        raw, good, fine, harm = (np.zeros(2 * BUCKETS + 1, np.int64) for _ in range(4))
         for batch in pieces(batches):
+            ids = _ids(batch)
             found = [grams(t) for t in batch.column("text").to_pylist()]
-            raw += np.bincount(np.concatenate(found), minlength=2 * BUCKETS)
-            chosen = [g for g, m in zip(found, _member(_ids(batch), target).tolist()) if m]
-            if chosen:
-                good += np.bincount(np.concatenate(chosen), minlength=2 * BUCKETS)
+            raw += np.bincount(np.concatenate(found), minlength=len(raw))
+            raw[-1] += len(found)
+            for g, chosen, bad in zip(found, _member(ids, target).tolist(), _member(ids, toxic).tolist()):
+                if chosen:
+                    np.add.at(good, g, 1)
+                if chosen or bad:
+                    into = fine if chosen else harm
+                    into[np.unique(g)] += 1
+                    into[-1] += 1
         at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(good[at])], ["bucket", "raw", "good"])
+        columns = {"bucket": at.astype(np.int32), "raw": raw[at], "good": good[at], "fine": fine[at], "harm": harm[at]}
+        yield pa.RecordBatch.from_pydict({name: pa.array(values) for name, values in columns.items()})
 
     return run
 
 
-def log_ratios(docs: DataFrame, target: np.ndarray) -> np.ndarray:
-    """log p_target / p_raw per bucket. Raw counts cover every gram of every document; each task sends one
-    row per bucket it met. The target model backs off to the raw one with the weight of ``PRIOR`` expected
-    grams, so a bucket the target has hardly been able to show says nothing."""
+def log_ratios(docs: DataFrame, target: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log p_target / p_raw and log p_toxic / p_target per bucket. Raw counts cover every gram of every
+    document; each task sends one row per bucket it met. The target model backs off to the raw one, and the
+    toxic to the target, with the weight of ``PRIOR`` expected grams, so a bucket they have hardly been able to
+    show says nothing. The toxic model counts a gram once a document: a text that says one word many times
+    does not make it a toxic one."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = source.mapInArrow(_counter(target), "bucket int, raw long, good long")
-    totals = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas()
-    ratios = np.zeros(2 * BUCKETS)
+    counts = source.mapInArrow(_counter(target, toxic), "bucket int, raw long, good long, fine long, harm long")
+    totals = counts.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("raw", "good", "fine", "harm"))).toPandas()
+    ratios, harms = np.zeros(2 * BUCKETS), np.zeros(2 * BUCKETS)
+    size = totals[totals.bucket == 2 * BUCKETS]
     if not len(totals) or not totals.good.sum():
-        return ratios
-    for part in (totals[totals.bucket < BUCKETS], totals[totals.bucket >= BUCKETS]):
+        return ratios, harms
+    for part in (totals[totals.bucket < BUCKETS], totals[(totals.bucket >= BUCKETS) & (totals.bucket < 2 * BUCKETS)]):
+        at = part.bucket.to_numpy()
         expected = part.raw.to_numpy(float) * (part.good.sum() / max(1, part.raw.sum()))
-        ratios[part.bucket.to_numpy()] = np.log((part.good.to_numpy(float) + PRIOR) / (expected + PRIOR))
-    return ratios
+        ratios[at] = np.log((part.good.to_numpy(float) + PRIOR) / (expected + PRIOR))
+        usual = part.fine.to_numpy(float) * (size.harm.sum() / max(1, size.fine.sum()))
+        harms[at] = np.log((part.harm.to_numpy(float) + PRIOR) / (usual + PRIOR))
+    return ratios, harms
 
 
 def _scorer(ratios, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values = ratios.value
+        values, harms = ratios.value
         for batch in pieces(batches):
-            scores = []
+            scores, worst = [], []
             for t in batch.column("text").to_pylist():
                 g = grams(t)
                 scores.append(float(values[g].mean()) if len(g) else NOTHING)
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(scores, pa.float64())], [*names, "log_ratio"])
+                worst.append(float(harms[g].max()) if len(g) else 0.0)
+            columns = [*(batch.column(n) for n in names), pa.array(scores, pa.float64()), pa.array(worst, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "log_ratio", "worst"])
 
     return run
 
@@ -122,17 +145,19 @@ def _kth(keys: DataFrame, k: int) -> int:
 
 def _drawn(docs: DataFrame, labels: DataFrame, loss: float, seed: int, whole: bool) -> DataFrame:
     fit, held = labelled_ids(labels)
-    ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, fit).astype(np.float32))
+    ratios = docs.sparkSession.sparkContext.broadcast(tuple(r.astype(np.float32) for r in log_ratios(docs, fit, toxic_ids(labels))))
     noise = -F.log(-F.log((F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)))
     source = packed(docs).withColumn("noise", noise)
     names = ["row_", "doc_id", "text", "noise"] if whole else ["row_", "doc_id", "noise"]
-    schema = StructType([*(source.schema[n] for n in names), StructField("log_ratio", DoubleType())])
+    schema = StructType([*(source.schema[n] for n in names), StructField("log_ratio", DoubleType()), StructField("worst", DoubleType())])
     scored = source.mapInArrow(_scorer(ratios, names), schema).withColumn("gumbel_key", F.col("log_ratio") * SHARPNESS + F.col("noise"))
     scored = write_once(scored, "scored")
     reference = scored.join(docs.sparkSession.createDataFrame([(int(i),) for i in held], "doc_id long"), "doc_id", "left_semi")
-    floor = reference.agg(F.percentile("log_ratio", F.lit(loss))).first()[0] if len(fit) else None
+    limits = (F.percentile("log_ratio", F.lit(loss)), F.percentile("worst", F.lit(1 - loss)))
+    floor, ceiling = reference.agg(*limits).first() if len(fit) else (None, None)
     if floor is None:
         return scored
+    scored = scored.filter(F.col("worst") <= ceiling)
     k = scored.filter(F.col("log_ratio") >= floor).count()
     order = F.round(F.col("gumbel_key") * 1e9).cast("long")
     return scored.filter(order >= _kth(scored.select(order.alias("key")), k))
@@ -145,7 +170,9 @@ def sample(docs: DataFrame, labels: DataFrame, loss: float = LOSS, seed: int = S
     A document's weight is the mean log ratio of its grams (the ratio of the two models, per gram, so that
     long texts are not favoured) times ``SHARPNESS``; noise comes from a hash of its id and text, so a
     recomputed task draws the same. k is the number of documents not below the floor that all but ``loss`` of
-    held-out good documents reach. Documents with equal keys go together. A null or empty text, or one
+    held-out good documents reach. A document whose most toxic word or pair of words (by the ratio of toxic to
+    good text) is beyond what all but ``loss`` of the held-out good documents have goes before the draw, however
+    little of its text that is. Documents with equal keys go together. A null or empty text, or one
     without words or signs, weighs ``NOTHING`` and goes, unless there are no labelled good documents to
     learn from and to set the floor: then there is no target and everything stays.
     """

@@ -100,6 +100,21 @@ def test_quality_keeps_clean_and_drops_junk(spark, small):
     assert sum(d in kept for d in good) >= 0.97 * len(good) and sum(d in kept for d in junk) <= 0.1 * len(junk)
 
 
+def test_quality_drops_documents_with_a_few_toxic_words(spark):
+    rng = random.Random(3)
+    plain, toxic = [f"{a}{b}" for a in "abcdefgh" for b in "klmnopqr"], ["grim", "vile", "foul", "base"]
+    texts, marks = [], []
+    for i in range(1200):
+        words = [rng.choice(plain) for _ in range(300)]
+        if bad := i % 6 == 0:
+            words[rng.randrange(300)] = rng.choice(toxic)
+        texts.append(" ".join(words))
+        marks.append((i, 1, int(bad)))
+    # The last third has no labels.
+    kept = {r.doc_id for r in quality.sample(texts_of(spark, texts), spark.createDataFrame(marks[:800], "doc_id long, quality int, toxic int")).collect()}
+    assert not [i for i in kept if i % 6 == 0] and len(kept) >= 0.97 * 1000
+
+
 def test_quality_on_odd_tables(spark, odd, labels, no_documents):
     got = quality.sample(odd, labels)
     assert set(odd.columns) <= set(got.columns) and got.columns[-2:] == ["log_ratio", "gumbel_key"]
