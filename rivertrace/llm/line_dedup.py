@@ -21,8 +21,10 @@ from rivertrace.session import write_once
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 EDITS = 2
-LEAST_CHARS = 10
-NEAR_CHARS = 30
+#: No floors: every line that is not empty is deduplicated, and every line that has a segment for each edit and
+#: one more is compared with others; shorter ones are within ``EDITS`` of any line as short.
+LEAST_CHARS = 1
+NEAR_CHARS = EDITS + 1
 HOT_PAIRS = 100_000
 PAIR_CELLS = 1 << 21
 _SIGN = 1 << 63
@@ -76,7 +78,7 @@ def index_pairs(line: str, edits: int = EDITS) -> list[int]:
 
 def probe_pairs(line: str, edits: int = EDITS) -> list[int]:
     raw, n, keys = line.encode("utf-32-le"), len(line), []
-    for other in range(max(edits + 2, n - edits), n + 1):
+    for other in range(max(edits + 1, n - edits), n + 1):
         places = []
         for i, (s, k) in enumerate(segments(other, edits + 2)):
             low, high = max(0, s - edits), min(n - k, s + edits)
@@ -321,7 +323,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     Lines are compared without blanks at their ends. Lines of one class are equal, or joined by a chain of
     lines of ``NEAR_CHARS`` or more, each at most ``EDITS`` from the next; the first by (doc_id, place) stays.
-    Lines below ``LEAST_CHARS`` always stay. Null ids come first; rows that repeat id and text are treated
+    Empty lines always stay. Null ids come first; rows that repeat id and text are treated
     alike. Null texts stay null; a text may end up empty.
     """
     return unpacked(_deduped(docs), docs.columns, ("n_lines", "n_dropped", "repeats_of", "n_links"))

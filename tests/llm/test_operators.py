@@ -377,6 +377,28 @@ def test_lines_equal_brute_force(spark, monkeypatch, hot_pairs):
     assert sum(r.n_dropped for r in got.values()) == sum(a.count("\n") + 1 - (b.count("\n") + 1 if b else 0) for a, b in zip(texts, expected))
 
 
+@pytest.mark.parametrize("hot_pairs", [100_000, 2])
+def test_short_lines_equal_brute_force(spark, monkeypatch, hot_pairs):
+    monkeypatch.setattr(line_dedup, "HOT_PAIRS", hot_pairs)
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(n))
+    lines = [word(rng.randrange(1, 29)) for _ in range(60)]
+    lines += [x[:-1] + "é" for x in lines[::2]] + [x[1:] + "z" for x in lines[::3]]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 4))) for _ in range(60)]
+    seen = sorted({x for t in texts for x in t.split("\n") if x})
+    root = components_by_hand(seen, lambda a, b: min(len(a), len(b)) > 2 and abs(len(a) - len(b)) <= 2 and distance_at_most(a, b, 2))
+    expected, taken = [], set()
+    for t in texts:
+        kept = []
+        for x in t.split("\n"):
+            if not x or root[x] not in taken:
+                kept.append(x)
+                taken.add(root.get(x))
+        expected.append("\n".join(kept))
+    got = {r.doc_id: r.text for r in line_dedup.dedup(texts_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == expected
+
+
 def test_lines_of_odd_tables(spark, odd, no_documents):
     got = line_dedup.dedup(odd.drop("n_links", "repeats_of"))
     rows = {r.doc_id: r for r in got.collect()}
