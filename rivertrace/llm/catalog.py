@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
-from rivertrace.llm import byte_bpe, decontamination, language_id, line_dedup, quality, sharding, simhash_dedup, span_dedup, spotsigs, url_filter
+from rivertrace.llm import (
+    byte_bpe, chat_format, conversation_repair, decontamination, language_id, line_dedup, quality, sharding, simhash_dedup, span_dedup, spelling,
+    spotsigs, url_filter,
+)
 
-QUERIES = {**byte_bpe.QUERIES, **decontamination.QUERIES, **language_id.QUERIES, **line_dedup.QUERIES, **quality.QUERIES, **sharding.QUERIES, **simhash_dedup.QUERIES, **span_dedup.QUERIES, **spotsigs.QUERIES, **url_filter.QUERIES}
+QUERIES = {
+    **byte_bpe.QUERIES, **chat_format.QUERIES, **conversation_repair.QUERIES, **decontamination.QUERIES, **language_id.QUERIES, **line_dedup.QUERIES,
+    **quality.QUERIES, **sharding.QUERIES, **simhash_dedup.QUERIES, **span_dedup.QUERIES, **spelling.QUERIES, **spotsigs.QUERIES, **url_filter.QUERIES,
+}

@@ -530,15 +530,17 @@ def test_spans_of_odd_tables(odd, no_documents):
 def test_queries_cover_their_tables(spark, small):
     from rivertrace.llm.catalog import QUERIES
 
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
-    documents = duckdb.sql(f"SELECT count(*) FROM '{small}/documents.parquet'").fetchone()[0]
-    pages = duckdb.sql(f"SELECT count(*) FROM '{small}/pages.parquet'").fetchone()[0]
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
+    documents = duckdb.sql(f"SELECT count(*) FROM '{small}/documents.parquet'").fetchall()[0][0]
+    pages = duckdb.sql(f"SELECT count(*) FROM '{small}/pages.parquet'").fetchall()[0][0]
+    conversations = duckdb.sql(f"SELECT count(DISTINCT conv_id) FROM '{small}/conversations.parquet'").fetchall()[0][0]
+    expected = {"op1_": pages, "op11": conversations + 1, "op13": conversations}
     for name, (query, _) in QUERIES.items():
         rows = query(spark, small).count()
-        if name.startswith(("op2_", "op3_")):
+        if name.startswith(("op2_", "op3_", "op12")):
             assert 0 < rows
         else:
-            assert rows == (pages if name.startswith("op1_") else documents), name
+            assert rows == expected.get(name[:4], documents), name
 
 
 def test_entropy_feature(spark):
