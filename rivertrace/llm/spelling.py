@@ -23,11 +23,14 @@ RUN = re.compile("[a-zÀ-ÿ]+")
 DELETE_ONE_IN = 31
 CHARS, OCCURRENCES, FACTOR = 7, 2, 10
 HELD_WORDS = 200_000
-#: Levels of the trie: letters by code point modulo GROUPS. The first step down the trie, the counts of four coarse
-#: groups, is taken by Spark: words meet in a task under them.
+#: Letters fall into GROUPS by code point modulo GROUPS, and these into COARSE by the same rule. The first step down
+#: the trie, the counts of the coarse groups, is taken by Spark: words meet in a task under them. The order of the other
+#: levels has groups of frequent letters first.
 GROUPS, COARSE = 24, 4
-LEAF_WORDS = 6
+LEVELS = (5, 14, 1, 20, 9, 15, 18, 8, 3, 21, 19, 12, 4, 2, 6, 7, 17, 16, 13, 23, 0, 22, 11, 10)
+LEAF_WORDS = 16
 PIECE_WORDS = 20_000
+_LETTERS = [chr(0x100 + g) for g in LEVELS]
 _FINE = {c: chr(0x100 + c % GROUPS) for c in (*range(0x61, 0x7B), *range(0xC0, 0x100))}
 
 
@@ -88,22 +91,24 @@ def _coarse(shape: str) -> tuple[int, ...]:
     return tuple(counts)
 
 
-def _onward(counts: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
-    """The counts themselves and those a surplus of one, a deficit of one or both away, of each two opposite steps
-    the one that goes up first: each pair of words is looked for from one side."""
-    yield counts
-    for up in range(COARSE):
-        for down in (*range(up + 1, COARSE), None):
-            step = list(counts)
-            step[up] += 1
-            if down is not None:
-                step[down] -= 1
-                if step[down] < 0:
-                    continue
-            yield tuple(step)
+#: The steps from a word's coarse counts to those it looks under: the group with one letter more there and the one with
+#: one letter less. Of two opposite steps one is here: each pair of words is looked for from one side.
+ANY, NONE = COARSE, -1
+STEPS = ((ANY, ANY), *((up, down) for up in range(COARSE) for down in (*range(up + 1, COARSE), NONE)))
+KEPT, AT_HOME = -1, 0
 
 
-KEPT, AT_HOME, AWAY = range(3)
+def _onward(counts: tuple[int, ...]) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """(number, counts) of each step that leads anywhere; the first is to stay."""
+    yield AT_HOME, counts
+    for k, (up, down) in enumerate(STEPS[1:], 1):
+        step = list(counts)
+        step[up] += 1
+        if down != NONE:
+            step[down] -= 1
+            if step[down] < 0:
+                continue
+        yield k, tuple(step)
 
 
 def _dealt(looking: bool):
@@ -113,11 +118,11 @@ def _dealt(looking: bool):
         for batch in pieces(batches, "word"):
             bucket, rows, kind = [], [], []
             for k, word in enumerate(batch.column("word").to_pylist()):
-                found = [",".join(map(str, c)) for c in _onward(_coarse(_shape(word)))]
-                at = [found[0], *found] if looking else found[:1]
-                bucket += at
-                rows += [k] * len(at)
-                kind += [KEPT, AT_HOME, *[AWAY] * (len(found) - 1)][: len(at)]
+                counts = _coarse(_shape(word))
+                found = [(KEPT, counts), *(_onward(counts) if looking else ())]
+                bucket += [",".join(map(str, c)) for _, c in found]
+                rows += [k] * len(found)
+                kind += [step for step, _ in found]
             at = pa.array(rows, pa.int32())
             columns = [pa.array(bucket, pa.string()), pa.array(kind, pa.int32()), batch.column("word").take(at), batch.column("n").take(at)]
             yield pa.RecordBatch.from_arrays(columns, ["bucket", "kind", "word", "n"])
@@ -139,55 +144,52 @@ def one_edit(a: str, b: str) -> bool:
 
 
 class Trie:
-    """Words by the counts of their letter groups, a level for each group. A branch of few words is a leaf
-    before its last level; words with the same counts everywhere share a leaf however many they are, and there by
-    each half of theirs, since one edit leaves one of the halves as it was."""
+    """Words of one bucket, so of one length, by the counts of their letter groups, a level for each group. A branch of
+    few words is a leaf before its last level; words with the same counts everywhere share a leaf however many they
+    are. A leaf lists its words by each half of theirs, since one edit leaves one of the halves as it was."""
 
     def __init__(self, words: list[str]) -> None:
+        self.length = len(words[0])
         self.root = self._node([(_shape(w), w) for w in words], 0)
 
     def _node(self, words: list[tuple[str, str]], level: int):
-        if len(words) <= LEAF_WORDS:
-            return [w for _, w in words]
-        if level == GROUPS:
-            halves: dict[tuple[bool, str], list[str]] = {}
+        if len(words) <= LEAF_WORDS or level == GROUPS:
+            halves: dict[str, list[str]] = {}
             for _, w in words:
-                for key in self._halves(w, len(w) // 2):
+                for key in self._halves(w):
                     halves.setdefault(key, []).append(w)
-            return halves, len(words[0][1])
-        letter, branches = chr(0x100 + level), {}
+            return (halves,)
+        letter, branches = _LETTERS[level], {}
         for pair in words:
             branches.setdefault(pair[0].count(letter), []).append(pair)
         return {n: self._node(branch, level + 1) for n, branch in branches.items()}
 
-    @staticmethod
-    def _halves(word: str, half: int) -> tuple[tuple[bool, str], tuple[bool, str]]:
-        """The first ``half`` code points and the rest."""
-        return (False, word[:half]), (True, word[half:])
-
-    def near(self, word: str) -> Iterator[str]:
-        """Every word of the trie one edit from ``word``, once. Where a leaf is reached, the word has at most one
-        letter group with one letter more and one with one letter less than the path to it."""
-        shape = _shape(word)
-        stack = [(self.root, 0, 1, 1)]
+    def _halves(self, word: str) -> tuple[str, str]:
+        """What a word has in place of the first half of the words here and, after an edit in that, of their rest. The
+        mark keeps both apart."""
+        half = self.length // 2
+        return word[:half], word[max(0, half + len(word) - self.length) :] + "\n"
+
+    def near(self, word: str, step: int = AT_HOME) -> Iterator[str]:
+        """Every word of the trie one edit from ``word``, once. The search has a surplus and a deficit of one to spend;
+        ``step``, which led from the word to this bucket, says in which coarse groups, or, where both are at home, that
+        one coarse group takes both."""
+        count, (first, rest) = _shape(word).count, self._halves(word)
+        stack = [(self.root, 0, *STEPS[step])]
         while stack:
-            node, level, surplus, deficit = stack.pop()
-            if isinstance(node, dict):
-                n = shape.count(chr(0x100 + level))
+            node, level, up, down = stack.pop()
+            if type(node) is dict:
+                n, coarse, level = count(_LETTERS[level]), LEVELS[level] % COARSE, level + 1
                 if (same := node.get(n)) is not None:
-                    stack.append((same, level + 1, surplus, deficit))
-                if surplus and (more := node.get(n + 1)) is not None:
-                    stack.append((more, level + 1, 0, deficit))
-                if deficit and (less := node.get(n - 1)) is not None:
-                    stack.append((less, level + 1, surplus, 0))
+                    stack.append((same, level, up, down))
+                if (up == coarse or up == ANY) and (more := node.get(n + 1)) is not None:
+                    stack.append((more, level, NONE, coarse if down == ANY else down))
+                if (down == coarse or down == ANY) and (less := node.get(n - 1)) is not None:
+                    stack.append((less, level, coarse if up == ANY else up, NONE))
                 continue
-            if isinstance(node, tuple):
-                halves, length = node
-                half = length // 2
-                # The first half of the leaf's words, and their rest, which one edit before it may have moved.
-                keys = ((False, word[:half]), (True, word[half + len(word) - length :] if half + len(word) >= length else ""))
-                node = {w for key in keys for w in halves.get(key, ())}
-            for other in node:
+            halves = node[0]
+            one, two = halves.get(first), halves.get(rest)
+            for other in {*one, *two} if one and two else one or two or ():
                 if one_edit(word, other):
                     yield other
 
@@ -222,7 +224,7 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if trie is None:
                 trie = Trie(list(kept))
-            for other in trie.near(word):
+            for other in trie.near(word, kind):
                 if kind == AT_HOME and other > word:
                     continue
                 note(found, word, kept[other], other)

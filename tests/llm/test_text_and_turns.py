@@ -146,13 +146,21 @@ def test_variants_against_all_pairs(spark, monkeypatch, piece):
     assert any(v[1] != v[0] and v[0] for v in got.values())
 
 
-def test_trie_with_full_leaves():
+@pytest.mark.parametrize("letters", ["ab", "abcdefghiké"])
+def test_tries_find_each_pair_from_one_side(letters):
+    assert sorted(spelling.LEVELS) == list(range(spelling.GROUPS))
     rng = random.Random(5)
-    words = some_words(rng, 700, "ab", (7, 13))
-    trie = spelling.Trie(words)
-    for w in [*words[::5], "a", "bbbbbb", "a" * 14]:
-        found = list(trie.near(w))
-        assert sorted(found) == [o for o in words if abs(len(o) - len(w)) <= 1 and edits_by_hand(w, o) == 1]
+    words, buckets, found = some_words(rng, 300, letters, (1, 10)), {}, []
+    place = lambda w: spelling._coarse(spelling._shape(w))
+    for w in words:
+        buckets.setdefault(place(w), []).append(w)
+    tries = {counts: spelling.Trie(kept) for counts, kept in buckets.items()}
+    for w in words:
+        for step, counts in spelling._onward(place(w)):
+            if counts in tries:
+                found += [(w, o) for o in tries[counts].near(w, step) if step or o <= w]
+    expected = [(a, b) for a in words for b in words if a < b and abs(len(a) - len(b)) <= 1 and edits_by_hand(a, b) == 1]
+    assert sorted(tuple(sorted(pair)) for pair in found) == expected
 
 
 def test_spelling_query(spark, small):
