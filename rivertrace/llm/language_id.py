@@ -35,11 +35,13 @@ def fold(doc_id: str = "doc_id"):
 
 
 def training_sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, chars: int = CHARS_PER_DOC) -> dict[str, list[str]]:
-    """At most ``per_language`` openings of ``chars`` code points for each language: a bounded sample of
-    the labelled rows outside the held-out fold, the same for every order of rows. The top-k is cut per
-    task before the shuffle, so a language with most of the rows sends no more than a small one."""
+    """At most ``per_language`` spans of ``chars`` code points for each language, whole texts where they are shorter: a
+    bounded sample of the labelled rows outside the held-out fold, the same for every order of rows. Rows are
+    drawn and spans placed by a hash of the id, so no part of a text is preferred. The top-k is cut per task
+    before the shuffle, so a language with most of the rows sends no more than a small one."""
+    place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - chars + 1)) + 1
     rows = docs.filter((fold() != HELD_OUT) & F.col("lang").isNotNull() & (F.trim("text") != "")).select(
-        "lang", F.substring("text", 1, chars).alias("text"), F.xxhash64("doc_id").alias("h"), "doc_id"
+        "lang", F.substring(F.col("text"), place.cast("int"), F.lit(chars)).alias("text"), F.xxhash64("doc_id").alias("h"), "doc_id"
     )
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
     sample: dict[str, list[str]] = {}
@@ -129,6 +131,17 @@ class Parser:
         if len(self.table) and self.table.max() < 1 << 31:
             self.table = self.table.astype(np.int32)
 
+    def parts(self) -> tuple:
+        """Lists and arrays alone, which a task can read that does not have this module."""
+        return self.languages, self.alphabet.size, self.alphabet.codes, self.roots, self.weights, self.table
+
+    @classmethod
+    def of(cls, parts: tuple) -> Parser:
+        parser, alphabet = cls.__new__(cls), Alphabet.__new__(Alphabet)
+        parser.languages, alphabet.size, alphabet.codes, parser.roots, parser.weights, parser.table = parts
+        parser.alphabet = alphabet
+        return parser
+
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of every text under every language, and lengths. Phrases also end every ``SEGMENT``
         letters, for all languages alike, so that all segments can be parsed side by side."""
@@ -167,9 +180,9 @@ class Parser:
         return out
 
 
-def _predictor(parser):
+def _predictor(parts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = parser.value.judge
+        judge = Parser.of(parts.value).judge
         for batch in pieces(batches):
             judged = judge(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
@@ -193,11 +206,11 @@ def predict(docs: DataFrame, sample: dict[str, list[str]] | None = None) -> Data
     entropies, 1 where only one language is known. A text that is null or has no letter, and every text when
     nothing was learned, is ``und`` with score 0. A row without doc_id is judged and not held out.
     """
-    parser = docs.sparkSession.sparkContext.broadcast(Parser(training_sample(docs) if sample is None else sample))
+    parts = docs.sparkSession.sparkContext.broadcast(Parser(training_sample(docs) if sample is None else sample).parts())
     source = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold() == HELD_OUT, F.lit(False)).alias("held_out"), "text"
     )
-    return source.mapInArrow(_predictor(parser), "doc_id long, held_out boolean, lang_pred string, score double")
+    return source.mapInArrow(_predictor(parts), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
