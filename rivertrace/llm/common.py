@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -79,6 +79,62 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return kept.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def discard(saved: DataFrame) -> None:
+    """Empties a table of ``write_once`` that nothing reads any more, so that it takes no room until the application ends."""
+    files = saved.inputFiles()
+    if files:
+        saved.sparkSession.createDataFrame([], saved.schema).write.mode("overwrite").parquet(files[0].rsplit("/", 1)[0])
+
+
+ROUNDS, LEADS, BLOCK_ROWS = 3, 4, 1000
+
+
+def lists_apart(rows: DataFrame, *more: Column) -> DataFrame:
+    """The keys of ``rows(key, root, ..)`` under which different roots meet, and ``more`` of each."""
+    lists = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), *more)
+    return lists.filter("low <> high").drop("low", "high")
+
+
+def rooted(index: DataFrame, links: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """``index`` with the root of each node's component of ``links``, and the links of nodes to their roots."""
+    roots = write_once(connected_components(links), f"{name}_roots")
+    rows = index.join(sized_broadcast(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return rows, roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
+def lead_links(index: DataFrame, links: DataFrame, may: Callable[[Column, Column], Column], check: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """(a, b): ``links`` and more, which join most alike nodes of ``index(key, node, about)`` into components.
+
+    In each of ``ROUNDS`` the nodes of a key are compared with one of them, its lead, if they are not in one component
+    yet. ``may`` says of two ``about`` whether their nodes can be alike, ``check`` keeps the alike ones of pairs
+    (x, y). A group of n alike nodes so gives some n pairs and not their square. The lead is drawn by a hash, in
+    ``LEADS`` ways for different keys, so that nodes which share all keys meet as many. Leads are found by a
+    combined aggregate; under a hot key the rows stay where they are until they meet its lead, and Spark splits that join.
+    """
+    for turn in range(ROUNDS):
+        rows, links = rooted(index, links, name)
+        lead = F.min(F.struct(F.xxhash64(F.pmod("key", F.lit(LEADS)), "node", F.lit(turn)).alias("h"), "node", "root", "about")).alias("lead")
+        lists = write_once(lists_apart(rows, lead), f"{name}_lists")
+        if lists.isEmpty():
+            break
+        met = rows.join(sized_broadcast(lists), "key").filter((F.col("root") != F.col("lead.root")) & may(F.col("about"), F.col("lead.about")))
+        pairs = write_once(met.select(F.col("node").alias("x"), F.col("lead.node").alias("y")).distinct(), f"{name}_pairs")
+        links = write_once(links.union(check(pairs).select("x", "y")), f"{name}_links")
+    return links
+
+
+def in_blocks(rows: DataFrame, *kept: str) -> DataFrame:
+    """(key, low, high, side, ``kept``): every two of ``rows(key, node, ..)`` with one key share a block (key, low, high) of at
+    most some 2 * ``BLOCK_ROWS`` rows, partitioned by block and sorted by side. Two rows of one part of a list
+    share the block low = high; of two parts, ``side`` tells them apart."""
+    sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    cut = rows.join(sized_broadcast(write_once(sizes, "parts")), "key").withColumn("own", own)
+    each = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    block = each.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("side"), *kept)
+    return block.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "side")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges(a, b)``; root is the smallest node reachable.
 

@@ -4,29 +4,27 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from rivertrace.llm.common import connected_components, packed, pieces, sized_broadcast, table, unpacked
+from rivertrace.llm.common import connected_components, in_blocks, lead_links, lists_apart, packed, pieces, rooted, sized_broadcast, table, unpacked
 from rivertrace.session import write_once
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Lines are alike within one edit for each CHARS_PER_EDIT code points of the shorter one, EDITS at most: shorter
+#: lines than that are alike if they are equal.
 EDITS = 2
-#: No floors: every line that is not empty is deduplicated, and every line that has a segment for each edit and
-#: one more is compared with others; shorter ones are within ``EDITS`` of any line as short.
-LEAST_CHARS = 1
-NEAR_CHARS = EDITS + 1
-HOT_PAIRS = 100_000
+CHARS_PER_EDIT = 10
 PAIR_CELLS = 1 << 21
+STEP_CHARS = 1 << 19
 _SIGN = 1 << 63
 
 
@@ -40,59 +38,56 @@ def lines_of(text: str | None) -> list[str]:
     return [] if text is None else [line.strip(" \t\r") for line in text.split("\n")]
 
 
-def segments(length: int, parts: int) -> list[tuple[int, int]]:
-    """(start, length) of an even partition, the shorter parts first."""
-    short, longer = divmod(length, parts)
-    sizes = [short + (i >= parts - longer) for i in range(parts)]
-    return [(sum(sizes[:i]), s) for i, s in enumerate(sizes)]
+def allowed(length):
+    """Edits that lines may differ by of which the shorter has this length."""
+    return np.minimum(EDITS, length // CHARS_PER_EDIT)
 
 
-def index_keys(line: str, edits: int = EDITS) -> list[int]:
-    """One key per segment: its place, its words and the length of the line."""
-    raw, n = line.encode("utf-32-le"), len(line)
-    return [_key(n, i, raw[4 * s : 4 * (s + k)]) for i, (s, k) in enumerate(segments(n, edits + 1))]
+_BASE, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def probe_keys(line: str, edits: int = EDITS) -> list[int]:
-    """Keys of the substrings that can equal a segment of a line as long or up to ``edits`` shorter.
+def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(key, line number): a line's keys are those of its own segments, and of its substrings that can equal a segment of
+    a line as long or shorter.
 
-    Of the shifts a segment can have, only those are probed that leave the edits before it to the segments
-    before it and the edits behind it to those behind; a pair within ``edits`` has a match among them.
+    A line that may differ by k edits from longer ones has k + 1 segments, of which one stays as it was. A key stands
+    for the length of the line that has the segment, its place and its letters. Of the shifts a segment can have,
+    only those are taken that leave the edits before it to the segments before it and the edits behind it to
+    those behind; a pair within k edits has a match among them. All lines take a step at once; substrings are told
+    apart by differences of one running sum.
     """
-    raw, n, keys = line.encode("utf-32-le"), len(line), []
-    for other in range(max(edits + 1, n - edits), n + 1):
-        gap = n - other
-        for i, (s, k) in enumerate(segments(other, edits + 1)):
-            low = max(0, s - i, s + gap - (edits - i))
-            high = min(n - k, s + i, s + gap + (edits - i))
-            keys += [_key(other, i, raw[4 * p : 4 * (p + k)]) for p in range(low, high + 1)]
-    return keys
-
-
-def index_pairs(line: str, edits: int = EDITS) -> list[int]:
-    """Keys of all pairs of ``edits`` + 2 segments: a pair of lines within ``edits`` shares two of them."""
-    raw, n = line.encode("utf-32-le"), len(line)
-    parts = [_key(n, i, raw[4 * s : 4 * (s + k)]) for i, (s, k) in enumerate(segments(n, edits + 2))]
-    return [_both(a, b) for a, b in combinations(parts, 2)]
-
-
-def probe_pairs(line: str, edits: int = EDITS) -> list[int]:
-    raw, n, keys = line.encode("utf-32-le"), len(line), []
-    for other in range(max(edits + 1, n - edits), n + 1):
-        places = []
-        for i, (s, k) in enumerate(segments(other, edits + 2)):
-            low, high = max(0, s - edits), min(n - k, s + edits)
-            places.append([_key(other, i, raw[4 * p : 4 * (p + k)]) for p in range(low, high + 1)])
-        keys += [_both(a, b) for x, y in combinations(places, 2) for a in x for b in y]
-    return keys
-
-
-def _key(length: int, i: int, part: bytes) -> int:
-    return xxhash.xxh64_intdigest(part, (length << 4) | i) - _SIGN
-
-
-def _both(a: int, b: int) -> int:
-    return xxhash.xxh64_intdigest(b"%d %d" % (a, b)) - _SIGN
+    n = np.fromiter(map(len, lines), np.int64, len(lines))
+    start = np.cumsum(n) - n
+    codes = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
+    scale = np.full(len(codes) + 1, _BASE, np.uint64)
+    back = np.full(len(codes) + 1, _INVERSE, np.uint64)
+    scale[0] = back[0] = 1
+    scale, back = np.multiply.accumulate(scale), np.multiply.accumulate(back)
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * scale[:-1], out=sums[1:])
+    keys, owners = [], []
+    for gap in range(EDITS + 1):
+        for edits in range(max(1, gap), EDITS + 1):
+            rows = np.flatnonzero((n - gap > 0) & (allowed(n - gap) == edits))
+            whole = n[rows]
+            size, longer = np.divmod(whole - gap, edits + 1)
+            for i in range(edits + 1):
+                late = np.maximum(0, i - (edits + 1 - longer))
+                at, length = i * size + late, size + (i >= edits + 1 - longer)
+                low = np.maximum(np.maximum(0, at - i), at + gap - (edits - i))
+                high = np.minimum(np.minimum(whole - length, at + i), at + gap + (edits - i))
+                for shift in range(2 * edits + 1):
+                    ok = low + shift <= high
+                    if not ok.any():
+                        break
+                    first = start[rows[ok]] + low[ok] + shift
+                    key = (sums[first + length[ok]] - sums[first]) * back[first] + ((whole[ok] - gap) * 16 + i).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+                    key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                    keys.append(key ^ (key >> np.uint64(32)))
+                    owners.append(rows[ok])
+    if not keys:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(keys).view(np.int64), np.concatenate(owners)
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +95,7 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, number, value = [], [], []
         for k, t in enumerate(batch.column("text").to_pylist()):
             for i, line in enumerate(lines_of(t)):
-                if len(line) >= LEAST_CHARS:
+                if line:
                     index.append(k)
                     number.append(i)
                     value.append(line_hash(line))
@@ -111,37 +106,30 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _keyed(pairs: bool, from_lines: bool):
-    """Rows (key, lh, probe): what each distinct line of a piece is indexed under and probes for."""
+def _keyed(whole: bool):
+    """Rows (key, node): the keys of each distinct line of a piece, and its hash; or, with ``whole`` false, (key, low, high):
+    each key of a piece once, with the least and greatest hash of its lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, probe = (index_pairs, probe_pairs) if pairs else (index_keys, probe_keys)
-        for batch in pieces(batches, "line" if from_lines else "text"):
-            texts = batch.column("line" if from_lines else "text").to_pylist()
-            distinct = set(texts) if from_lines else {x for t in texts for x in lines_of(t)}
-            key, line, kind = [], [], []
-            for x in sorted(x for x in distinct if x is not None and len(x) >= NEAR_CHARS):
-                h, a, b = line_hash(x), index(x), set(probe(x))
-                key += a
-                key += b
-                line += [h] * (len(a) + len(b))
-                kind += [False] * len(a) + [True] * len(b)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(line, pa.int64()), pa.array(kind, pa.bool_())], ["key", "lh", "probe"])
+        for batch in pieces(batches):
+            lines = sorted({x for t in batch.column("text").to_pylist() for x in lines_of(t) if len(x) >= CHARS_PER_EDIT})
+            while lines:
+                most = int(np.searchsorted(np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines))), STEP_CHARS)) + 1
+                block, lines = lines[:most], lines[most:]
+                keys, owners = line_keys(block)
+                node = np.fromiter(map(line_hash, block), np.int64, len(block))
+                if whole:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node[owners])], ["key", "node"])
+                elif len(keys):
+                    order = np.lexsort((node[owners], keys))
+                    keys, nodes = keys[order], node[owners][order]
+                    first = np.concatenate([[True], keys[1:] != keys[:-1]])
+                    last = np.concatenate([first[1:], [True]])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(nodes[first]), pa.array(nodes[last])], ["key", "low", "high"])
 
     return run
 
 
-def _met(keys: DataFrame, name: str) -> DataFrame:
-    """The rows of keys under which different lines meet, with how many pairs a key would give."""
-    by_key = Window.partitionBy("key")
-    counted = keys.repartition("key").withColumns({
-        "indexed": F.count_if(~F.col("probe")).over(by_key), "probing": F.count_if("probe").over(by_key),
-        "low": F.min("lh").over(by_key), "high": F.max("lh").over(by_key),
-    })
-    met = counted.filter("indexed > 0 and probing > 0 and low <> high").select("key", "lh", "probe", (F.col("indexed") * F.col("probing")).alias("pairs"))
-    return write_once(met.distinct(), name)
-
-
 def letter_parity(line: str) -> int:
     """Bit i tells whether the line has an odd number of code points that are i modulo 64. An edit changes at
     most two bits."""
@@ -149,44 +137,25 @@ def letter_parity(line: str) -> int:
     return int(np.packbits(np.bincount(codes, minlength=64) & 1, bitorder="little").view("<i8")[0])
 
 
-def _pairs(met: DataFrame, parities: DataFrame) -> DataFrame:
-    """Pairs of lines that meet under a key. The join itself compares letter parities, so that lines which only
-    share a segment, as those of a template do, do not leave it as pairs."""
-    rows = write_once(met.join(parities, "lh"), "compared")
-    a = rows.filter("not probe").select("key", F.col("lh").alias("x"), F.col("parity").alias("p"))
-    b = rows.filter("probe").select("key", F.col("lh").alias("y"), F.col("parity").alias("q"))
-    near = (a["key"] == b["key"]) & (a["x"] != b["y"]) & (F.bit_count(a["p"].bitwiseXOR(b["q"])) <= 2 * EDITS)
-    return a.join(b, near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
 def _with_parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "line"):
-        values = pa.array([letter_parity(x) for x in batch.column("line").to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("lh"), batch.column("line"), values], ["lh", "line", "parity"])
+        lines = batch.column("line").to_pylist()
+        columns = [pa.array([letter_parity(x) for x in lines], pa.int64()), pa.array(map(len, lines), pa.int32())]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("line"), *columns], ["node", "line", "parity", "n"])
 
 
-def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(lh, line, parity) for the lines of ``wanted(lh)``."""
+def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, line, parity, n) for the lines of ``wanted(node)``."""
     each = docs.select(F.explode_outer(F.split("text", "\n")).alias("line")).select(F.btrim("line", F.lit(" \t\r")).alias("line"))
-    found = each.filter(F.length("line") >= NEAR_CHARS).withColumn("lh", F.xxhash64("line"))
-    once = found.join(sized_broadcast(wanted), "lh", "left_semi").dropDuplicates(["lh"]).select("lh", "line")
-    return once.mapInArrow(_with_parity, "lh long, line string, parity long")
-
+    found = each.filter(F.length("line") >= CHARS_PER_EDIT).withColumn("node", F.xxhash64("line"))
+    once = found.join(sized_broadcast(wanted), "node", "left_semi").dropDuplicates(["node"]).select("node", "line")
+    return once.mapInArrow(_with_parity, "node long, line string, parity long, n int")
 
-def candidate_pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a, b): pairs of line hashes that share a segment where a pair within ``EDITS`` must share one; and
-    ``line_texts`` of the lines that share one with any other.
 
-    Under a key that very many different lines share (a template) a pair must share two segments of a finer
-    partition instead; such lines alone are keyed a second time.
-    """
-    met = _met(docs.select("text").mapInArrow(_keyed(False, False), "key long, lh long, probe boolean"), "met")
-    texts = write_once(line_texts(docs, write_once(met.select("lh").distinct(), "wanted")), "line_texts")
-    parities = texts.select("lh", "parity")
-    usual = _pairs(met.filter(F.col("pairs") <= HOT_PAIRS), parities)
-    hot = met.filter(F.col("pairs") > HOT_PAIRS).select("lh").distinct()
-    finer = texts.join(hot, "lh", "left_semi").select("line").mapInArrow(_keyed(True, True), "key long, lh long, probe boolean")
-    return write_once(usual.union(_pairs(_met(finer, "finer"), parities)).distinct(), "candidates"), texts
+def _may(a: Column, b: Column) -> Column:
+    """By lengths and letter parities; lines that only share a segment, as those of a template do, go here."""
+    edits = F.least(F.lit(EDITS), F.floor(F.least(a["n"], b["n"]) / CHARS_PER_EDIT))
+    return (F.abs(a["n"] - b["n"]) <= edits) & (F.bit_count(a["parity"].bitwiseXOR(b["parity"])) <= 2 * edits)
 
 
 def within(left: list[str], right: list[str], edits: int = EDITS) -> np.ndarray:
@@ -258,19 +227,85 @@ def _banded(longer: list[np.ndarray], shorter: list[np.ndarray], edits: int) ->
     return value <= edits
 
 
+def alike(left: list[str], right: list[str]) -> np.ndarray:
+    """Which pairs of lines are within the edits ``allowed`` for the shorter one."""
+    edits = allowed(np.array([min(len(x), len(y)) for x, y in zip(left, right)], np.int64))
+    out = np.array([x == y for x, y in zip(left, right)], bool)
+    for k in range(1, EDITS + 1):
+        at = np.flatnonzero(edits == k)
+        out[at] = within([left[i] for i in at], [right[i] for i in at], k)
+    return out
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "x"):
-        near = within(batch.column("x").to_pylist(), batch.column("y").to_pylist())
-        yield batch.select(["a", "b"]).filter(pa.array(near))
+    for batch in pieces(batches, "p"):
+        near = alike(batch.column("p").to_pylist(), batch.column("q").to_pylist())
+        yield batch.select(["x", "y"]).filter(pa.array(near))
+
+
+def _block_links(root: np.ndarray, n: np.ndarray, parity: np.ndarray, side: np.ndarray, lines: list[str]) -> Iterator[tuple[int, int]]:
+    """Places of alike lines, enough to join all alike lines of the block that were apart. Of a block of two sides only
+    lines of different sides are compared."""
+    both, root = bool(side.any() and not side.all()), root.copy()
+    for i in range(len(lines)):
+        edits = allowed(np.minimum(n[i], n))
+        may = (root != root[i]) & (np.abs(n - n[i]) <= edits) & (np.bitwise_count(parity ^ parity[i]) <= 2 * edits)
+        may[:i] = False
+        if both:
+            may &= side != side[i]
+        at = np.flatnonzero(may)
+        for j in at[alike([lines[i]] * len(at), [lines[j] for j in at])].tolist():
+            if root[i] != root[j]:
+                yield i, j
+                root[root == root[j]] = root[i]
+
+
+def _in_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ("node", "root", "n", "parity", "side", "line")
+
+    def linked(rows: list[tuple]) -> pa.RecordBatch:
+        node, root, n, parity, side, lines = zip(*rows)
+        found = list(_block_links(np.array(root), np.array(n), np.array(parity).view(np.uint64), np.array(side), lines))
+        return pa.RecordBatch.from_arrays([pa.array([node[p[k]] for p in found], pa.int64()) for k in (0, 1)], ["x", "y"])
+
+    now, rows = None, []
+    for batch in batches:
+        for block, row in zip(zip(*(batch.column(c).to_pylist() for c in ("key", "low", "high"))), zip(*(batch.column(c).to_pylist() for c in names))):
+            if block != now:
+                if len(rows) > 1:
+                    yield linked(rows)
+                now, rows = block, []
+            rows.append(row)
+    if len(rows) > 1:
+        yield linked(rows)
 
 
 def near_lines(docs: DataFrame) -> DataFrame:
-    """(a, b): hashes of all pairs of different lines of ``NEAR_CHARS`` or more at most ``EDITS`` apart."""
-    pairs, texts = candidate_pairs(docs)
-    both = pairs.join(texts.select(F.col("lh").alias("a"), F.col("line").alias("x")), "a").join(
-        texts.select(F.col("lh").alias("b"), F.col("line").alias("y")), "b"
-    )
-    return write_once(both.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "near")
+    """(a, b): hashes of lines, links that join all alike lines of ``docs(text)`` that are not equal into components.
+
+    Keys are counted first, combined by piece of text before the shuffle, by their least and greatest line; only rows of
+    keys with two lines go on. Most alike lines are joined through leads; those still apart under a key are compared
+    in blocks of bounded size, out of which only links come that join what was apart.
+    """
+    source = docs.select("text")
+    ranges = source.mapInArrow(_keyed(False), "key long, low long, high long").repartition("key")
+    shared = ranges.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("key")
+    met = source.mapInArrow(_keyed(True), "key long, node long").join(sized_broadcast(write_once(shared, "shared")), "key")
+    met = write_once(met.distinct(), "met")
+    texts = write_once(_line_texts(docs, write_once(met.select("node").distinct(), "wanted")), "line_texts")
+    index = write_once(met.join(texts.select("node", F.struct("n", "parity").alias("about")), "node"), "index")
+
+    def check(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(texts.select(F.col("node").alias("x"), F.col("line").alias("p")), "x")
+        both = both.join(texts.select(F.col("node").alias("y"), F.col("line").alias("q")), "y")
+        return both.select("x", "y", "p", "q").mapInArrow(_verified, "x long, y long")
+
+    links = lead_links(index, docs.sparkSession.createDataFrame([], "a long, b long"), _may, check, "lines")
+    rows, links = rooted(index, links, "rest")
+    rows = write_once(rows.join(sized_broadcast(write_once(lists_apart(rows), "rest_lists")), "key", "left_semi"), "rest")
+    rows = rows.join(texts.select("node", "line"), "node").select("key", "node", "root", "about.n", "about.parity", "line")
+    found = in_blocks(rows, "node", "root", "n", "parity", "line").mapInArrow(_in_block, "x long, y long")
+    return write_once(links.union(found).distinct(), "near")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,8 +318,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             totals.append(len(parts))
             dropped.append(len(out))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("row_"), pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(dropped, pa.int64()), batch.column("repeats_of"), batch.column("n_links")],
-            ["row_", "text", "n_lines", "n_dropped", "repeats_of", "n_links"],
+            [batch.column("row_"), pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(dropped, pa.int64()), batch.column("repeats_of")],
+            ["row_", "text", "n_lines", "n_dropped", "repeats_of"],
         )
 
 
@@ -293,40 +328,33 @@ def _deduped(docs: DataFrame) -> DataFrame:
     places = write_once(rows.select("doc_id", "tk", "text").mapInArrow(_places, "doc_id long, tk long, line int, lh long"), "places")
     place = F.struct("doc_id", "tk", "line")
     firsts = write_once(places.groupBy("lh").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")), "firsts")
-    near = near_lines(docs.select("text"))
-    degree = near.select(F.explode(F.array("a", "b")).alias("lh")).groupBy("lh").agg(F.count(F.lit(1)).alias("near"))
-    roots = connected_components(near).withColumnsRenamed({"node": "lh"})
-    known = firsts.join(roots, "lh", "left").join(degree, "lh", "left").filter("copies > 1 or near > 0").withColumn("root", F.coalesce("root", "lh"))
+    roots = connected_components(near_lines(docs.select("text"))).withColumnsRenamed({"node": "lh"})
+    known = firsts.join(roots, "lh", "left").filter("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "lh"))
     known = write_once(known, "classes")
     least = known.groupBy("root").agg(F.min("first").alias("class_first"))
-    members = write_once(known.join(least, "root").select("lh", "class_first", F.coalesce("near", F.lit(0)).alias("near")), "members")
+    members = write_once(known.join(least, "root").select("lh", "class_first"), "members")
     met = places.join(members, "lh")
     later = ~place.eqNullSafe(F.col("class_first"))
-    marks = met.groupBy("doc_id", "tk").agg(
-        F.collect_set(F.when(later, F.col("line"))).alias("gone"),
-        F.sort_array(F.collect_set(F.when(later, F.col("class_first.doc_id")))).alias("repeats_of"),
-        F.sum("near").alias("n_links"),
+    marks = met.filter(later).groupBy("doc_id", "tk").agg(
+        F.collect_set("line").alias("gone"), F.sort_array(F.collect_set("class_first.doc_id")).alias("repeats_of")
     )
     marks = write_once(marks.withColumnsRenamed({"doc_id": "mark_id", "tk": "mark_tk"}), "marks")
     marked = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("mark_id")) & F.col("tk").eqNullSafe(F.col("mark_tk")), "left")
-    marked = marked.select(
-        "row_", "text", "gone", F.coalesce("repeats_of", F.array().cast("array<long>")).alias("repeats_of"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
+    marked = marked.select("row_", "text", "gone", F.coalesce("repeats_of", F.array().cast("array<long>")).alias("repeats_of"))
     kept = [marked.schema["row_"], marked.schema["text"], StructField("n_lines", LongType()), StructField("n_dropped", LongType())]
-    return marked.mapInArrow(_cut, StructType([*kept, marked.schema["repeats_of"], marked.schema["n_links"]]))
+    return marked.mapInArrow(_cut, StructType([*kept, marked.schema["repeats_of"]]))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` without the lines that repeat an earlier one, and with ``n_lines``, ``n_dropped``,
-    ``repeats_of`` (doc_ids that hold the first lines of the classes) and ``n_links`` (near lines, other than
-    equal ones, linked to the document's lines); these replace columns of the same name.
-
-    Lines are compared without blanks at their ends. Lines of one class are equal, or joined by a chain of
-    lines of ``NEAR_CHARS`` or more, each at most ``EDITS`` from the next; the first by (doc_id, place) stays.
-    Empty lines always stay. Null ids come first; rows that repeat id and text are treated
-    alike. Null texts stay null; a text may end up empty.
+    """``docs`` without the lines that repeat an earlier one, and with ``n_lines``, ``n_dropped`` and
+    ``repeats_of`` (doc_ids that hold the first lines of the classes); these replace columns of the same name.
+
+    Lines are compared without blanks at their ends. Two lines are alike if they are equal or within one edit for
+    each ``CHARS_PER_EDIT`` code points of the shorter one, ``EDITS`` at most. Lines of one class are joined by a chain
+    of alike lines; the first by (doc_id, place) stays. Empty lines always stay. Null ids come first; rows
+    that repeat id and text are treated alike. Null texts stay null; a text may end up empty.
     """
-    return unpacked(_deduped(docs), docs.columns, ("n_lines", "n_dropped", "repeats_of", "n_links"))
+    return unpacked(_deduped(docs), docs.columns, ("n_lines", "n_dropped", "repeats_of"))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivertrace.llm.common import connected_components, pieces, table
+from rivertrace.llm.common import connected_components, discard, lead_links, lists_apart, pieces, rooted, sized_broadcast, table
 from rivertrace.session import write_once
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -30,6 +30,7 @@ SIMILARITY = 0.8
 ORDER_DOCS = 10_000
 ORDER_COPIES = 10
 ORDER_ROWS = 200_000
+LEAD_PAIRS = 1000
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -130,8 +131,7 @@ def _lists(sets: list[np.ndarray]) -> pa.ListArray:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
-        found = [shingle_set(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(found)], ["node", "sigs"])
+        yield pa.RecordBatch.from_arrays([_lists([shingle_set(t) for t in batch.column("text").to_pylist()])], ["sigs"])
 
 
 def _prefixes(common, least: float):
@@ -161,7 +161,7 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """
     every = max(1, texts.count() // ORDER_DOCS)
     sample = texts.filter(F.pmod("node", F.lit(every)) == 0).dropDuplicates(["node"])
-    found = sample.mapInArrow(_sets, "node long, sigs array<long>")
+    found = sample.select("text").mapInArrow(_sets, "sigs array<long>")
     counts = found.select(F.explode("sigs").alias("sig")).groupBy("sig").count().filter(F.col("count") >= ORDER_COPIES)
     rows = counts.orderBy(F.desc("count"), "sig").limit(ORDER_ROWS).collect()
     known = np.array([r.sig for r in reversed(rows)], np.int64).view(np.uint64)
@@ -169,61 +169,81 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return known[order], order
 
 
-def _mixed_lists(index: DataFrame, roots: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``index`` with their roots, of those shingles alone that still meet under two roots; and the
-    first row of each such shingle."""
-    rooted = index.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = write_once(rooted, f"{name}_rooted")
-    least = F.min(F.struct("root", "n", "node")).alias("head")
-    heads = rooted.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), least).filter("low <> high").select("sig", "head")
-    heads = write_once(heads, f"{name}_heads")
-    return write_once(rooted.join(heads.select("sig"), "sig"), f"{name}_lists"), heads
-
-
-def _alike(pairs: DataFrame, texts: DataFrame, least: float, name: str) -> DataFrame:
-    """(a, b): roots of those pairs of texts ``(x, y, a, b)`` whose sets have the similarity ``least``."""
-    pairs = write_once(pairs.distinct(), f"{name}_pairs")
-    wanted = write_once(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), f"{name}_wanted")
-    sets = texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", "text").mapInArrow(_sets, "node long, sigs array<long>")
-    sets = write_once(sets, f"{name}_sets")
-    both = pairs.join(sets.select(F.col("node").alias("x"), F.col("sigs").alias("s")), "x").join(
-        sets.select(F.col("node").alias("y"), F.col("sigs").alias("t")), "y"
-    )
-    shared = F.size(F.array_intersect("s", "t"))
-    return both.filter(shared >= (F.size("s") + F.size("t") - shared) * least - 1e-9).select("a", "b").distinct()
+def _compared(least: float):
+    """Of rows (y, part, x, text), each lead y (x null) before its members x: the pairs of the similarity ``least``."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = np.zeros(0, np.uint64)
+        for batch in pieces(batches):
+            found = []
+            for y, x, text in zip(*(batch.column(c).to_pylist() for c in ("y", "x", "text"))):
+                own = shingle_set(text)
+                if x is None:
+                    lead = own
+                    continue
+                shared = len(np.intersect1d(own, lead, assume_unique=True))
+                if shared >= (len(own) + len(lead) - shared) * least - 1e-9:
+                    found.append((x, y))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["x", "y"])
+
+    return run
 
-def alike_fingerprints(docs: DataFrame, rows: DataFrame, links: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(a, b): links between fingerprints of ``rows(node, fp)``, ``links`` among them, that join all texts of five-word Jaccard similarity
-    ``least`` or more into one component.
+
+def _alike(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Those ``pairs(x, y)`` of texts whose shingle sets have the similarity ``least``.
+
+    Each text is sent once for each pair to where its y is; a y of many pairs is sent to several places. Sets are
+    made there and never written.
+    """
+    wanted = write_once(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "wanted")
+    kept = write_once(texts.join(sized_broadcast(wanted), "node", "left_semi").dropDuplicates(["node"]), "texts")
+    sizes = write_once(pairs.groupBy("y").agg(F.ceil(F.count(F.lit(1)) / LEAD_PAIRS).cast("int").alias("parts")), "leads")
+    dealt = pairs.join(sized_broadcast(sizes), "y").select("y", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int").alias("part"), "x")
+    members = kept.join(sized_broadcast(write_once(dealt, "dealt")), F.col("node") == F.col("x")).select("y", "part", "x", "text")
+    leads = sizes.select("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    leads = kept.join(sized_broadcast(write_once(leads, "leads")), F.col("node") == F.col("y")).select("y", "part", F.lit(None).cast("long").alias("x"), "text")
+    rows = leads.union(members).repartition("y", "part").sortWithinPartitions("y", "part", F.asc_nulls_first("x"))
+    found = write_once(rows.select("y", "x", "text").mapInArrow(_compared(least), "x long, y long"), "alike")
+    discard(kept)
+    return found
+
+
+def alike_texts(docs: DataFrame, links: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(a, b): ``links`` between texts (by their hashes) and more, so that all texts of five-word Jaccard similarity
+    ``least`` or more are in one component.
 
     Prefix filter: a pair shares a shingle among the first ``n - ceil(least * n) + 1`` of both sets, and of the
-    smaller set already among the first ``n - ceil(2 * least / (1 + least) * n) + 1``. Texts in one component
-    need no comparison: each text is first compared with one of every list, and only what is still apart then
-    with all others, so a large group of near copies does not become all its pairs.
+    smaller set already among the first ``n - ceil(2 * least / (1 + least) * n) + 1``; where it stands in both
+    bounds how many they share. Shingles of one text alone go before anything of them is written. Texts are compared with
+    leads, and with each other only where they are still apart after that.
     """
     texts = docs.select(F.xxhash64("text").alias("node"), "text").filter("text is not null")
     common = docs.sparkSession.sparkContext.broadcast(_common(texts))
     heads = texts.mapInArrow(_prefixes(common, least), "node long, n int, head array<long>").filter("n > 0").dropDuplicates(["node"])
-    prints = rows.select("node", "fp").distinct()
+    heads = write_once(heads, "heads")
+    each = heads.select("node", "n", F.posexplode("head").alias("at", "key"))
+    shared = each.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key")
     short = F.col("n") - F.ceil(F.col("n") * (2 * least / (1 + least)) - 1e-9) + 1
-    index = heads.select("node", "n", F.posexplode("head").alias("at", "sig")).withColumn("indexed", F.col("at") < short).drop("at")
-    index = write_once(index.join(prints, "node"), "index")
-
-    lists, first = _mixed_lists(index, connected_components(links), "first")
-    near = (F.col("n") >= F.col("m") * least - 1e-9) & (F.col("m") >= F.col("n") * least - 1e-9) & (F.col("root") != F.col("b"))
-    one = lists.join(first.select("sig", F.col("head.node").alias("y"), F.col("head.n").alias("m"), F.col("head.root").alias("b")), "sig").filter(near)
-    found = write_once(links.union(_alike(one.select(F.col("node").alias("x"), "y", F.col("root").alias("a"), "b"), texts, least, "first")), "linked")
-
-    lists, _ = _mixed_lists(index, connected_components(found), "rest")
-    p, q = lists.alias("p"), lists.alias("q")
-    meet = (
-        (F.col("p.sig") == F.col("q.sig")) & F.col("p.indexed") & (F.col("p.root") != F.col("q.root"))
-        & ((F.col("p.n") < F.col("q.n")) | ((F.col("p.n") == F.col("q.n")) & (F.col("p.node") < F.col("q.node"))))
-        & (F.col("p.n") >= F.col("q.n") * least - 1e-9)
-    )
-    rest = p.join(q, meet).select(F.col("p.node").alias("x"), F.col("q.node").alias("y"), F.col("p.root").alias("a"), F.col("q.root").alias("b"))
-    return write_once(found.union(_alike(rest, texts, least, "rest")).distinct(), "alike")
+    about = F.struct("n", "at", (F.col("at") < short).alias("indexed")).alias("about")
+    index = write_once(each.join(sized_broadcast(write_once(shared, "shared")), "key").select("key", "node", about), "index")
+    discard(heads)
+
+    def may(a: Column, b: Column) -> Column:
+        needed = F.ceil((a["n"] + b["n"]) * (least / (1 + least)) - 1e-9)
+        most = F.least(a["at"], b["at"]) + F.least(a["n"] - a["at"], b["n"] - b["at"])
+        return (a["n"] >= b["n"] * least - 1e-9) & (b["n"] >= a["n"] * least - 1e-9) & (most >= needed)
+
+    links = lead_links(index, links, may, lambda pairs: _alike(pairs, texts, least), "texts")
+    rows, links = rooted(index, links, "rest")
+    rows = write_once(rows.join(sized_broadcast(write_once(lists_apart(rows), "rest_lists")), "key", "left_semi"), "rest")
+    p, q = rows.alias("p"), rows.alias("q")
+    a, b = F.col("p.about"), F.col("q.about")
+    smaller = (a["indexed"] & (a["n"] <= b["n"])) | (b["indexed"] & (b["n"] <= a["n"]))
+    meet = (F.col("p.key") == F.col("q.key")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.root") != F.col("q.root")) & smaller & may(a, b)
+    pairs = write_once(p.join(q, meet).select(F.col("p.node").alias("x"), F.col("q.node").alias("y")).distinct(), "rest_pairs")
+    found = write_once(links.union(_alike(pairs, texts, least)), "found")
+    discard(index)
+    return found
 
 
 def _classes(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -237,31 +257,50 @@ def _classes(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id", "links")
 
 
-def components(docs: DataFrame, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
+def components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id, links): component_id is the smallest doc_id reachable over links of at
     most ``radius`` bits, links the number of other fingerprints linked to this one.
 
     Texts with one fingerprint stand as one node, so a group of copies costs one row in the join. Null
     and empty texts share the fingerprint zero and are linked like others. Rows without a doc_id keep
     their fingerprint and take the component of others with it (null if there are none).
-
-    With ``similarity`` texts of that Jaccard similarity of ``NEAR_WORDS``-word shingles are linked, too; links
-    then counts only those that were needed to join the components.
     """
     rows = write_once(fingerprints(docs), "fingerprints")
     nodes = write_once(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    links = write_once(linked_fingerprints(nodes.select("fp"), radius), "links")
-    return _classes(rows, nodes, links if similarity is None else alike_fingerprints(docs, rows, links, similarity))
+    return _classes(rows, nodes, write_once(linked_fingerprints(nodes.select("fp"), radius), "links"))
+
+
+def _text_roots(docs: DataFrame, rows: DataFrame, radius: int, similarity: float | None) -> DataFrame:
+    """(node, root) of the texts that are linked to others."""
+    prints = rows.select("node", "fp").distinct()
+    fps = connected_components(write_once(linked_fingerprints(rows.select("fp").distinct(), radius), "links")).withColumnRenamed("node", "fp")
+    grouped = write_once(prints.join(fps, "fp", "left").select("node", F.coalesce("root", "fp").alias("group")), "grouped")
+    least = grouped.groupBy("group").agg(F.min("node").alias("b"))
+    links = write_once(grouped.join(least, "group").filter("node <> b").select(F.col("node").alias("a"), "b"), "text_links")
+    return connected_components(links if similarity is None else alike_texts(docs, links, similarity))
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the row with the smallest doc_id stays.
+    """The rows of ``docs`` without near copies: one row of each component of texts stays, that with the smallest
+    doc_id, of several texts with it the one with the smallest hash.
 
-    Of rows that repeat a doc_id one stays. Rows without a doc_id cannot be told apart and all stay.
+    Texts are linked within ``radius`` bits of their fingerprints and, with ``similarity``, if the Jaccard similarity
+    of their ``NEAR_WORDS``-word shingles is as large. Components are those of texts, so different texts
+    under one doc_id are judged apart. A row without a doc_id stays only where its component has no row with
+    one. Of rows that repeat id and text one stays.
     """
-    first = components(docs, radius, similarity).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id_")).distinct()
-    kept = docs.join(first, docs["doc_id"] == first["kept_id_"], "left_semi")
-    return kept.dropDuplicates(["doc_id"]).union(docs.filter("doc_id is null"))
+    rows = write_once(fingerprints(docs), "fingerprints")
+    roots = _text_roots(docs, rows, radius, similarity)
+    member = rows.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("copies")).join(roots, "node", "left")
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "node", "copies")
+    first = member.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(order).alias("first")).select("first.doc_id", "first.node", "first.copies")
+    first = write_once(first, "kept")
+
+    def of(kept: DataFrame) -> DataFrame:
+        same = docs["doc_id"].cast("long").eqNullSafe(kept["doc_id"]) & (F.xxhash64(docs["text"]) == kept["node"])
+        return docs.join(sized_broadcast(kept), same, "left_semi")
+
+    return of(first.filter("copies = 1")).union(of(first.filter("copies > 1")).dropDuplicates(["doc_id", "text"]))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

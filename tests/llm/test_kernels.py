@@ -97,12 +97,17 @@ def test_banded_distance_and_keys_lose_no_pair():
     assert line_dedup.within(left, right).tolist() == near
     assert line_dedup.within([], []).tolist() == []
     for a, b, close in zip(left, right, near):
-        longer, shorter = (a, b) if len(a) >= len(b) else (b, a)
         if close:
             assert ((line_dedup.letter_parity(a) ^ line_dedup.letter_parity(b)) & ((1 << 64) - 1)).bit_count() <= 4
-        if close and len(shorter) >= 12:
-            assert set(line_dedup.probe_keys(longer)) & set(line_dedup.index_keys(shorter))
-            assert set(line_dedup.probe_pairs(longer)) & set(line_dedup.index_pairs(shorter))
+    few = [line_dedup.allowed(min(len(a), len(b))) for a, b in zip(left, right)]
+    alike = [edit_distance(a, b) <= k for a, b, k in zip(left, right, few)]
+    assert line_dedup.alike(left, right).tolist() == alike and sum(alike) > 300
+    keys, owners = line_dedup.line_keys(left + right)
+    found = [set() for _ in range(3000)]
+    for key, i in zip(keys.tolist(), owners.tolist()):
+        found[i].add(key)
+    assert all(a == b or found[i] & found[i + 1500] for i, (a, b, close) in enumerate(zip(left, right, alike)) if close)
+    assert len(line_dedup.line_keys([])[0]) == 0 and len(line_dedup.line_keys(["", "short"])[0]) == 0
 
 
 def test_automaton_holds_all_substrings_and_no_more():
