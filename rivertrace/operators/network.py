@@ -76,6 +76,135 @@ def path_closure(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None =
     )
 
 
+FAN_BITS = 4  # an index block has 2^FAN_BITS blocks of the level below
+
+
+def _jumped(state: DataFrame, totals: tuple[str, ...]) -> DataFrame:
+    """Follows ``to`` of ``state(at, to, totals..)`` to its end and adds up the totals on the way, doubling the steps in every
+    round. Lineage is cut after each; rows that have arrived are not joined any more."""
+    for _ in range(state.count().bit_length() + 1):  # enough for any way without a cycle
+        moving = state.where("to IS NOT NULL")
+        if moving.isEmpty():
+            return state.drop("to")
+        onward = state.select(F.col("at").alias("to"), F.col("to").alias("further"), *[F.col(t).alias(f"{t}_") for t in totals])
+        moved = moving.join(onward, "to").select("at", F.col("further").alias("to"), *[(F.col(t) + F.col(f"{t}_")).alias(t) for t in totals])
+        state = cut_lineage(state.where("to IS NULL").select("at", "to", *totals).union(moved))
+    raise ValueError("the network has a cycle")
+
+
+def river_index(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, pre, last, hops, distance_m, travel_h): one row per node of a network in which every node flows into one other at
+    most, as rivers do.
+
+    ``hops``, ``distance_m`` and ``travel_h`` lead from the node to its outlet, so those between a node and one below
+    it are differences. ``pre`` numbers the nodes so that all nodes above one have the numbers from its own to
+    ``last``. Both come from pointer jumping: the totals along the way down, and the numbers along the tour that
+    enters and leaves every node once. Rows stay as many as nodes whatever the length of the river; no pair of nodes
+    is made. A node that flows into two others is an error (use ``path_closure``), and so is a cycle.
+    """
+    flow = hops(nodes, edges).select("src", "dst", "hops", "distance_m", "travel_h")
+    if not flow.groupBy("src").count().where("count > 1").isEmpty():
+        raise ValueError("a node flows into two others")
+    ids = nodes.select(F.col("id").alias("at"))
+    down = cut_lineage(ids.join(flow.withColumnRenamed("src", "at"), "at", "left").withColumnRenamed("dst", "to"))
+    totals = ("hops", "distance_m", "travel_h")
+    way = _jumped(down.select("at", "to", *[F.coalesce(t, F.lit(0)).alias(t) for t in totals]), totals)
+
+    # The tour: into a node, then into its first feeder, back out of it into the next one, at last out of the node.
+    feeders = Window.partitionBy("to").orderBy("at")
+    placed = down.select("at", "to", F.row_number().over(feeders).alias("place"), F.lead("at").over(feeders).alias("sibling"))
+    first = placed.where("place = 1 AND to IS NOT NULL").select(F.col("to").alias("at"), F.col("at").alias("feeder"))
+    enter, leave = (lambda node: F.struct(node.alias("node"), F.lit(False).alias("out"))), (lambda node: F.struct(node.alias("node"), F.lit(True).alias("out")))
+    after_in = F.when(F.col("feeder").isNotNull(), enter(F.col("feeder"))).otherwise(leave(F.col("at")))
+    after_out = F.when(F.col("sibling").isNotNull(), enter(F.col("sibling"))).when(F.col("to").isNotNull(), leave(F.col("to")))
+    steps = placed.join(first, "at", "left").select(
+        F.explode(F.array(
+            F.struct(enter(F.col("at")).alias("at"), after_in.alias("to"), F.lit(1).cast("bigint").alias("left")),
+            F.struct(leave(F.col("at")).alias("at"), after_out.alias("to"), F.lit(0).cast("bigint").alias("left")),
+        )).alias("s")
+    ).select("s.*")
+    ranked = _jumped(cut_lineage(steps), ("left",))
+    size = nodes.count()
+    numbers = ranked.groupBy(F.col("at.node").alias("id")).agg(
+        F.max(F.when(~F.col("at.out"), size - F.col("left"))).alias("pre"), F.max(F.when(F.col("at.out"), size - F.col("left") - 1)).alias("last")
+    )
+    return cut_lineage(numbers.join(way.withColumnRenamed("at", "id"), "id").select("id", "pre", "last", *totals))
+
+
+def _blocks_of_point(value: Column, levels: int) -> Column:
+    return F.array(*[F.struct(F.lit(i).alias("level"), F.shiftright(value, i * FAN_BITS).alias("block")) for i in range(levels)])
+
+
+def _blocks_of_range(low: Column, high: Column, levels: int) -> Column:
+    """The fewest blocks, of whatever level, that make up low..high."""
+    parts, fan = [], 1 << FAN_BITS
+
+    def at_level(i: int):
+        return lambda x: F.named_struct(F.lit("level"), F.lit(i), F.lit("block"), x)
+
+    for i in range(levels):
+        # What is left after level i - 1 is made of whole blocks of level i, from a to b without b.
+        a, b = (low, high + 1) if i == 0 else (F.shiftright(low + (1 << (i * FAN_BITS)) - 1, i * FAN_BITS), F.shiftright(high + 1, i * FAN_BITS))
+        up, flat = F.shiftright(a + fan - 1, FAN_BITS) * fan, F.shiftright(b, FAN_BITS) * fan
+        left = F.sequence(a, F.least(up, b) - 1)
+        right = F.sequence(F.greatest(flat, F.least(up, b)), b - 1)
+        none = F.array().cast("array<bigint>")
+        both = F.when(F.least(up, b) > a, left).otherwise(none), F.when(b > F.greatest(flat, F.least(up, b)), right).otherwise(none)
+        if i == levels - 1:
+            both = (F.when(b > a, F.sequence(a, b - 1)).otherwise(none),)
+        for blocks in both:
+            parts.append(F.transform(blocks, at_level(i)))
+    return F.concat(*parts)
+
+
+def _levels(index: DataFrame) -> int:
+    return max(1, -(-int(index.agg(F.count(F.lit(1))).first()[0]).bit_length() // FAN_BITS))
+
+
+def upstream_within(index: DataFrame, asked: DataFrame, window_h: float) -> DataFrame:
+    """(node_id, upstream_id, distance_m, travel_h): of every asked node (column ``node_id``) the nodes above it from which water
+    takes at most ``window_h`` hours, itself excluded.
+
+    Both sides meet under a block of node numbers and a stretch of ``window_h`` of the way to the outlet, so what
+    is looked at are the nodes above within twice the window, not all nodes above and no pairs of others.
+    """
+    levels = _levels(index)
+    stretch = F.floor(F.col("travel_h") / window_h)
+    points = index.select(
+        F.col("id").alias("upstream_id"), F.col("distance_m").alias("far_m"), F.col("travel_h").alias("far_h"), stretch.alias("stretch"),
+        F.explode(_blocks_of_point(F.col("pre"), levels)).alias("b"),
+    ).select("upstream_id", "far_m", "far_h", "stretch", "b.level", "b.block")
+    ranges = asked.select(F.col("node_id").alias("id")).distinct().join(index, "id").where("last > pre").select(
+        F.col("id").alias("node_id"), "distance_m", "travel_h", F.explode(F.array(stretch, stretch + 1)).alias("stretch"),
+        _blocks_of_range(F.col("pre") + 1, F.col("last"), levels).alias("blocks"),
+    ).select("node_id", "distance_m", "travel_h", "stretch", F.explode("blocks").alias("b")).select("node_id", "distance_m", "travel_h", "stretch", "b.level", "b.block")
+    hours = F.col("far_h") - F.col("travel_h")
+    return ranges.join(points, ["level", "block", "stretch"]).where(hours <= window_h + 1e-9).select(
+        "node_id", "upstream_id", F.bround(F.col("far_m") - F.col("distance_m"), 6).alias("distance_m"), hours.alias("travel_h")
+    )
+
+
+def downstream_of(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """(node_id, downstream_id, hops) for every asked node (column ``node_id``), itself excluded."""
+    levels = _levels(index)
+    ranges = index.where("last > pre").select(
+        F.col("id").alias("downstream_id"), F.col("hops").alias("rest"), F.explode(_blocks_of_range(F.col("pre") + 1, F.col("last"), levels)).alias("b")
+    ).select("downstream_id", "rest", "b.level", "b.block")
+    points = asked.select(F.col("node_id").alias("id")).distinct().join(index, "id").select(
+        F.col("id").alias("node_id"), "hops", F.explode(_blocks_of_point(F.col("pre"), levels)).alias("b")
+    ).select("node_id", "hops", "b.level", "b.block")
+    return points.join(ranges, ["level", "block"]).select("node_id", "downstream_id", (F.col("hops") - F.col("rest")).alias("hops"))
+
+
+def hours_between(index: DataFrame, pairs: DataFrame, digits: int = 2) -> DataFrame:
+    """Adds ``travel_h`` (rounded to ``digits``, null if unreachable) to pairs (src, dst): two look-ups, no closure."""
+    start = index.select(F.col("id").alias("src"), F.col("pre").alias("src_pre"), F.col("travel_h").alias("src_h"))
+    end = index.select(F.col("id").alias("dst"), F.col("pre").alias("dst_pre"), F.col("last").alias("dst_last"), F.col("travel_h").alias("dst_h"))
+    reached = (F.col("src_pre") >= F.col("dst_pre")) & (F.col("src_pre") <= F.col("dst_last"))
+    hours = F.when(reached, F.bround(F.col("src_h") - F.col("dst_h"), digits)).alias("travel_h")
+    return pairs.join(start, "src", "left").join(end, "dst", "left").select(*pairs.columns, hours)
+
+
 def upstream_nodes(closure: DataFrame, window_h: float) -> DataFrame:
     """(node_id, upstream_id, distance_m, travel_h): upstream nodes within the window, itself excluded."""
     return closure.where((F.col("hops") > 0) & (F.col("travel_h") <= window_h)).select(

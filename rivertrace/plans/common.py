@@ -49,6 +49,11 @@ class River:
     def closure(self) -> DataFrame:
         return N.path_closure(self.nodes, self.edges)
 
+    @cached_property
+    def index(self) -> DataFrame:
+        """Numbers and ways to the outlet of all nodes; answers for given nodes without the closure."""
+        return N.river_index(self.nodes, self.edges)
+
     @cached_property
     def source_closure(self) -> DataFrame:
         """Paths that start where an enterprise discharges."""

@@ -19,17 +19,46 @@ def path_closure(spark, folder):
 
 
 def upstream_window(spark, folder):
-    return N.upstream_nodes(open_river(spark, folder).closure, 5.0)
+    river = open_river(spark, folder)
+    found = N.upstream_within(river.index, river.nodes.select(F.col("id").alias("node_id")), 5.0)
+    return found.withColumn("travel_h", F.bround("travel_h", 2))
 
 
 def downstream_hops(spark, folder):
-    return N.downstream_nodes(open_river(spark, folder).closure)
+    river = open_river(spark, folder)
+    return N.downstream_of(river.index, river.nodes.select(F.col("id").alias("node_id")))
 
 
 def travel_hours(spark, folder):
     river = open_river(spark, folder)
     pairs = river.table("customer").selectExpr("cast(c_nationkey AS bigint) AS src", "c_custkey % 25 AS dst")
-    return N.travel_hours(river.closure, pairs.distinct())
+    return N.hours_between(river.index, pairs.distinct())
+
+
+def _reaches(river):
+    """A long river with a reach for every customer, one or a few numbers below the next; it grows with the table."""
+    customer = river.table("customer")
+    nodes = customer.selectExpr("c_custkey AS id", "cast(0.5 + 0.1 * (c_nationkey % 5) AS double) AS velocity", "0.1D AS k")
+    edges = customer.where("c_custkey > 1").selectExpr(
+        "c_custkey AS from_node", "greatest(1, c_custkey - 1 - c_custkey % 4) AS to_node", "cast(500 + 100 * (c_custkey % 10) AS double) AS distance_m"
+    )
+    return nodes, edges
+
+
+def reach_upstream(spark, folder):
+    """What reaches the sampling point of each supplier, at the reach of its number, within three hours."""
+    river = open_river(spark, folder)
+    asked = river.table("supplier").select(F.col("s_suppkey").alias("node_id"))
+    return N.upstream_within(N.river_index(*_reaches(river)), asked, 3.0).withColumn("travel_h", r("travel_h", 4))
+
+
+def reach_hours(spark, folder):
+    """Hours from the customer's reach to that of its orders' numbers, per order; null where water does not get there."""
+    river = open_river(spark, folder)
+    orders = river.table("orders")
+    reaches = orders.agg(F.max("o_custkey").alias("top"))
+    pairs = orders.join(F.broadcast(reaches)).select("o_orderkey", F.col("o_custkey").alias("src"), (F.col("o_orderkey") % F.col("top") + 1).alias("dst"))
+    return N.hours_between(N.river_index(*_reaches(river)), pairs, 9).select("o_orderkey", r("travel_h", 4).alias("travel_h"))
 
 
 def downstream_paths(spark, folder):
@@ -154,7 +183,29 @@ _CURVES = (
     " (SELECT i*0.25::double AS t_h FROM range(289) t(i)))",
 )
 
+_REACHES = (
+    "reaches",
+    "SELECT c_custkey AS id, CASE WHEN c_custkey>1 THEN greatest(1, c_custkey-1-c_custkey%4) END AS below,"
+    " cast(500+100*(c_custkey%10) AS double) AS m, cast(500+100*(c_custkey%10) AS double)/cast(0.5+0.1*(c_nationkey%5) AS double)/3600 AS h FROM customer",
+)
+_ABOVE = (
+    "above",
+    "SELECT s_suppkey AS node_id, s_suppkey AS upstream_id, 0.0::double AS distance_m, 0.0::double AS travel_h FROM supplier UNION ALL"
+    " SELECT a.node_id, u.id, a.distance_m+u.m, a.travel_h+u.h FROM above a JOIN reaches u ON u.below=a.upstream_id WHERE a.travel_h+u.h<=3.0",
+)
+
+_DOWN = (
+    "down",
+    "SELECT id AS src, id AS dst, 0.0::double AS travel_h FROM reaches UNION ALL"
+    " SELECT d.src, u.below, d.travel_h+u.h FROM down d JOIN reaches u ON u.id=d.dst WHERE u.below IS NOT NULL",
+)
+
 QUERIES = {
+    "reach_upstream": (reach_upstream, with_entities(
+        "SELECT node_id, upstream_id, distance_m, round(travel_h+1e-9,4) AS travel_h FROM above WHERE node_id<>upstream_id", extra=(_REACHES, _ABOVE))),
+    "reach_hours": (reach_hours, with_entities(
+        "SELECT o_orderkey, round(d.travel_h+1e-9,4) AS travel_h FROM orders LEFT JOIN down d ON d.src=o_custkey"
+        " AND d.dst=o_orderkey%(SELECT max(o_custkey) FROM orders)+1", extra=(_REACHES, _DOWN))),
     "path_closure": (path_closure, with_entities(
         "SELECT src, dst, cast(hops AS bigint) AS hops, distance_m, round(travel_h+1e-9,6) AS travel_h,"
         " round(k_sum/(hops+1)+1e-9,6) AS k_mean FROM closure", "closure")),
