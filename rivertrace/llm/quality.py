@@ -45,17 +45,22 @@ def labelled_ids(labels: DataFrame, limit: int = TARGET_DOCS) -> tuple[np.ndarra
     A sample bounded by ``limit``, chosen by a hash of the id. Contradicting labels count as bad."""
     one = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
     good = one.filter("q = 1 and coalesce(t, 0) = 0").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id").alias("h"))
-    rows = good.orderBy("h", "doc_id").limit(limit).collect()
-    fit = [r.doc_id for r in rows if r.h % CALIBRATION_FOLDS]
-    held = [r.doc_id for r in rows if not r.h % CALIBRATION_FOLDS]
-    return np.sort(np.array(fit, np.int64)), np.sort(np.array(held, np.int64))
+    ids, fold = _collected(good.orderBy("h", "doc_id").limit(limit))
+    return np.sort(ids[fold != 0]), np.sort(ids[fold == 0])
+
+
+def _collected(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """doc_id and calibration fold of ``rows(doc_id, h)``, as Arrow: row objects would take the driver ten times the room."""
+    found = rows.toArrow()
+    return found.column("doc_id").to_numpy(), found.column("h").to_numpy() % CALIBRATION_FOLDS
 
 
 def toxic_ids(labels: DataFrame, limit: int = TARGET_DOCS) -> np.ndarray:
     """Ids of the documents labelled toxic that the toxic model learns from; those left out are the same share
     as in ``labelled_ids`` and serve to test it."""
     toxic = labels.filter("doc_id is not null and toxic = 1").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id").alias("h")).distinct()
-    return np.sort(np.array([r.doc_id for r in toxic.orderBy("h", "doc_id").limit(limit).collect() if r.h % CALIBRATION_FOLDS], np.int64))
+    ids, fold = _collected(toxic.orderBy("h", "doc_id").limit(limit))
+    return np.sort(ids[fold != 0])
 
 
 def _member(ids: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -100,17 +105,19 @@ def log_ratios(docs: DataFrame, target: np.ndarray, toxic: np.ndarray) -> tuple[
     does not make it a toxic one."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = source.mapInArrow(_counter(target, toxic), "bucket int, raw long, good long, fine long, harm long")
-    totals = counts.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("raw", "good", "fine", "harm"))).toPandas()
+    columns = ("raw", "good", "fine", "harm")
+    totals = counts.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
+    at = totals.column("bucket").to_numpy()
+    raw, good, fine, harm = (totals.column(c).to_numpy() for c in columns)
     ratios, harms = np.zeros(2 * BUCKETS), np.zeros(2 * BUCKETS)
-    size = totals[totals.bucket == 2 * BUCKETS]
-    if not len(totals) or not totals.good.sum():
+    if not good.sum():
         return ratios, harms
-    for part in (totals[totals.bucket < BUCKETS], totals[(totals.bucket >= BUCKETS) & (totals.bucket < 2 * BUCKETS)]):
-        at = part.bucket.to_numpy()
-        expected = part.raw.to_numpy(float) * (part.good.sum() / max(1, part.raw.sum()))
-        ratios[at] = np.log((part.good.to_numpy(float) + PRIOR) / (expected + PRIOR))
-        usual = part.fine.to_numpy(float) * (size.harm.sum() / max(1, size.fine.sum()))
-        harms[at] = np.log((part.harm.to_numpy(float) + PRIOR) / (usual + PRIOR))
+    size = at == 2 * BUCKETS
+    rate = harm[size].sum() / max(1, fine[size].sum())
+    for part in (at < BUCKETS, (at >= BUCKETS) & (at < 2 * BUCKETS)):
+        expected = raw[part] * (good[part].sum() / max(1, raw[part].sum()))
+        ratios[at[part]] = np.log((good[part] + PRIOR) / (expected + PRIOR))
+        harms[at[part]] = np.log((harm[part] + PRIOR) / (fine[part] * rate + PRIOR))
     return ratios, harms
 
 
