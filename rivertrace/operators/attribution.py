@@ -12,7 +12,7 @@ from rivertrace.functions.timeparts import hour_set, percent, set_overlap
 from rivertrace.operators.composition import score_compositions
 from rivertrace.operators.network import top_sources
 from rivertrace.operators.periodicity import periodicity_from
-from rivertrace.operators.spectra import score_pairs
+from rivertrace.operators.spectra import rank_candidates, score_pairs
 
 FIRST_CUT, HYPOTHESES = 6, 4  # fixed values: candidates looked at and hypotheses kept
 BONUS = {"periodic": 0.15, "gradual": 0.10}  # fixed values: prior bonus by event type
@@ -64,12 +64,18 @@ def generate_hypotheses(events: DataFrame, ranked: DataFrame) -> DataFrame:
     )
 
 
-def spectrum_evidence(hypotheses: DataFrame, samples: DataFrame, library: DataFrame) -> DataFrame:
-    """Spectrum score per (sample_id, enterprise_id) named by the hypotheses."""
-    return score_pairs(hypotheses, samples, library).select(
+def spectrum_evidence(hypotheses: DataFrame, samples: DataFrame, library: DataFrame, ranked: bool = False) -> DataFrame:
+    """Spectrum score per (sample_id, enterprise_id) named by the hypotheses.
+
+    With ``ranked`` also the candidate's place in the whole library (``eem_rank``) and the best match of the sample
+    (``eem_top``), which the verdict does not need.
+    """
+    scored = (rank_candidates if ranked else score_pairs)(hypotheses, samples, library)
+    places = [F.col("rank").alias("eem_rank"), F.col("top").alias("eem_top")] if ranked else []
+    return scored.select(
         "sample_id", "enterprise_id",
         F.bround("cosine", 4).alias("cosine"), F.bround("pearson", 4).alias("pearson"),
-        F.bround("score", 4).alias("eem"),
+        F.bround("score", 4).alias("eem"), *places,
     )
 
 

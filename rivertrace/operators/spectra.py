@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from rivertrace.functions.spectra import EMISSION, EXCITATION, peak_at, spectrum_at
 from rivertrace.functions.timeparts import even_grid
-from rivertrace.session import spread
+from rivertrace.session import spread, write_once
 
 # The batch functions below travel to the workers by value, so these need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -257,3 +257,116 @@ def rank_library(
     order = Window.partitionBy("sample_id").orderBy(F.desc(F.bround("score", 4)), "enterprise_id")
     ranked = scored.withColumn("rank", F.row_number().over(order))
     return ranked if top is None else ranked.where(F.col("rank") <= top)
+
+
+def _stacked(vectors) -> np.ndarray:
+    """Rows whose inner products are match scores: unit and centred unit spectra side by side, weighted."""
+    rows = np.vstack(vectors)
+    return np.hstack([np.sqrt(COSINE_WEIGHT) * _unit(rows), np.sqrt(PEARSON_WEIGHT) * _centred_unit(rows)])
+
+
+def _side_coder(bits: int):
+    """Side of ``bits`` fixed hyperplanes on which a spectrum lies, so that panels hold alike spectra."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            if part.empty:
+                continue
+            rows = _stacked(part["vector"])
+            planes = np.random.default_rng(bits).choice([-1.0, 1.0], size=(rows.shape[1], bits))
+            code = ((rows @ planes > 0) @ (1 << np.arange(bits))).astype("int64") if bits else np.zeros(len(part), "int64")
+            yield part.assign(code=code)
+
+    return run
+
+
+def _alike_panels(library: DataFrame, panel_rows: int) -> tuple[DataFrame, int]:
+    """Library spectra in panels of alike ones, (bucket, panel_members), and the number of buckets.
+
+    A side that holds more than ``panel_rows`` spectra, such as one of many equal spectra, is cut by id.
+    """
+    known = library.where("vector IS NOT NULL").select("enterprise_id", "vector")
+    buckets = max(1, -(-known.count() // panel_rows))
+    kind = known.schema["enterprise_id"].dataType.simpleString()
+    coded = known.mapInPandas(
+        _side_coder(min(16, (buckets - 1).bit_length())), f"enterprise_id {kind}, vector array<double>, code bigint"
+    )
+    pieces = coded.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / panel_rows).alias("pieces"))
+    panels = (
+        coded.join(pieces, "code")
+        .withColumn("piece", F.pmod(F.xxhash64("enterprise_id"), F.col("pieces")))
+        .groupBy("code", "piece")
+        .agg(F.collect_list(F.struct(F.col("enterprise_id").alias("id"), "vector")).alias("panel_members"))
+    )
+    return panels.select(F.pmod(F.xxhash64("code", "piece"), F.lit(buckets)).alias("bucket"), "panel_members"), buckets
+
+
+def _ahead_counter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in batches:
+        rows = []
+        for seen, known in zip(part["block_members"], part["panel_members"]):
+            ids = np.array([m["id"] for m in known])
+            x, y = _stacked([m["vector"] for m in seen]), _stacked([m["vector"] for m in known])
+            middle = y.mean(axis=0)
+            radius = np.linalg.norm(y - middle, axis=1).max()
+            # No spectrum of the panel can score more than this; where that is below all candidates, nothing is counted.
+            bound = np.maximum(0.0, x @ middle + np.linalg.norm(x, axis=1) * radius)
+            least = np.array([min(w["score"] for w in m["wanted"]) for m in seen])
+            near = np.flatnonzero(bound >= least - ROUNDING)
+            steps = np.rint(np.maximum(0.0, x[near] @ y.T) / ROUNDING)
+            for place, own in zip(near, steps):
+                best = own.max()
+                first = ids[own == best].min()
+                for w in seen[place]["wanted"]:
+                    mark = np.rint(w["score"] / ROUNDING)
+                    ahead = (own > mark) | ((own == mark) & (ids < w["enterprise_id"]))
+                    ahead &= ids != w["enterprise_id"]
+                    rows.append((seen[place]["id"], w["enterprise_id"], int(ahead.sum()), int(best), first))
+        yield pd.DataFrame(rows, columns=["sample_id", "enterprise_id", "ahead", "best", "first"])
+
+
+def rank_candidates(
+    pairs: DataFrame, samples: DataFrame, library: DataFrame, panel_rows: int = 512, salts: int | None = None
+) -> DataFrame:
+    """Score of given (sample_id, enterprise_id) pairs, their rank in the whole library, and the best match (``top``).
+
+    The rank is one more than the number of library spectra ahead of the candidate (a higher score at four decimals,
+    or the same and a smaller id). Only counts leave a task, and a panel whose bound (its centre and radius) lies below
+    every candidate of a sample is not multiplied with it; such a panel cannot hold the best match either, as
+    candidates are members of the library themselves. Pairs without a spectrum on either side have no row; repeated
+    pairs have one. A sample carries its candidates along, four per station and kind of alert.
+    """
+    usable = samples.where("vector IS NOT NULL").select("sample_id", "vector")
+    known = library.where("vector IS NOT NULL").select("enterprise_id", "vector")
+    scored = write_once(score_pairs(pairs, usable, known), "scored_pairs")
+    wanted = scored.groupBy("sample_id").agg(F.collect_list(F.struct("enterprise_id", "score")).alias("wanted"))
+    asked = usable.join(wanted, "sample_id")
+    block_count = max(1, -(-wanted.count() // panel_rows))
+    member = F.struct(F.col("sample_id").alias("id"), "vector", "wanted")
+    blocks = (
+        asked.withColumn("block", F.pmod(F.xxhash64("sample_id"), F.lit(block_count)))
+        .groupBy("block").agg(F.collect_list(member).alias("block_members"))
+    )
+    if salts is None:
+        salts = max(1, min(block_count, 4 * samples.sparkSession.sparkContext.defaultParallelism))
+    panels, buckets = _alike_panels(known, panel_rows)
+    left = blocks.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))).withColumn(
+        "salt", F.pmod(F.col("block"), F.lit(salts))
+    )
+    right = panels.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    kinds = {name: scored.schema[name].dataType.simpleString() for name in ("sample_id", "enterprise_id")}
+    counted = (
+        left.join(right, ["bucket", "salt"])
+        .select("block_members", "panel_members")
+        .mapInPandas(
+            _ahead_counter,
+            f"sample_id {kinds['sample_id']}, enterprise_id {kinds['enterprise_id']}, ahead bigint, best bigint,"
+            f" first {kinds['enterprise_id']}",
+        )
+        .groupBy("sample_id", "enterprise_id")
+        .agg(
+            (F.sum("ahead") + 1).alias("rank"),
+            F.min_by("first", F.struct(-F.col("best"), F.col("first"))).alias("top"),
+        )
+    )
+    return scored.join(counted, ["sample_id", "enterprise_id"])

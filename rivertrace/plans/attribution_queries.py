@@ -82,10 +82,10 @@ def hypotheses_of(river):
     return A.generate_hypotheses(events, river.ranked_sources)
 
 
-def verified_of(river):
+def verified_of(river, ranked=False):
     # Four kinds of evidence start from the hypotheses, so these are written once, spread by alert.
     found = write_once(hypotheses_of(river).repartition("event_id"), "hypotheses")
-    spectrum = A.spectrum_evidence(found, river.sample_vectors, river.library_vectors)
+    spectrum = A.spectrum_evidence(found, river.sample_vectors, river.library_vectors, ranked)
     library = river.compositions.withColumn("pollutants", C.normalised(F.col("pollutants")))
     seen = compositions(river.spark, river.folder, "l_orderkey", "sample_id")
     seen = seen.withColumn("pollutants", C.normalised(F.col("pollutants")))
@@ -100,9 +100,18 @@ def hypotheses(spark, folder):
     )
 
 
+def eem_evidence(spark, folder):
+    """Each hypothesis with its spectrum score, its place among all library spectra and the one in first place."""
+    river = open_river(spark, folder)
+    found = write_once(hypotheses_of(river).select("event_id", "hypothesis", "sample_id", "enterprise_id"), "hypotheses")
+    return found.join(
+        A.spectrum_evidence(found, river.sample_vectors, river.library_vectors, ranked=True), ["sample_id", "enterprise_id"]
+    ).select("event_id", "hypothesis", "enterprise_id", "cosine", "pearson", "eem", "eem_rank", "eem_top")
+
+
 def evidence_scores(spark, folder):
-    return verified_of(open_river(spark, folder)).select(
-        "event_id", "hypothesis", "enterprise_id", "eem", "pollutant", "pattern", "strength",
+    return verified_of(open_river(spark, folder), ranked=True).select(
+        "event_id", "hypothesis", "enterprise_id", "eem", "eem_rank", "eem_top", "pollutant", "pattern", "strength",
         F.col("evidence_count").cast("bigint").alias("evidence_count"), "score", "status",
     )
 
@@ -231,6 +240,15 @@ _EVIDENCE = (
     ("verdicts", "SELECT a.id AS event_id, a.station_id, a.etype, b.score>=0.6 AS ok, b.enterprise_id, b.name, b.industry AS ind, b.score, b.cnt,"
      " a.id IN (SELECT event_id FROM hyp) AS has_hyp FROM alerts a LEFT JOIN best b ON b.event_id=a.id"),
 )
+# Places of the candidates of a sample among all library spectra, and who has the first.
+_PLACES = (
+    ("matched", "SELECT sample_id, enterprise_id, row_number() OVER (PARTITION BY sample_id ORDER BY round(score,4) DESC, enterprise_id)"
+     f" AS eem_rank FROM (SELECT x.vec_id AS sample_id, s_suppkey AS enterprise_id, greatest(0, 0.6*{_COSINE.format('x','y')}"
+     f"+0.4*{_PEARSON.format('x','y')}) AS score FROM centred x, supplier JOIN centred y ON y.vec_id=s_suppkey"
+     " WHERE x.vec_id IN (SELECT sample_id FROM hyp))"),
+    ("places", "SELECT m.sample_id, m.enterprise_id, m.eem_rank, t.enterprise_id AS eem_top FROM matched m JOIN matched t"
+     " ON t.sample_id=m.sample_id AND t.eem_rank=1"),
+)
 _NEEDS = ("alerts", "impact", "centred", "library_parts", "observed_parts", "readings", "enterprises", "closure", "stations")
 
 QUERIES = {
@@ -263,8 +281,16 @@ QUERIES = {
     "hypotheses": (hypotheses, with_entities(
         "SELECT event_id, hypothesis, enterprise_id, name, industry, atten, prior FROM hyp", "alerts", "impact", extra=_HYPOTHESES)),
     "evidence_scores": (evidence_scores, with_entities(
-        "SELECT event_id, hypothesis, enterprise_id, eem, pollutant, pattern, strength, cast(cnt AS bigint) AS evidence_count, score,"
-        " CASE WHEN score<0.3 THEN 'rejected' ELSE 'candidate' END AS status FROM scored", *_NEEDS, extra=_EVIDENCE)),
+        "SELECT event_id, hypothesis, s.enterprise_id, eem, eem_rank, eem_top, pollutant, pattern, strength, cast(cnt AS bigint) AS evidence_count,"
+        " score, CASE WHEN score<0.3 THEN 'rejected' ELSE 'candidate' END AS status FROM scored s LEFT JOIN places p"
+        " ON p.sample_id=s.sample_id AND p.enterprise_id=s.enterprise_id", *_NEEDS, extra=(*_EVIDENCE, *_PLACES))),
+    "eem_evidence": (eem_evidence, with_entities(
+        "SELECT event_id, hypothesis, h.enterprise_id, round(cosine,4) AS cosine, round(pearson,4) AS pearson, eem, eem_rank, eem_top FROM hyp h"
+        f" JOIN (SELECT p.sample_id, p.enterprise_id, {_COSINE.format('x','y')} AS cosine, {_PEARSON.format('x','y')} AS pearson FROM"
+        " (SELECT DISTINCT sample_id, enterprise_id FROM hyp) p JOIN centred x ON x.vec_id=p.sample_id JOIN centred y ON"
+        " y.vec_id=p.enterprise_id) c ON c.sample_id=h.sample_id AND c.enterprise_id=h.enterprise_id JOIN eem e ON e.sample_id=h.sample_id"
+        " AND e.enterprise_id=h.enterprise_id JOIN places q ON q.sample_id=h.sample_id AND q.enterprise_id=h.enterprise_id",
+        "alerts", "impact", "centred", extra=(*_HYPOTHESES, _EVIDENCE[len(_HYPOTHESES)], *_PLACES))),
     "evidence_rows": (evidence_rows, with_entities(
         "SELECT * FROM (SELECT event_id, hypothesis, enterprise_id, 'eem' AS kind, eem AS value, 0.40::double AS weight FROM scored"
         " UNION ALL SELECT event_id, hypothesis, enterprise_id, 'pollutant', pollutant, 0.25 FROM scored"
