@@ -13,6 +13,8 @@ from rivertrace.operators import quantiles as Q
 from rivertrace.operators import readmodels as M
 from rivertrace.plans.common import at, open_river, r, us
 from rivertrace.plans.oracle_entities import with_entities
+from rivertrace.session import scratch_path
+from rivertrace.sources import stores as ST
 
 CUTOFF = "2024-01-11 00:00:00"
 SCAN_HOURS = 240
@@ -148,14 +150,28 @@ def hour_overlap(spark, folder):
     )
 
 
-def readings_upsert(spark, folder):
-    """Insert-or-replace of all events on (station, indicator, hour): the later event wins."""
-    events = open_river(spark, folder).table("events").select(
+def _versioned_events(spark, folder):
+    """All events as hourly readings, the event's number as version."""
+    return open_river(spark, folder).table("events").select(
         F.concat(F.lit("st_"), F.lpad((3 * (F.col("user_id") % 9)).cast("string"), 2, "0")).alias("station_id"),
         F.col("event_type").alias("indicator"),
         F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("ts"),
         "value", F.col("event_id").alias("version"),
     )
+
+
+def readings_merge(spark, folder):
+    """Writes all events as a store by date, merges those of Mondays from a value of 50 on as corrections, reads it back."""
+    events = _versioned_events(spark, folder).withColumn("late", F.coalesce(F.expr("value >= 50 AND weekday(ts) = 0"), F.lit(False)))
+    path = scratch_path(spark, "store")
+    ST.merge_readings(events.where("NOT late"), path)
+    ST.merge_readings(events.where("late"), path)
+    return ST.read_readings(spark, path).select("station_id", "indicator", us().alias("ts_us"), "value")
+
+
+def readings_upsert(spark, folder):
+    """Insert-or-replace of all events on (station, indicator, hour): the later event wins."""
+    events = _versioned_events(spark, folder)
     old, new = events.where("value < 50"), events.where("value >= 50")
     return M.upsert_readings(old, new).select("station_id", "indicator", us().alias("ts_us"), "value")
 
@@ -333,6 +349,11 @@ QUERIES = {
         " round(sum(CASE WHEN own AND (h>=22 OR h<3) THEN 1 ELSE 0 END)/greatest(sum(CASE WHEN own OR h>=22 OR h<3 THEN 1 ELSE 0 END),1)"
         "+1e-9,4) AS overlap FROM (SELECT id, h, CASE WHEN hour_from<=hour_to THEN h>=hour_from AND h<hour_to"
         " ELSE h>=hour_from OR h<hour_to END AS own FROM enterprises, range(24) t(h)) GROUP BY id", "enterprises")),
+    "readings_merge": (readings_merge, with_entities(
+        "SELECT station_id, indicator, ts_us, coalesce(arg_max(value, event_id) FILTER (late), arg_max(value, event_id) FILTER (NOT late)) AS value"
+        " FROM (SELECT concat('st_', lpad(cast(3*(user_id%9) AS varchar), 2, '0')) AS station_id, event_type AS indicator,"
+        " epoch_us(date_trunc('hour', ts)) AS ts_us, value, event_id, coalesce(value>=50 AND dayofweek(ts)=1, false) AS late FROM events)"
+        " GROUP BY 1,2,3")),
     "readings_upsert": (readings_upsert, with_entities(
         "SELECT concat('st_', lpad(cast(3*(user_id%9) AS varchar), 2, '0')) AS station_id, event_type AS indicator,"
         " epoch_us(date_trunc('hour', ts)) AS ts_us, arg_max(value, event_id) AS value FROM events GROUP BY 1,2,3")),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivertrace import schemas
+from rivertrace.session import write_once
 
 
 def _by_date(readings: DataFrame) -> DataFrame:
@@ -31,6 +32,34 @@ def read_readings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"{schemas.READINGS}, date DATE").parquet(path)
 
 
+def stored_on(spark: SparkSession, path: str, dates: list) -> DataFrame:
+    """Stored readings of the given dates; other folders are neither listed in the scan nor read."""
+    return read_readings(spark, path).where(F.col("date").isin(dates))
+
+
+def merge_readings(new: DataFrame, path: str) -> int:
+    """Insert-or-replace on (station_id, indicator, ts) in the store at ``path``; returns the number of dates rewritten.
+
+    ``new`` has the columns of a reading and ``version``: it beats what is stored, and among rows of one key the highest
+    version wins, ties by value. Rows without station, indicator or time have no key and are left out. Only dates that ``new``
+    touches are read and rewritten; their list, one entry a day, is all that reaches the driver. The merged rows are
+    written to the shared folder first, so that the store is never read while it is replaced. An empty ``new`` changes nothing.
+    """
+    spark, key = new.sparkSession, ["station_id", "indicator", "ts"]
+    keyed = new.where(F.col("station_id").isNotNull() & F.col("indicator").isNotNull() & F.col("ts").isNotNull())
+    coming = write_once(keyed.select(*key, "value", F.col("version").cast("bigint").alias("version")), "coming")
+    dates = [row["date"] for row in coming.select(F.to_date("ts").alias("date")).distinct().collect()]
+    if not dates:
+        return 0
+    rows = coming.select(*key, F.struct(F.lit(1).alias("fresh"), "version", "value").alias("r"))
+    if path_exists(spark, path):
+        none = F.lit(None).cast("bigint").alias("version")
+        rows = rows.unionByName(stored_on(spark, path, dates).select(*key, F.struct(F.lit(0).alias("fresh"), none, "value").alias("r")))
+    merged = rows.groupBy(*key).agg(F.max("r")["value"].alias("value")).select("station_id", "ts", "indicator", "value")
+    replace_dates(write_once(merged, "merged"), path)
+    return len(dates)
+
+
 def reload_tables(tables: dict[str, DataFrame], root: str) -> None:
     """Truncate and load: each table replaces what is stored under its name."""
     for name, df in tables.items():

@@ -106,3 +106,25 @@ def test_lineage_is_cut_in_the_configured_folder(spark):
 def test_enumerations(spark, allowed, bad):
     df = spark.createDataFrame([("open",), (None,)], "status string")
     assert schemas.invalid_rows(df, allowed).count() == bad
+
+
+def test_merge_rewrites_only_touched_dates(spark, tmp_path):
+    path = str(tmp_path / "merged")
+    rows = [("s", START + timedelta(hours=i), "cod", float(i)) for i in range(72)]
+    stored = spark.createDataFrame(rows, schemas.READINGS).withColumn("version", F.lit(7))
+    assert S.merge_readings(stored, path) == 3
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "merged").rglob("*.parquet")}
+    new = [("s", START + timedelta(hours=25), "cod", 5.0, 1), ("s", START + timedelta(hours=25), "cod", 9.0, 2),
+           ("s", START + timedelta(hours=25), "cod", 8.0, 2), ("t", START + timedelta(hours=26), "cod", None, 1), (None, START, "cod", 1.0, 3),
+           ("s", START + timedelta(hours=30), "cod", 6.0, None)]
+    assert S.merge_readings(spark.createDataFrame(new, f"{schemas.READINGS}, version bigint"), path) == 1
+    got = {(r["station_id"], r["ts"]): r["value"] for r in S.read_readings(spark, path).collect()}
+    expected = {(s, ts): v for s, ts, _, v in rows}
+    expected |= {("s", START + timedelta(hours=25)): 9.0, ("s", START + timedelta(hours=30)): 6.0, ("t", START + timedelta(hours=26)): None}
+    assert got == expected and S.read_readings(spark, path).count() == len(expected)
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "merged").rglob("*.parquet")}
+    kept = {p for p in before if "date=2024-03-02" not in str(p)}
+    assert kept and all(after[p] == before[p] for p in kept)
+    plan = S.stored_on(spark, path, [(START + timedelta(days=1)).date()])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan or "PartitionFilters: [(date" in plan or "PartitionFilters: [date" in plan
+    assert S.merge_readings(spark.createDataFrame([], f"{schemas.READINGS}, version bigint"), path) == 0
