@@ -23,6 +23,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROUNDING = 1e-4  # scores are ranked at four decimals
 COSINE_WEIGHT, PEARSON_WEIGHT = 0.6, 0.4  # fixed values: parts of the match score
+PEAK_ROWS, PEAK_PAIRS = 1024, 8192  # peaks, and pairs of peaks, that are multiplied at a time
+FLAT = 1e-14  # variance below this share of the mean square: sums cannot tell the spectrum from a flat one
 TREATMENT_PLANT, TREATMENT_DAMPING = "wwtp", 0.3  # fixed values: weak fluorescence of treated water
 
 
@@ -210,33 +212,24 @@ def _panel_scorer(top: int | None):
                 ids = np.array([m["id"] for m in known])
                 x, y = np.vstack([m["vector"] for m in seen]), np.vstack([m["vector"] for m in known])
                 cosine, pearson = _unit(x) @ _unit(y).T, _centred_unit(x) @ _centred_unit(y).T
-                score = np.maximum(0.0, COSINE_WEIGHT * cosine + PEARSON_WEIGHT * pearson)
-                # Whatever may round to the k-th score stays; the rank is settled afterwards, by one rounding.
-                k = len(ids) if top is None else min(top, len(ids))
-                least = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
-                row, column = np.nonzero(score >= least[:, None] - ROUNDING)
-                yield pd.DataFrame(
-                    {
-                        "sample_id": np.array([m["id"] for m in seen])[row],
-                        "enterprise_id": ids[column],
-                        "cosine": cosine[row, column],
-                        "pearson": pearson[row, column],
-                    }
-                )
+                yield _best_of(np.array([m["id"] for m in seen]), ids, cosine, pearson, top)
 
     return run
 
 
-def rank_library(
-    samples: DataFrame, library: DataFrame, top: int | None, panel_rows: int = 512, salts: int | None = None
-) -> DataFrame:
-    """The ``top`` best matches in the library for every sample (None: all), with their rank from 1.
+def _best_of(samples: np.ndarray, ids: np.ndarray, cosine: np.ndarray, pearson: np.ndarray, top: int | None) -> pd.DataFrame:
+    """Whatever may round to the k-th score of its sample stays; the rank is settled afterwards, by one rounding."""
+    score = np.maximum(0.0, COSINE_WEIGHT * cosine + PEARSON_WEIGHT * pearson)
+    k = len(ids) if top is None else min(top, len(ids))
+    least = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
+    row, column = np.nonzero(score >= least[:, None] - ROUNDING)
+    return pd.DataFrame(
+        {"sample_id": samples[row], "enterprise_id": ids[column], "cosine": cosine[row, column], "pearson": pearson[row, column]}
+    )
 
-    Samples and library are cut into panels; a task multiplies one panel of samples with one panel of
-    the library and keeps ``top`` candidates per sample and ties, so about top x panels rows per sample
-    are shuffled. Library panels are spread over ``salts``, by default as many as there are panels of samples
-    but no more than keep all cores busy, so that a few panels still fill a cluster.
-    """
+
+def _scored_panels(samples: DataFrame, library: DataFrame, scorer, panel_rows: int, salts: int | None) -> DataFrame:
+    """What ``scorer`` leaves of every panel of samples times every panel of the library, with the score."""
     blocks, block_count = _panels(samples, "sample_id", panel_rows, "block")
     if salts is None:
         salts = max(1, min(block_count, 4 * samples.sparkSession.sparkContext.defaultParallelism))
@@ -249,11 +242,24 @@ def rank_library(
     schema = (
         f"sample_id {kinds[0].simpleString()}, enterprise_id {kinds[1].simpleString()}, cosine double, pearson double"
     )
-    scored = with_score(
+    return with_score(
         left.join(right, ["panel", "salt"])
         .select("block_members", "panel_members")
-        .mapInPandas(_panel_scorer(top), schema)
+        .mapInPandas(scorer, schema)
     )
+
+
+def rank_library(
+    samples: DataFrame, library: DataFrame, top: int | None, panel_rows: int = 512, salts: int | None = None
+) -> DataFrame:
+    """The ``top`` best matches in the library for every sample (None: all), with their rank from 1.
+
+    Samples and library are cut into panels; a task multiplies one panel of samples with one panel of
+    the library and keeps ``top`` candidates per sample and ties, so about top x panels rows per sample
+    are shuffled. Library panels are spread over ``salts``, by default as many as there are panels of samples
+    but no more than keep all cores busy, so that a few panels still fill a cluster.
+    """
+    scored = _scored_panels(samples, library, _panel_scorer(top), panel_rows, salts)
     order = Window.partitionBy("sample_id").orderBy(F.desc(F.bround("score", 4)), "enterprise_id")
     ranked = scored.withColumn("rank", F.row_number().over(order))
     return ranked if top is None else ranked.where(F.col("rank") <= top)
@@ -370,3 +376,141 @@ def rank_candidates(
         )
     )
     return scored.join(counted, ["sample_id", "enterprise_id"])
+
+
+class PeakLists:
+    """Spectra given by their peaks, measured on a grid that is never laid out.
+
+    A peak is a product of a curve over excitation and one over emission, so a sum over all cells of the product of two
+    peaks is the product of two sums along the axes: 61 and 71 products instead of 4,331. A peak with a null, or without
+    a positive width, counts nothing.
+    """
+
+    def __init__(self, lists, excitation=EXCITATION, emission=EMISSION):
+        rows = [
+            (i, p["lex"], p["lem"], p["amp"], p["sigma"])
+            for i, peaks in enumerate(lists)
+            for p in peaks
+            if None not in (p["lex"], p["lem"], p["amp"], p["sigma"]) and p["sigma"] > 0
+        ]
+        table = np.array(rows, float).reshape(-1, 5)
+        self.count, self.cells = len(lists), excitation[2] * emission[2]
+        self.owner, self.amp = table[:, 0].astype(int), table[:, 3]
+        width = 2 * table[:, 4:] ** 2
+        self.curves = [
+            np.exp(-((np.linspace(*axis)[None, :] - table[:, at : at + 1]) ** 2) / width)
+            for at, axis in ((1, excitation), (2, emission))
+        ]
+        self.total = np.bincount(self.owner, self.amp * self.curves[0].sum(1) * self.curves[1].sum(1), self.count)
+        self.edge = np.searchsorted(self.owner, np.arange(self.count + 1))
+        self.square = self.paired(self)
+
+    def _products(self, mine: slice, other: PeakLists, theirs: slice) -> np.ndarray:
+        along = [x[mine] @ y[theirs].T for x, y in zip(self.curves, other.curves)]
+        return self.amp[mine, None] * along[0] * along[1] * other.amp[None, theirs]
+
+    def inner(self, other: PeakLists) -> np.ndarray:
+        """Sums over all cells, one row per spectrum here and one column per spectrum there."""
+        out = np.zeros((self.count, other.count))
+        filled = np.flatnonzero(np.diff(other.edge))
+        for at in range(0, len(self.amp), PEAK_ROWS):
+            mine = slice(at, at + PEAK_ROWS)
+            if len(filled):
+                sums = np.add.reduceat(self._products(mine, other, slice(None)), other.edge[filled], axis=1)
+                np.add.at(out, (self.owner[mine][:, None], filled[None, :]), sums)
+        return out
+
+    def paired(self, other: PeakLists) -> np.ndarray:
+        """Sums over all cells of each spectrum here with the one at the same place there."""
+        per = np.diff(other.edge)[self.owner]  # peaks that a peak of this side meets
+        out, ends = np.zeros(self.count), np.cumsum(per)
+        at = 0
+        while at < len(per):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PEAK_PAIRS, "right")))
+            mine = np.repeat(np.arange(at, to), per[at:to])
+            first = np.repeat(ends[at:to] - per[at:to], per[at:to])
+            theirs = other.edge[self.owner[mine]] + np.arange(len(mine)) + (ends[at - 1] if at else 0) - first
+            product = self.amp[mine] * other.amp[theirs]
+            for x, y in zip(self.curves, other.curves):
+                product = product * np.einsum("ij,ij->i", x[mine], y[theirs])
+            out += np.bincount(self.owner[mine], product, self.count)
+            at = to
+        return out
+
+    def parts(self, other: PeakLists, inner: np.ndarray, here=slice(None), there=slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """Cosine and Pearson correlation from the sums; ``here`` and ``there`` align the sums of both sides."""
+        xx, yy, x, y, n = self.square[here], other.square[there], self.total[here], other.total[there], self.cells
+        norms = np.sqrt(xx) * np.sqrt(yy)
+        cosine = np.where((np.sqrt(xx) < 1e-12) | (np.sqrt(yy) < 1e-12), 0.0, inner / np.where(norms > 0, norms, 1.0))
+        vx, vy = xx / n - (x / n) ** 2, yy / n - (y / n) ** 2
+        flat = (vx <= np.maximum(1e-24, FLAT * xx / n)) | (vy <= np.maximum(1e-24, FLAT * yy / n))
+        spread_ = np.sqrt(np.where(flat, 1.0, vx * vy))
+        return cosine, np.where(flat, 0.0, (inner / n - x * y / n**2) / spread_)
+
+
+def _peak_scorer(top: int | None):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for seen, known in zip(part["block_members"], part["panel_members"]):
+                x, y = PeakLists([m["vector"] for m in seen]), PeakLists([m["vector"] for m in known])
+                parts = x.parts(y, x.inner(y), np.s_[:, None], np.s_[None, :])
+                yield _best_of(np.array([m["id"] for m in seen]), np.array([m["id"] for m in known]), *parts, top)
+
+    return run
+
+
+def rank_peak_library(
+    samples: DataFrame, library: DataFrame, top: int, panel_rows: int = 512, salts: int | None = None
+) -> DataFrame:
+    """The ``top`` best matches on the full grid for every sample, where both sides are lists of peaks.
+
+    ``samples`` has sample_id and spectrum, ``library`` enterprise_id and spectrum. The result is that of
+    ``rank_library`` on the expanded grids; see ``PeakLists``. What travels is the peaks and not the 4,331 cells.
+    Enterprises with equal lists are scored once: of each list only its ``top`` smallest ids can have a rank.
+    Null spectra have no rows, an empty list is a spectrum of zeros and scores 0. Each id is expected once per side.
+    """
+    known = library.where("spectrum IS NOT NULL").select("enterprise_id", "spectrum")
+    smallest = Window.partitionBy("spectrum").orderBy("enterprise_id")
+    lists = (
+        known.withColumn("_place", F.row_number().over(smallest)).where(F.col("_place") <= top)
+        .groupBy("spectrum").agg(F.array_sort(F.collect_list("enterprise_id")).alias("ids"))
+    )
+    lists = write_once(lists, "peak_lists")
+    scored = _scored_panels(
+        samples.where("spectrum IS NOT NULL").select("sample_id", F.col("spectrum").alias("vector")),
+        lists.select(F.col("ids")[0].alias("enterprise_id"), F.col("spectrum").alias("vector")),
+        _peak_scorer(top), panel_rows, salts,
+    )
+    each = scored.join(lists.select(F.col("ids")[0].alias("enterprise_id"), "ids"), "enterprise_id").select(
+        "sample_id", F.explode("ids").alias("enterprise_id"), "cosine", "pearson", "score"
+    )
+    order = Window.partitionBy("sample_id").orderBy(F.desc(F.bround("score", 4)), "enterprise_id")
+    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
+def _peak_pair_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in batches:
+        if part.empty:
+            continue
+        x, y = PeakLists(list(part["x"])), PeakLists(list(part["y"]))
+        cosine, pearson = x.parts(y, x.paired(y))
+        yield pd.DataFrame(
+            {"sample_id": part["sample_id"], "enterprise_id": part["enterprise_id"], "cosine": cosine, "pearson": pearson}
+        )
+
+
+def score_peak_pairs(pairs: DataFrame, samples: DataFrame, library: DataFrame) -> DataFrame:
+    """Match on the full grid of given (sample_id, enterprise_id) pairs, where both sides are lists of peaks.
+
+    The counterpart of ``score_pairs``: each distinct pair once, no pair that was not asked for. Pairs without a
+    spectrum on either side have no row.
+    """
+    fields = "transform({}, p -> struct(p.lex AS lex, p.lem AS lem, p.amp AS amp, p.sigma AS sigma))"
+    asked = (
+        pairs.select("sample_id", "enterprise_id").distinct()
+        .join(samples.where("spectrum IS NOT NULL").select("sample_id", F.expr(fields.format("spectrum")).alias("x")), "sample_id")
+        .join(library.where("spectrum IS NOT NULL").select("enterprise_id", F.expr(fields.format("spectrum")).alias("y")), "enterprise_id")
+    )
+    kinds = {f.name: f.dataType.simpleString() for f in asked.schema.fields}
+    schema = f"sample_id {kinds['sample_id']}, enterprise_id {kinds['enterprise_id']}, cosine double, pearson double"
+    return with_score(asked.mapInPandas(_peak_pair_batches, schema))

@@ -27,6 +27,26 @@ def spectrum_match(spark, folder):
     )
 
 
+def grid_match(spark, folder):
+    """The three enterprises whose grids are most like the observed one of each event, out of the whole library."""
+    river = open_river(spark, folder)
+    found = X.rank_peak_library(river.observed_peaks, river.spectra, top=3)
+    return found.select(
+        "sample_id", "enterprise_id", F.bround("cosine", 4).alias("cosine"), F.bround("pearson", 4).alias("pearson"),
+        F.bround("score", 4).alias("score"), F.col("rank").cast("bigint").alias("rank"),
+    )
+
+
+def grid_pairs(spark, folder):
+    """The grid of each event against those of the enterprises that took part in it."""
+    river = open_river(spark, folder)
+    lines = river.table("lineitem").select(F.col("l_orderkey").alias("sample_id"), F.col("l_suppkey").alias("enterprise_id"))
+    return X.score_peak_pairs(lines, river.observed_peaks, river.spectra).select(
+        "sample_id", "enterprise_id", F.bround("cosine", 4).alias("cosine"), F.bround("pearson", 4).alias("pearson"),
+        F.bround("score", 4).alias("score"),
+    )
+
+
 def background_mix(spark, folder):
     river = open_river(spark, folder)
     found = C.background_mix(river.sources, river.compositions)
@@ -249,6 +269,22 @@ _PLACES = (
     ("places", "SELECT m.sample_id, m.enterprise_id, m.eem_rank, t.enterprise_id AS eem_top FROM matched m JOIN matched t"
      " ON t.sample_id=m.sample_id AND t.eem_rank=1"),
 )
+# All cells of all grids; the grid of an event is a sum of grids, so its products are sums of theirs.
+_GRIDS = (
+    ("cells", "SELECT enterprise_id, lex, lem, sum(amp*exp(-((200+5.0::double*lex-plex)**2+(250+5.0::double*lem-plem)**2)/(2*sigma*sigma))) AS v"
+     " FROM peaks, (SELECT unnest(range(61)) AS lex), (SELECT unnest(range(71)) AS lem) GROUP BY ALL"),
+    ("gram", "SELECT x.enterprise_id AS i, y.enterprise_id AS j, sum(x.v*y.v) AS xy FROM cells x JOIN cells y ON y.lex=x.lex AND y.lem=x.lem"
+     " GROUP BY ALL"),
+    ("totals", "SELECT enterprise_id AS i, sum(v) AS s FROM cells GROUP BY ALL"),
+    ("shares", "SELECT l_orderkey AS sample_id, l_suppkey AS i, cast(sum(l_quantity) AS double) AS w FROM lineitem GROUP BY ALL"),
+    ("own", "SELECT a.sample_id, sum(a.w*b.w*xy) AS xx FROM shares a JOIN shares b ON b.sample_id=a.sample_id JOIN gram ON gram.i=a.i"
+     " AND gram.j=b.i GROUP BY ALL"),
+    ("meets", "SELECT sample_id, j AS enterprise_id, sum(w*xy) AS xy, sum(w*s) AS sx FROM shares JOIN gram ON gram.i=shares.i"
+     " JOIN totals ON totals.i=shares.i GROUP BY ALL"),
+    ("parts", "SELECT m.sample_id, m.enterprise_id, xy/sqrt(xx*g.gg) AS cosine,"
+     " (xy-sx*t.s/4331)/sqrt((xx-sx*sx/4331)*(g.gg-t.s*t.s/4331)) AS pearson FROM meets m JOIN own ON own.sample_id=m.sample_id"
+     " JOIN (SELECT i, xy AS gg FROM gram WHERE i=j) g ON g.i=m.enterprise_id JOIN totals t ON t.i=m.enterprise_id"),
+)
 _NEEDS = ("alerts", "impact", "centred", "library_parts", "observed_parts", "readings", "enterprises", "closure", "stations")
 
 QUERIES = {
@@ -258,6 +294,14 @@ QUERIES = {
         " (SELECT *, greatest(0, 0.6*cosine+0.4*pearson) AS score FROM (SELECT x.vec_id AS sample_id, s_suppkey AS enterprise_id,"
         f" {_COSINE.format('x','y')} AS cosine, {_PEARSON.format('x','y')} AS pearson FROM centred x, supplier JOIN centred y"
         " ON y.vec_id=s_suppkey))) WHERE rank<=5", "centred")),
+    "grid_match": (grid_match, with_entities(
+        "SELECT sample_id, enterprise_id, round(cosine,4) AS cosine, round(pearson,4) AS pearson, round(score,4) AS score, rank FROM"
+        " (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY round(score,4) DESC, enterprise_id) AS rank FROM"
+        " (SELECT *, greatest(0, 0.6*cosine+0.4*pearson) AS score FROM parts)) WHERE rank<=3", "peaks", extra=_GRIDS)),
+    "grid_pairs": (grid_pairs, with_entities(
+        "SELECT p.sample_id, p.enterprise_id, round(cosine,4) AS cosine, round(pearson,4) AS pearson,"
+        " round(greatest(0, 0.6*cosine+0.4*pearson),4) AS score FROM parts p JOIN shares s ON s.sample_id=p.sample_id"
+        " AND s.i=p.enterprise_id", "peaks", extra=_GRIDS)),
     "background_mix": (background_mix, with_entities(
         "SELECT station_id, component, round(share+1e-9,6) AS share FROM mix", "impact", extra=_MIX)),
     "composition_match": (composition_match, with_entities(

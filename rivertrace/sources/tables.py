@@ -119,6 +119,23 @@ def spectra(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def observed_peaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Observed spectrum of each event (order) as a list of peaks: those of its suppliers, weighted by quantity."""
+    amounts = table(spark, folder, "lineitem").groupBy(
+        F.col("l_orderkey").alias("sample_id"), F.col("l_suppkey").alias("enterprise_id")
+    ).agg(F.sum("l_quantity").cast("double").alias("amount"))
+    peaks = (
+        amounts.join(spectra(spark, folder), "enterprise_id")
+        .select("sample_id", "amount", F.explode("spectrum").alias("p"))
+        .groupBy("sample_id", "p.lex", "p.lem", "p.sigma")
+        .agg(F.sum(F.col("p.amp") * F.col("amount")).alias("amp"))
+    )
+    # An order has a few lines, and peaks that two of its suppliers share are one.
+    return peaks.groupBy("sample_id").agg(
+        F.array_sort(F.collect_list(F.struct("lex", "lem", "amp", "sigma"))).alias("spectrum")
+    )
+
+
 def compositions(spark: SparkSession, folder: str, key: str = "l_suppkey", name: str = "enterprise_id") -> DataFrame:
     """Pollutant amounts by component as a map, one row per supplier (or per order)."""
     amounts = (
