@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivertrace.operators.blocks import SERIES, asof_facts, with_blocks
+from rivertrace.operators.blocks import DAY, SERIES, asof_facts, not_null, running, time_block, with_blocks
 from rivertrace.operators.detectors import detect
 from rivertrace.session import cut_lineage
 
@@ -74,6 +74,66 @@ def suppress_duplicates(candidates: DataFrame, events: DataFrame, hours: int = S
     )
 
 
+def next_moments(moments: DataFrame, hours: int, block_seconds: int = DAY) -> DataFrame:
+    """(station_id, ts, next): the first of ``moments(station_id, ts)`` of the station that lies ``hours`` or more after ts.
+
+    Moments and the times asked for are ordered inside (station, block) only; what lies in later blocks is one row per
+    block. Moments without a later one have no row. Moments are distinct and hold no nulls.
+    """
+    sought = F.timestamp_micros(F.unix_micros("ts") + F.lit(hours * 3_600_000_000))
+    nothing = F.lit(None).cast("timestamp")
+    rows = (
+        moments.select("station_id", F.col("ts").alias("at"), F.col("ts").alias("seen"), nothing.alias("asked"))
+        .unionByName(moments.select("station_id", sought.alias("at"), nothing.alias("seen"), F.col("ts").alias("asked")))
+        .withColumn("block", time_block("at", block_seconds))
+    )
+    later = Window.partitionBy("station_id").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (
+        rows.groupBy("station_id", "block").agg(F.min("seen").alias("_first"))
+        .select("station_id", "block", F.last("_first", ignorenulls=True).over(later).alias("_after"))
+    )
+    backward = running(Window.partitionBy("station_id", "block").orderBy(F.desc("at"), F.col("seen").isNull()))
+    local = rows.withColumn("_within", F.last("seen", ignorenulls=True).over(backward)).where("asked IS NOT NULL")
+    return (
+        local.join(blocks, ["station_id", "block"])
+        .select("station_id", F.col("asked").alias("ts"), F.coalesce("_within", "_after").alias("next"))
+        .where("next IS NOT NULL")
+    )
+
+
+def suppression_chain(
+    alerts: DataFrame, hours: int = SUPPRESS_H, silenced: DataFrame | None = None, block_seconds: int = DAY
+) -> DataFrame:
+    """The rows of ``alerts`` (id, station_id, ts, ...) that are raised if each raised one silences its station for ``hours``.
+
+    Which alert comes next after a raised one is the same whoever asks, so the chain of a station is a walk along links.
+    Each round doubles both the stretch that is known and the length of the links: a year of alerts takes eight rounds
+    and not one for each alert raised, and no station's alerts are ever gathered. ``silenced`` (station_id, until) holds
+    stations that are still silent up to and including ``until``. Of alerts at one time that with the smallest id is raised,
+    of equal rows one. An alert without station or time is always raised and silences nothing.
+    """
+    known = not_null("station_id", "ts")
+    moments = alerts.where(known).select("station_id", "ts").distinct()
+    if silenced is not None:
+        until = silenced.where(not_null("station_id", "until")).groupBy("station_id").agg(F.max("until").alias("_until"))
+        moments = moments.join(until, "station_id", "left").where("_until IS NULL OR ts > _until").drop("_until")
+    moments = cut_lineage(moments)
+    raised = cut_lineage(moments.groupBy("station_id").agg(F.min("ts").alias("ts")))
+    links = next_moments(moments, hours, block_seconds)
+    # A moment that no link leads to is on no chain, unless it is the first; many links lead to the same one.
+    links = cut_lineage(links)
+    on_way = links.select("station_id", F.col("next").alias("ts")).unionByName(raised).distinct()
+    links = cut_lineage(links.join(on_way, ["station_id", "ts"], "left_semi"))
+    while not links.isEmpty():
+        ahead = raised.join(links, ["station_id", "ts"]).select("station_id", F.col("next").alias("ts"))
+        raised = cut_lineage(raised.unionByName(ahead))
+        second = links.select("station_id", F.col("ts").alias("next"), F.col("next").alias("_next"))
+        links = cut_lineage(links.join(second, ["station_id", "next"]).select("station_id", "ts", F.col("_next").alias("next")))
+    whole = F.struct(*[F.col(c) for c in alerts.columns])
+    first = alerts.where(known).groupBy("station_id", "ts").agg(F.min_by(whole, F.struct("id")).alias("_row"))
+    return first.join(raised, ["station_id", "ts"]).select("_row.*").unionByName(alerts.where(~known))
+
+
 def scan_for_events(
     readings: DataFrame,
     stations: DataFrame,

@@ -95,6 +95,12 @@ def open_alert_suppression(spark, folder):
     return A.suppress_duplicates(new, existing).select("id", "station_id", us().alias("ts_us"))
 
 
+def suppression_chain(spark, folder):
+    """Alerts of all years in order of entry: each one raised silences its station for 48 hours."""
+    alerts = open_river(spark, folder).alerts.select("id", "station_id", F.col("created_at").alias("ts"), "severity")
+    return A.suppression_chain(alerts).select("id", "station_id", us().alias("ts_us"), "severity")
+
+
 def event_contrast(spark, folder):
     river = open_river(spark, folder)
     found = M.event_contrast(river.readings, river.alerts.select("id", "etype", "station_id", "onset_ts"), river.stations, block_seconds=river.block_seconds)
@@ -306,6 +312,13 @@ QUERIES = {
         " (SELECT 1 FROM opened o WHERE o.station_id=a.station_id AND o.created_at<=a.created_at"
         " AND o.created_at > a.created_at - INTERVAL 48 HOUR)", "alerts",
         extra=(("opened", "SELECT DISTINCT station_id, created_at FROM alerts WHERE status='open'"),))),
+    "suppression_chain": (suppression_chain, with_entities(
+        "SELECT q.id, q.station_id, epoch_us(q.created_at) AS ts_us, severity FROM alerts q JOIN (SELECT station_id, ts, min(id) AS id"
+        " FROM alerts JOIN passed USING (station_id) WHERE created_at=ts GROUP BY ALL) k ON k.id=q.id", "alerts", extra=(
+            ("passed", "SELECT station_id, min(created_at) AS ts FROM alerts GROUP BY 1 UNION ALL SELECT p.station_id,"
+             " (SELECT min(created_at) FROM alerts a WHERE a.station_id=p.station_id AND a.created_at >= p.ts + INTERVAL 48 HOUR)"
+             " FROM passed p WHERE p.ts IS NOT NULL"),
+        ))),
     "event_contrast": (event_contrast, with_entities(
         "SELECT a.id, a.etype, a.station_id, c.indicator, round(before+1e-9,4) AS before, c.after,"
         " round(c.after/c.before+1e-9,4) AS ratio FROM alerts a JOIN contrasts c ON c.station_id=a.station_id"

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from rivertrace.operators.alerts import suppression_chain
 from rivertrace.operators.blocks import DAY, SERIES, attach_positions, not_null, time_block
 from rivertrace.operators.casefile import guard_messages
 from rivertrace.operators.detectors import cusum_crossings, cusum_scan
@@ -173,33 +174,19 @@ def suppression_batch(
 ) -> Callable[[DataFrame, int], None]:
     """Drops alerts of a station that has had one in the ``hours`` before, in order of time.
 
-    Which alerts pass is a chain: each passing alert silences the next ``hours``. One round finds the
-    earliest alert not yet silenced per station, a pre-aggregated minimum; a batch needs one round per
-    ``hours`` of event time it covers, and no station's alerts are ever gathered.
+    Which alerts of a batch are raised is found by ``suppression_chain``; between batches only the end of each
+    station's silence is kept.
     """
     states = VersionedTable(spark, state_path, SUPPRESSION_STATE)
     span = hours * 3_600_000_000
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        silenced = cut_lineage(states.before(batch_id))
-        whole = F.struct(*batch.columns)
-        # Of alerts at the same time only the first id can pass, so the rest are reduced away at once.
-        alerts = cut_lineage(
-            batch.groupBy("station_id", "ts").agg(F.min_by(whole, "id").alias("a"))
-        )
-        passed = batch.limit(0)
-        while True:
-            due = alerts.join(silenced, "station_id", "left").where(
-                F.col("until").isNull() | (F.col("ts") > F.col("until"))
-            )
-            first = cut_lineage(due.groupBy("station_id").agg(F.min_by("a", "ts").alias("a")))
-            if first.isEmpty():
-                break
-            passed = passed.unionByName(first.select("a.*"))
-            until = first.select("station_id", F.timestamp_micros(F.unix_micros("a.ts") + F.lit(span) - 1).alias("until"))
-            silenced = cut_lineage(until.unionByName(silenced.join(until.select("station_id"), "station_id", "left_anti")))
+        silenced = states.before(batch_id)
+        passed = cut_lineage(suppression_chain(batch, hours, silenced))
         passed.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-        states.write(batch_id, silenced)
+        end = F.timestamp_micros(F.unix_micros(F.max("ts")) + F.lit(span) - 1)
+        until = passed.where(not_null("station_id", "ts")).groupBy("station_id").agg(end.alias("until"))
+        states.write(batch_id, until.unionByName(silenced.join(until.select("station_id"), "station_id", "left_anti")))
 
     return run
 

@@ -53,6 +53,28 @@ def test_suppression_equals_loop(spark):
     assert got == plain and 0 < len(got) < len(rows)
 
 
+@pytest.mark.parametrize("block_seconds", [3600, 86_400, 40 * 86_400])
+def test_chain_of_suppression_equals_loop(spark, block_seconds):
+    rng = np.random.default_rng(11)
+    rows = [(f"a{i:04d}", "busy" if i % 3 else f"s{rng.integers(4)}", START + timedelta(hours=int(rng.integers(0, 8800))), i)
+            for i in range(900)]
+    rows += [rows[5], ("b", "s1", rows[0][2], 0), ("edge0", "edge", START, 1), ("edge1", "edge", START + timedelta(hours=48), 2),
+             ("edge2", "edge", START + timedelta(hours=95, minutes=59), 3), ("lone", "lone", START, 4)]
+    silent = {"s0": START + timedelta(hours=500), "none": START}
+    nulls = [("n1", None, START, 5), ("n2", "busy", None, 6)]
+    df = spark.createDataFrame(rows + nulls, "id string, station_id string, ts timestamp, next int")
+    until = spark.createDataFrame([*silent.items(), ("s0", None)], "station_id string, until timestamp")
+    last, plain = {}, []
+    for i, s, t, n in sorted(rows, key=lambda r: (r[2], r[0])):
+        if (s not in last or t - last[s] >= timedelta(hours=48)) and not (s in silent and t <= silent[s]):
+            last[s] = t
+            plain.append((i, n))
+    got = A.suppression_chain(df, silenced=until, block_seconds=block_seconds).collect()
+    assert sorted((r["id"], r["next"]) for r in got) == sorted(plain + [("n1", 5), ("n2", 6)])
+    assert {"edge0", "edge1", "lone"} <= {r["id"] for r in got}
+    assert A.suppression_chain(df.limit(0)).columns == df.columns and A.suppression_chain(df.limit(0)).count() == 0
+
+
 def test_hypotheses_follow_the_prior(spark):
     attens = [0.5, 0.004, 0.003, 0.002, 0.001, 0.0005, 0.0004]
     sources = spark.createDataFrame(
