@@ -66,6 +66,15 @@ def stream_first(spark, folder):
     return spark.read.parquet(out)
 
 
+def stream_steps(spark, folder):
+    """The log with each step once, as it was first told."""
+    configure(spark)
+    _, out, progress = _paths(spark, "steps")
+    query, current = J.first_steps(T.messages(_Streamed(spark), folder), out, progress, trigger=ONCE)
+    query.awaitTermination()
+    return current().select("inv_id", "seq", "type", "item_id", "text")
+
+
 def stream_latest(spark, folder):
     configure(spark)
     state, _, progress = _paths(spark, "latest")
@@ -106,6 +115,9 @@ QUERIES = {
         ))),
     "stream_log": (stream_log, with_entities("SELECT inv_id, seq, type, item_id, text FROM messages", "messages")),
     "stream_first": (stream_first, with_entities("SELECT DISTINCT inv_id, item_id FROM messages", "messages")),
+    "stream_steps": (stream_steps, with_entities(
+        "SELECT inv_id, seq, type, item_id, text FROM (SELECT *, row_number() OVER (PARTITION BY inv_id, item_id, type ORDER BY seq NULLS FIRST,"
+        " score NULLS FIRST, text NULLS FIRST) AS rn FROM messages) WHERE rn=1 OR type<>'step'", "messages")),
     "stream_latest": (stream_latest, with_entities(
         "SELECT inv_id, item_id, max(seq) AS seq, arg_max(text, seq) AS text FROM messages WHERE type='hypothesis' GROUP BY 1,2", "messages")),
     "stream_guard": (stream_guard, with_entities("SELECT inv_id, seq, type FROM messages WHERE type<>'connected'", "messages")),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -49,14 +49,16 @@ WARMUP_ROWS = "station_id STRING, indicator STRING, ts TIMESTAMP, value DOUBLE"
 
 
 def cusum_batch(
-    spark: SparkSession, state_path: str, out_path: str, warmup_rows: int, k: float, h: float, block_seconds: int
+    spark: SparkSession, state_path: str, out_path: str, warmup_rows: int, k: float, h: float, block_seconds: int,
+    late_path: str | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """One micro-batch of the CUSUM detector.
 
     A series waits until it has ``warmup_rows`` readings; they fix its median and sigma and are then
     judged with the rest. Afterwards only S+, S-, the count and the last time are kept. Inside a batch
-    the blocked scan of the batch detector runs, so one busy series is spread over tasks. Readings not
-    newer than the last one judged are late and left to the batch detector.
+    the blocked scan of the batch detector runs, so one busy series is spread over tasks. Readings at one time
+    are all judged, in order of value. Readings not newer than the last one judged are late: they go to ``late_path``,
+    a folder per micro-batch, for the batch detector.
     """
     states = VersionedTable(spark, f"{state_path}/series", CUSUM_STATE)
     waiting = VersionedTable(spark, f"{state_path}/warmup", WARMUP_ROWS)
@@ -66,12 +68,11 @@ def cusum_batch(
         state, held = states.before(batch_id), waiting.before(batch_id)
         arrived = batch.select(*keys, "ts", "value").where(not_null(*keys, "ts", "value"))
         newest = state.select(*keys, "last_ts")
-        fresh = (
-            arrived.join(newest, keys, "left")
-            .where(F.col("last_ts").isNull() | (F.col("ts") > F.col("last_ts")))
-            .drop("last_ts")
-        )
-        rows = fresh.unionByName(held).groupBy(*keys, "ts").agg(F.max("value").alias("value"))
+        placed = cut_lineage(arrived.join(newest, keys, "left"))
+        is_late = F.col("last_ts").isNotNull() & (F.col("ts") <= F.col("last_ts"))
+        late = placed.where(is_late)
+        late.write.mode("overwrite").parquet(f"{late_path or state_path + '/late'}/batch={batch_id}")
+        rows = placed.where(~is_late).drop("last_ts").unionByName(held)
         # The rows of the batch are used several times below; they are written once.
         blocked = cut_lineage(rows.withColumn("block", time_block("ts", block_seconds)))
         sizes = blocked.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
@@ -115,10 +116,11 @@ def cusum_batch(
 
 def stream_cusum(
     readings: DataFrame, state_path: str, out_path: str, checkpoint: str, warmup_rows: int = 200, k: float = 0.5,
-    h: float = 7.0, block_seconds: int = DAY, trigger: dict | None = None,
+    h: float = 7.0, block_seconds: int = DAY, trigger: dict | None = None, late_path: str | None = None,
 ) -> StreamingQuery:
-    """Continuous detection; anomalies go to ``out_path`` in one folder per micro-batch."""
-    step = cusum_batch(readings.sparkSession, state_path, out_path, warmup_rows, k, h, block_seconds)
+    """Continuous detection; anomalies go to ``out_path``, late readings to ``late_path`` (by default below
+    ``state_path``), in one folder per micro-batch."""
+    step = cusum_batch(readings.sparkSession, state_path, out_path, warmup_rows, k, h, block_seconds, late_path)
     return _start(readings.writeStream.foreachBatch(step), checkpoint, trigger)
 
 
@@ -143,27 +145,59 @@ def first_messages(messages: DataFrame, item: str = "item_id", lateness: str = L
     return messages.withWatermark("at", lateness).dropDuplicatesWithinWatermark(["inv_id", item])
 
 
+def _item_table(
+    messages: DataFrame, out_path: str, checkpoint: str, item: str, latest: bool, alone: Column, trigger: dict | None
+) -> tuple[StreamingQuery, Callable[[], DataFrame]]:
+    """Messages of which ``alone`` holds, reduced to one per (investigation, item) in the engine's own state; others as they are.
+
+    Each micro-batch writes the items that it changed, and the other messages, to a folder of its own; a batch that runs
+    again writes the same. The reader folds the folders by the same rule, so the table needs nothing but the files.
+    """
+    fields = messages.columns
+    rest = [c for c in fields if c not in ("seq", "inv_id", item)]
+    row = F.struct("seq", *rest)
+    pick = F.max(row) if latest else F.min(row)
+
+    def reduced(df: DataFrame) -> DataFrame:
+        found = df.where(alone).groupBy("inv_id", item).agg(pick.alias("_row"))
+        return found.select(*[F.col(c) if c in ("inv_id", item) else F.col("_row")[c].alias(c) for c in fields])
+
+    apart = ~F.coalesce(alone, F.lit(False))
+    stream = reduced(messages).unionByName(messages.where(apart))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+
+    def current() -> DataFrame:
+        spark = messages.sparkSession
+        if not path_exists(spark, out_path):
+            return spark.createDataFrame([], messages.schema)
+        table = spark.read.schema(messages.schema).parquet(out_path).select(*fields)
+        return reduced(table).unionByName(table.where(apart))
+
+    return _start(stream.writeStream.outputMode("update").foreachBatch(write), checkpoint, trigger), current
+
+
+def first_steps(
+    messages: DataFrame, out_path: str, checkpoint: str, item: str = "item_id", trigger: dict | None = None
+) -> tuple[StreamingQuery, Callable[[], DataFrame]]:
+    """The log with each step of an investigation once, as it was first told (smallest ``seq``; of repeats the smallest row).
+
+    Only steps are told apart by item; every other message is kept, replays of it too. However late a replay comes,
+    its step is known, as the state holds one row per step and has no time limit. Returns the query and a function
+    that reads the current table, also after a restart.
+    """
+    return _item_table(messages, out_path, checkpoint, item, False, F.col("type") == "step", trigger)
+
+
 def latest_hypotheses(
-    messages: DataFrame, state_path: str, checkpoint: str, item: str = "item_id", trigger: dict | None = None
+    messages: DataFrame, out_path: str, checkpoint: str, item: str = "item_id", trigger: dict | None = None
 ) -> tuple[StreamingQuery, Callable[[], DataFrame]]:
-    """Latest message per (investigation, item) as a table that each micro-batch upserts.
+    """Latest message per (investigation, item) by ``seq``; of repeats the greatest row.
 
-    Returns the query and a function that reads the current table.
+    Returns the query and a function that reads the current table, also after a restart without new messages.
     """
-    spark = messages.sparkSession
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in messages.schema.fields)
-    table = VersionedTable(spark, state_path, schema)
-    last: dict[str, int] = {}
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        both = table.before(batch_id).unionByName(batch)
-        whole = F.struct(*both.columns)
-        merged = both.groupBy("inv_id", item).agg(F.max_by(whole, "seq").alias("_row")).select("_row.*")
-        table.write(batch_id, merged)
-        last["batch"] = batch_id
-
-    query = _start(messages.writeStream.foreachBatch(upsert), checkpoint, trigger)
-    return query, lambda: table.before(last.get("batch", -1) + 1)
+    return _item_table(messages, out_path, checkpoint, item, True, F.lit(True), trigger)
 
 
 SUPPRESSION_STATE = "station_id STRING, until TIMESTAMP"

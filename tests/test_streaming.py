@@ -72,3 +72,65 @@ def test_log_streams(spark, tmp_path):
     query, current = J.latest_hypotheses(stream, str(tmp_path / "latest"), str(tmp_path / "p3"), trigger=ONCE)
     query.awaitTermination()
     assert sorted(r["seq"] for r in current().collect()) == [6, 7, 8]
+
+
+def test_items_survive_replays_and_a_restart(spark, tmp_path):
+    rows = [("i", n, START + timedelta(seconds=n), ("step", "hypothesis", "talk")[n % 3], f"x{n % 9 // 3}", f"t{n}") for n in range(27)]
+    late = [(i, n, START + timedelta(days=3, seconds=n), *more) for i, n, _, *more in rows[:9]]  # told again days later
+    late += [("i", 40, START + timedelta(days=3), None, "x0", "no type"), (None, 41, START + timedelta(days=3), "step", None, "nobody")]
+    df = spark.createDataFrame(rows + late, "inv_id string, seq bigint, at timestamp, type string, item_id string, text string")
+    folder, schema = str(tmp_path / "log"), df.schema
+    steps, hypotheses = ("step", str(tmp_path / "first"), str(tmp_path / "p1")), ("hypothesis", str(tmp_path / "last"), str(tmp_path / "p2"))
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        found = []
+        for job, source, (_, out, progress) in (
+            (J.first_steps, stream, steps), (J.latest_hypotheses, stream.where("type = 'hypothesis'"), hypotheses)
+        ):
+            query, current = job(source, out, progress, trigger=ONCE)
+            query.awaitTermination()
+            found.append(sorted((r["seq"], r["text"]) for r in current().collect()))
+        return found
+
+    def expected(seen):
+        first, last = {}, {}
+        for r in seen:
+            if r[3] == "step" and (r[0], r[4]) not in first or r[3] == "step" and r[1] < first[r[0], r[4]][1]:
+                first[r[0], r[4]] = r
+            if r[3] == "hypothesis" and ((r[0], r[4]) not in last or r[1] > last[r[0], r[4]][1]):
+                last[r[0], r[4]] = r
+        kept = [*first.values(), *(r for r in seen if r[3] != "step")]
+        return [sorted((r[1], r[5]) for r in kept), sorted((r[1], r[5]) for r in last.values())]
+
+    def told(low, high):
+        df.where((F.col("at") >= F.lit(low)) & (F.col("at") < F.lit(high))).coalesce(1).write.mode("append").parquet(folder)
+
+    told(START + timedelta(seconds=9), START + timedelta(seconds=18))
+    assert run() == expected(rows[9:18])
+    told(START, START + timedelta(seconds=9))  # earlier messages that come second
+    told(START + timedelta(seconds=18), START + timedelta(days=1))
+    assert run() == expected(rows)
+    told(START + timedelta(days=1), START + timedelta(days=9))
+    assert run() == expected(rows + late)
+    assert run() == expected(rows + late)  # started again without anything new
+
+
+def test_late_readings_and_readings_at_one_time(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    x = rng.normal(10, 0.5, 200)
+    x[120:] += 1.5
+    kind = "station_id string, indicator string, ts timestamp, value double"
+    rows = [("s", "cod", START + timedelta(minutes=15 * (i // 2)), float(v)) for i, v in enumerate(x)]  # two at a time
+    df = spark.createDataFrame(rows, kind)
+    cuts = [START + timedelta(minutes=m) for m in (0, 600, 900, 3000)]
+    folder = str(tmp_path / "in")
+    stream = feed(spark, tmp_path, "in", df, df.schema, cuts, "ts")
+    paths = [str(tmp_path / name) for name in ("state", "out", "progress")]
+    J.stream_cusum(stream, *paths, warmup_rows=50, trigger=ONCE, late_path=str(tmp_path / "late")).awaitTermination()
+    spark.createDataFrame([("s", "cod", START + timedelta(minutes=30), 99.0)], kind).write.mode("append").parquet(folder)
+    J.stream_cusum(stream, *paths, warmup_rows=50, trigger=ONCE, late_path=str(tmp_path / "late")).awaitTermination()
+    got = {r["idx"]: r["zscore"] for r in spark.read.parquet(paths[1]).collect()}
+    expected = {r["idx"]: r["zscore"] for r in detect_cusum(df, warmup_rows=50).collect()}
+    assert expected and set(got) == set(expected) and all(abs(got[k] - expected[k]) < 1e-9 for k in got)
+    assert [r["value"] for r in spark.read.parquet(str(tmp_path / "late")).collect()] == [99.0]
