@@ -25,6 +25,7 @@ EDITS = 2
 CHARS_PER_EDIT = 10
 PAIR_CELLS = 1 << 21
 STEP_CHARS = 1 << 19
+SMALL_BLOCK = 16  # blocks of up to so many lines are compared many at a time
 _SIGN = 1 << 63
 
 
@@ -254,30 +255,80 @@ def _block_links(root: np.ndarray, n: np.ndarray, parity: np.ndarray, side: np.n
         if both:
             may &= side != side[i]
         at = np.flatnonzero(may)
+        if not len(at):
+            continue
         for j in at[alike([lines[i]] * len(at), [lines[j] for j in at])].tolist():
             if root[i] != root[j]:
                 yield i, j
                 root[root == root[j]] = root[i]
 
 
+def _small_links(blocks: list[list[tuple]]) -> list[tuple[int, int]]:
+    """Nodes that ``_block_links`` would join in each of several small blocks, with all candidates verified in one step."""
+    rows = [row for block in blocks for row in block]
+    node, root, n, parity, side, lines = zip(*rows)
+    size = np.array([len(block) for block in blocks])
+    home = np.repeat(np.arange(len(blocks)), size)
+    behind = np.cumsum(size)[home] - np.arange(len(rows))  # rows of the block from this one on
+    root, n, parity, side = np.array(root), np.array(n), np.array(parity).view(np.uint64), np.array(side, bool)
+    in_side = np.bincount(home, side, len(blocks))
+    both = ((in_side > 0) & (in_side < size))[home]
+    found = []
+    for step in range(1, SMALL_BLOCK):
+        i = np.flatnonzero(behind > step)
+        j = i + step
+        edits = allowed(np.minimum(n[i], n[j]))
+        may = (root[i] != root[j]) & (np.abs(n[i] - n[j]) <= edits) & (np.bitwise_count(parity[i] ^ parity[j]) <= 2 * edits)
+        may &= ~both[i] | (side[i] != side[j])
+        found.append(np.stack([i[may], j[may]]))
+    i, j = np.concatenate(found, axis=1)
+    near = np.flatnonzero(alike([lines[k] for k in i], [lines[k] for k in j])) if len(i) else []
+    joined, links = {}, []
+
+    def top(key):
+        while key in joined:
+            key = joined[key]
+        return key
+
+    for x, y in zip(i[near].tolist(), j[near].tolist()) if len(near) else ():
+        p, q = top((home[x], root[x])), top((home[y], root[y]))
+        if p != q:
+            joined[p] = q
+            links.append((node[x], node[y]))
+    return links
+
+
 def _in_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ("node", "root", "n", "parity", "side", "line")
 
-    def linked(rows: list[tuple]) -> pa.RecordBatch:
+    def told(links: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([link[k] for link in links], pa.int64()) for k in (0, 1)], ["x", "y"])
+
+    def large(rows: list[tuple]) -> pa.RecordBatch:
         node, root, n, parity, side, lines = zip(*rows)
-        found = list(_block_links(np.array(root), np.array(n), np.array(parity).view(np.uint64), np.array(side), lines))
-        return pa.RecordBatch.from_arrays([pa.array([node[p[k]] for p in found], pa.int64()) for k in (0, 1)], ["x", "y"])
+        found = _block_links(np.array(root), np.array(n), np.array(parity).view(np.uint64), np.array(side), lines)
+        return told([(node[i], node[j]) for i, j in found])
 
-    now, rows = None, []
+    now, rows, small, chars = None, [], [], 0
     for batch in batches:
         for block, row in zip(zip(*(batch.column(c).to_pylist() for c in ("key", "low", "high"))), zip(*(batch.column(c).to_pylist() for c in names))):
             if block != now:
-                if len(rows) > 1:
-                    yield linked(rows)
+                if len(rows) > SMALL_BLOCK:
+                    yield large(rows)
+                elif len(rows) > 1:
+                    small.append(rows)
+                    chars += sum(len(r[5]) for r in rows)
+                if chars > STEP_CHARS:
+                    yield told(_small_links(small))
+                    small, chars = [], 0
                 now, rows = block, []
             rows.append(row)
-    if len(rows) > 1:
-        yield linked(rows)
+    if len(rows) > SMALL_BLOCK:
+        yield large(rows)
+    elif len(rows) > 1:
+        small.append(rows)
+    if small:
+        yield told(_small_links(small))
 
 
 def near_lines(docs: DataFrame) -> DataFrame:

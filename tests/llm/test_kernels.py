@@ -166,3 +166,43 @@ def test_sentences_tile_the_text_and_copies_are_cut_alike():
 def test_repeated_words_do_not_overflow():
     assert simhash_dedup.fingerprint("a " * 200_000) == simhash_dedup.fingerprint("a " * 5)
     assert np.bincount([len(p[2]) for p in span_dedup.sentences("for " * 2000)]).sum() > 100
+
+
+def test_small_blocks_join_what_large_ones_do():
+    rng = np.random.default_rng(4)
+    blocks, node = [], 0
+    for size in rng.integers(2, line_dedup.SMALL_BLOCK + 1, 60):
+        base = ["".join(rng.choice(list("abcd"), 24)) for _ in range(4)]
+        rows = []
+        for _ in range(size):
+            line = list(base[rng.integers(4)])
+            for _ in range(rng.integers(0, 3)):
+                line[rng.integers(len(line))] = "x"
+            line = "".join(line)
+            rows.append((node, int(rng.integers(5)) if node % 3 else node, len(line), line_dedup.letter_parity(line), bool(rng.integers(2)), line))
+            node += 1
+        blocks.append(rows)
+
+    def classes(links, rows):
+        up = {r[0]: ("root", r[1]) for r in rows}
+
+        def top(x):
+            while x in up and up[x] != x:
+                x = up[x]
+            return x
+
+        for x, y in links:
+            p, q = top(x), top(y)
+            if p != q:
+                up[p] = q
+        groups = {}
+        for r in rows:
+            groups.setdefault(top(r[0]), set()).add(r[0])
+        return sorted(map(sorted, groups.values()))
+
+    links = line_dedup._small_links(blocks)
+    for rows in blocks:
+        ids, root, n, parity, side, lines = zip(*rows)
+        plain = line_dedup._block_links(np.array(root), np.array(n), np.array(parity).view(np.uint64), np.array(side), lines)
+        mine = [(x, y) for x, y in links if x in ids]
+        assert classes(mine, rows) == classes([(ids[i], ids[j]) for i, j in plain], rows)
